@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathspring.llm import chat, licenses, mixing, oracles, topk, url_filter
+import corpus_pipeline
+from pathspring.llm import chat, decontaminate, licenses, lm_score, mixing, near_dup, oracles, quality, substring, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,26 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link_documents(_table(spark, sf_dir, "documents"), 85, 100)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,13 +48,24 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_url_filter, op7_mixing, op8_chat, op10_licenses)}
+    own = (op1_topk, op2_substring, op3_url_filter, op4_lm_score, op5_minhash, op6_decontaminate, op7_mixing, op8_chat, op9_quality, op10_licenses, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": oracles.TOPK, "op3_url_filter": url_filter.oracle(), "op8_chat": chat.ORACLE}
+    sql = {"op1_topk": oracles.TOPK, "op2_substring": substring.ORACLE, "op3_url_filter": url_filter.oracle(), "op6_decontaminate": decontaminate.ORACLE, "op8_chat": chat.ORACLE}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
