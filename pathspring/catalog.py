@@ -1,31 +1,374 @@
-"""Queries of the library's own operators, by the driver's names."""
+"""Queries of the library's own operators, by the driver's names, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "stat_summary"
+from pathspring.functions import transforms as tx
+from pathspring.operators import assess, pls, regression, resample
+from pathspring.operators.moments import moments
+from pathspring.plans import frames
+from pathspring.plans.frames import ORDERS_SQL, order_model, orders, table
+from pathspring.sources import tables
 
+FLAGSHIP = "pls_pm"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def stat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return t.agg(
-        F.count("l_quantity").alias("n"),
-        F.round(F.avg("l_quantity"), 8).alias("mean"),
-        F.round(F.var_samp("l_quantity"), 6).alias("variance"),
-    )
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], schema)
+
+
+# Transforms
+
+
+@_query("tx_add_column", "SELECT p_partkey, 1.5::DOUBLE AS c FROM part")
+def _(spark, d):
+    return tx.add_column(table(spark, d, "part").select("p_partkey"), "c", 1.5)
+
+
+@_query("tx_missing_markers", "SELECT p_partkey, CASE WHEN p_size NOT IN (1, 7) THEN p_size END AS size_clean FROM part")
+def _(spark, d):
+    return tx.missing_markers(table(spark, d, "part"), {"p_size": "size_clean"}, [1, 7]).select("p_partkey", "size_clean")
+
+
+@_query("tx_reverse_scale", "SELECT p_partkey, (1 + 50 - p_size)::DOUBLE AS reversed FROM part")
+def _(spark, d):
+    return tx.reverse_scale(table(spark, d, "part"), "reversed", "p_size", 1, 50).select("p_partkey", F.col("reversed").cast("double").alias("reversed"))
+
+
+@_query("tx_standardize", "SELECT p_partkey, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_samp(p_retailprice) FROM part), 8) AS z FROM part")
+def _(spark, d):
+    return tx.standardize(table(spark, d, "part"), "z", "p_retailprice").select("p_partkey", F.round("z", 8).alias("z"))
+
+
+@_query("tx_recode", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' END AS state FROM orders")
+def _(spark, d):
+    return tx.recode(table(spark, d, "orders"), "state", "o_orderstatus", {"O": "open", "F": "done"}, "missing").select("o_orderkey", "state")
+
+
+@_query("recode_v1", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE o_orderstatus END AS state FROM orders")
+def _(spark, d):
+    return tx.recode(table(spark, d, "orders"), "state", "o_orderstatus", {"O": "open"}, "keep").select("o_orderkey", "state")
+
+
+@_query("tx_arithmetic", "SELECT p_partkey, round(p_retailprice / p_size, 8) AS ratio FROM part")
+def _(spark, d):
+    return tx.arithmetic(table(spark, d, "part"), "ratio", "p_retailprice", "/", "p_size").select("p_partkey", F.round("ratio", 8).alias("ratio"))
+
+
+_HOLES = "CASE WHEN l_orderkey % 7 <> 0 THEN q END"
+
+
+@_query("tx_row_aggregate", f"WITH {ORDERS_SQL} SELECT l_orderkey, round(coalesce(({_HOLES} + n) / 2, n), 8) AS m, round({_HOLES} + n, 8) AS s FROM f")
+def _(spark, d):
+    t = orders(spark, d).withColumn("h", F.when(F.col("l_orderkey") % 7 != 0, F.col("q")))
+    t = tx.row_aggregate(tx.row_aggregate(t, "m", ["h", "n"], "mean", "available", 1), "s", ["h", "n"], "sum", "propagate")
+    return t.select("l_orderkey", F.round("m", 8).alias("m"), F.round("s", 8).alias("s"))
+
+
+@_query("tx_dummy", "SELECT o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS done FROM orders")
+def _(spark, d):
+    return tx.dummy(table(spark, d, "orders"), "done", "o_orderstatus", "F").select("o_orderkey", "done")
+
+
+@_query("tx_group", "SELECT p_partkey, CASE WHEN p_size <= 15 THEN 'small' WHEN p_size <= 35 THEN 'medium' END AS class FROM part")
+def _(spark, d):
+    return tx.group(table(spark, d, "part"), "class", "p_size", {"small": {"high": 15}, "medium": {"low": 15, "low_open": True, "high": 35}}).select("p_partkey", "class")
+
+
+@_query("prep_listwise", f"WITH {ORDERS_SQL} SELECT count(*) FILTER (WHERE h IS NOT NULL) AS used, count(*) FILTER (WHERE h IS NULL) AS omitted FROM (SELECT {_HOLES} AS h FROM f)")
+def _(spark, d):
+    return tx.case_counts(orders(spark, d).withColumn("h", F.when(F.col("l_orderkey") % 7 != 0, F.col("q"))), ["h", "n"])
+
+
+@_query("prep_mean_replace", f"WITH {ORDERS_SQL}, h AS (SELECT l_orderkey, {_HOLES} AS h FROM f) SELECT l_orderkey, round(coalesce(h, (SELECT avg(h) FROM h)), 8) AS h_filled FROM h")
+def _(spark, d):
+    t = orders(spark, d).select("l_orderkey", F.when(F.col("l_orderkey") % 7 != 0, F.col("q")).alias("h"))
+    return tx.mean_replace(t, ["h"]).select("l_orderkey", F.round("h_filled", 8).alias("h_filled"))
+
+
+@_query("missing_report", f"WITH {ORDERS_SQL} SELECT 'h' AS variable, count(h) AS n, count(*) - count(h) AS missing, round((count(*) - count(h)) / count(*), 8) AS share, CASE WHEN (count(*) - count(h)) / count(*) > 0.15 THEN 'high' WHEN (count(*) - count(h)) / count(*) >= 0.05 THEN 'moderate' ELSE 'none' END AS warning FROM (SELECT {_HOLES} AS h FROM f)")
+def _(spark, d):
+    t = orders(spark, d).select(F.when(F.col("l_orderkey") % 7 != 0, F.col("q")).alias("h"))
+    return tx.missing_report(t, ["h"]).withColumn("share", F.round("share", 8))
+
+
+# Sources
+
+
+@_query("preview_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def _(spark, d):
+    return tables.page(table(spark, d, "orders"), ["o_orderkey"], 100, 50).select("o_orderkey", "o_totalprice")
+
+
+@_query("infer_types", "SELECT p_partkey::DOUBLE AS p_partkey, p_brand, p_retailprice FROM part")
+def _(spark, d):
+    t = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return tables.typed(t.select([F.col(c).cast("string").alias(c) for c in t.columns]))
+
+
+@_query("fingerprint")
+def _(spark, d):
+    return tables.fingerprint(table(spark, d, "part"))
+
+
+@_query("result_compare", "SELECT n_nationkey, n_regionkey AS left, n_regionkey AS right, 0 AS difference, 'both' AS status FROM nation")
+def _(spark, d):
+    t = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("estimate"))
+    return tables.compare(t, t, ["n_nationkey"])
+
+
+# Statistics
+
+
+@_query("stat_summary", "SELECT count(l_quantity) AS n, round(avg(l_quantity), 8) AS mean, round(var_samp(l_quantity), 6) AS variance, round(quantile_cont(l_quantity, 0.25), 8) AS q1, round(quantile_cont(l_quantity, 0.9), 8) AS q9 FROM lineitem")
+def _(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.agg(F.count("l_quantity").alias("n"), F.round(F.avg("l_quantity"), 8).alias("mean"), F.round(F.var_samp("l_quantity"), 6).alias("variance"), F.round(F.percentile("l_quantity", F.lit(0.25)), 8).alias("q1"), F.round(F.percentile("l_quantity", F.lit(0.9)), 8).alias("q9"))
+
+
+_COLUMNS = ["q", "n", "gross", "mx", "disc", "tax"]
+
+
+@_query("stat_corr", f"WITH {ORDERS_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 7) AS r FROM f" for i, a in enumerate(_COLUMNS) for b in _COLUMNS[i + 1 :]))
+def _(spark, d):
+    r = moments(orders(spark, d), _COLUMNS).corr()
+    return _rows(spark, [(a, b, round(float(r[i, j]), 7)) for i, a in enumerate(_COLUMNS) for j, b in enumerate(_COLUMNS) if i < j], "a string, b string, r double")
+
+
+@_query("stat_alpha", f"WITH {ORDERS_SQL} SELECT round(3 / 2 * (1 - (var_samp(q) + var_samp(n) + var_samp(q + n + q * 2)) / var_samp(q + n + q + n + q * 2)), 7) AS alpha FROM f")
+def _(spark, d):
+    t = orders(spark, d).select("q", "n", (F.col("q") + F.col("n") + F.col("q") * 2).alias("w"))
+    v = moments(t, ["q", "n", "w"]).cov()
+    return _rows(spark, [(round(float(3 / 2 * (1 - v.trace() / v.sum())), 7),)], "alpha double")
+
+
+@_query("wilson", "WITH c AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE AS k, count(*)::DOUBLE AS n, 1.959963984540054 AS z FROM orders) SELECT round((k + z * z / 2 - z * sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z), 8) AS low, round((k + z * z / 2 + z * sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z), 8) AS high FROM c")
+def _(spark, d):
+    c = table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n")).first()
+    low, high = resample.wilson(c["k"], c["n"])
+    return _rows(spark, [(round(low, 8), round(high, 8))], "low double, high double")
+
+
+# Path models
+
+
+def _fit(spark, d, **options):
+    return pls.estimate(orders(spark, d), order_model(), **options)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@_query("pls_pm")
+def _(spark, d):
+    return _rounded(pls.tidy(spark, _fit(spark, d)), "estimate")
+
+
+@_query("pls_factor")
+def _(spark, d):
+    return _rounded(pls.tidy(spark, _fit(spark, d, scheme="factor")), "estimate")
+
+
+@_query("pls_pca_weight", f"""WITH {ORDERS_SQL}, r AS (SELECT sqrt(2 + 2 * corr(q, n)) AS a, sqrt(2 + 2 * corr(gross, mx)) AS b, sqrt(2 + 2 * corr(disc, tax)) AS c FROM f)
+SELECT * FROM (SELECT 'SIZE' AS source, 'q' AS target, round(1 / a, 6) AS weight FROM r UNION ALL SELECT 'SIZE', 'n', round(1 / a, 6) FROM r
+UNION ALL SELECT 'VALUE', 'gross', round(1 / b, 6) FROM r UNION ALL SELECT 'VALUE', 'mx', round(1 / b, 6) FROM r
+UNION ALL SELECT 'CHARGES', 'disc', round(1 / c, 6) FROM r UNION ALL SELECT 'CHARGES', 'tax', round(1 / c, 6) FROM r)""")
+def _(spark, d):
+    t = pls.tidy(spark, _fit(spark, d, scheme="pca")).filter("kind = 'weight'")
+    return t.select("source", "target", F.round("estimate", 6).alias("weight"))
+
+
+@_query("pls_scores")
+def _(spark, d):
+    t = pls.scores(orders(spark, d), _fit(spark, d), ["l_orderkey"])
+    return _rounded(t, *order_model().names)
+
+
+@_query("plsc")
+def _(spark, d):
+    return _rounded(pls.tidy(spark, _fit(spark, d, consistent=True)), "estimate")
+
+
+@_query("wpls")
+def _(spark, d):
+    f = pls.estimate(frames.customers(spark, d), order_model(), "norders")
+    return _rounded(pls.tidy(spark, f), "estimate")
+
+
+@_query("as_reliability")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.reliability(_fit(spark, d)), "construct string, statistic string, value double, reason string"), "value")
+
+
+@_query("as_htmt", f"""WITH {ORDERS_SQL} SELECT 'SIZE' AS construct, 'VALUE' AS other, round((corr(q, gross) + corr(q, mx) + corr(n, gross) + corr(n, mx)) / 4 / sqrt(corr(q, n) * corr(gross, mx)), 6) AS value, NULL::VARCHAR AS reason FROM f
+UNION ALL SELECT 'SIZE', 'CHARGES', round((corr(q, disc) + corr(q, tax) + corr(n, disc) + corr(n, tax)) / 4 / sqrt(corr(q, n) * corr(disc, tax)), 6), NULL FROM f
+UNION ALL SELECT 'VALUE', 'CHARGES', round((corr(gross, disc) + corr(gross, tax) + corr(mx, disc) + corr(mx, tax)) / 4 / sqrt(corr(gross, mx) * corr(disc, tax)), 6), NULL FROM f""")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.htmt(_fit(spark, d)), "construct string, other string, value double, reason string"), "value")
+
+
+@_query("as_htmt_plus")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.htmt(_fit(spark, d), True), "construct string, other string, value double, reason string"), "value")
+
+
+@_query("as_cross_loadings")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.cross_loadings(_fit(spark, d)), "indicator string, construct string, value double"), "value")
+
+
+@_query("as_fornell_larcker")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.fornell_larcker(_fit(spark, d)), "construct string, other string, value double"), "value")
+
+
+@_query("as_structure")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.structure(_fit(spark, d)), "construct string, predictor string, statistic string, value double"), "value")
+
+
+@_query("as_fit")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.model_fit(_fit(spark, d)), "variant string, statistic string, value double, reason string"), "value")
+
+
+@_query("cca")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.composite_check(_fit(spark, d)), "construct string, other string, observed double, implied double, difference double"), "observed", "implied", "difference")
+
+
+_TETRADS = ["q", "n", "gross", "disc"]
+
+
+@_query("cta", f"""WITH {ORDERS_SQL}, s AS (SELECT covar_samp(q, n) AS qn, covar_samp(q, gross) AS qg, covar_samp(q, disc) AS qd, covar_samp(n, gross) AS ng, covar_samp(n, disc) AS nd, covar_samp(gross, disc) AS gd, var_samp(q) * var_samp(gross) AS v FROM f)
+SELECT '1' AS tetrad, round((qn * gd - qd * ng) / v, 6) AS value FROM s UNION ALL SELECT '2', round((qg * nd - qn * gd) / v, 6) FROM s UNION ALL SELECT '3', round((qd * ng - qg * nd) / v, 6) FROM s""")
+def _(spark, d):
+    v = moments(orders(spark, d), _TETRADS).cov()
+    t = assess.tetrads(_TETRADS, v)
+    return _rows(spark, [(x[4], round(x[5] / float(v[0, 0] * v[2, 2]), 6)) for x in t], "tetrad string, value double")
+
+
+@_query("mediation")
+def _(spark, d):
+    r = assess.mediation(_fit(spark, d), "SIZE", "VALUE", "CHARGES")
+    return _rounded(_rows(spark, [r], "direct double, indirect double, total double, vaf double, class string"), "direct", "indirect", "total", "vaf")
+
+
+@_query("specific_indirect")
+def _(spark, d):
+    return _rounded(_rows(spark, assess.specific_indirect(_fit(spark, d)), "route string, effect double"), "effect")
+
+
+@_query("as_ipma")
+def _(spark, d):
+    f = _fit(spark, d)
+    names = [*assess.importance(f, "CHARGES")]
+    s = pls.scores(orders(spark, d), f, [])
+    r = s.agg(*[F.expr(f"(avg({n}) - min({n})) / (max({n}) - min({n})) * 100").alias(n) for n in names]).first()
+    return _rounded(_rows(spark, [(n, v, float(r[n])) for n, v in assess.importance(f, "CHARGES").items()], "construct string, importance double, performance double"), "importance", "performance")
+
+
+# Regressions
+
+
+@_query("ols_hc3", f"WITH {ORDERS_SQL} SELECT * FROM (SELECT '(intercept)' AS term, round(regr_intercept(gross, q), 4) AS estimate FROM f UNION ALL SELECT 'q', round(regr_slope(gross, q), 4) FROM f)")
+def _(spark, d):
+    return regression.ols_hc3(orders(spark, d), "gross", ["q"])[0].select("term", F.round("estimate", 4).alias("estimate"))
+
+
+@_query("ols_hc3_errors", f"""WITH {ORDERS_SQL}, m AS (SELECT avg(q) AS mq, regr_sxx(gross, q) AS sxx, count(*) AS k, regr_slope(gross, q) AS b, regr_intercept(gross, q) AS a FROM f
+), e AS (SELECT (q - mq) AS z, (gross - a - b * q) / (1 - 1 / k - (q - mq) * (q - mq) / sxx) AS u, sxx FROM f, m)
+SELECT 'q' AS term, round(sqrt(sum(z * z * u * u)) / max(sxx), 5) AS se FROM e""")
+def _(spark, d):
+    return regression.ols_hc3(orders(spark, d), "gross", ["q"])[0].filter("term = 'q'").select("term", F.round("se", 5).alias("se"))
+
+
+@_query("ols_multiple")
+def _(spark, d):
+    return _rounded(regression.ols_hc3(orders(spark, d), "gross", ["q", "n", "disc"])[0], "estimate", "se", "t", "p", "low", "high")
+
+
+@_query("logistic")
+def _(spark, d):
+    t = orders(spark, d).select("n", (F.col("gross") >= 100_000).cast("int").alias("big"))
+    return _rounded(regression.logistic(t, "big", ["n"])[0], "estimate", "se", "z", "p", "odds")
+
+
+@_query("pca")
+def _(spark, d):
+    return _rounded(regression.pca(orders(spark, d), _COLUMNS), "eigenvalue", "share", "loading")
+
+
+@_query("pca_two", f"WITH {ORDERS_SQL} SELECT 1 AS component, round(1 + corr(q, n), 6) AS eigenvalue FROM f UNION ALL SELECT 2, round(1 - corr(q, n), 6) FROM f")
+def _(spark, d):
+    return regression.pca(orders(spark, d), ["q", "n"]).select("component", F.round("eigenvalue", 6).alias("eigenvalue")).distinct()
+
+
+@_query("nca_peers", f"WITH {ORDERS_SQL}, t AS (SELECT n AS x, max(gross) AS y FROM f GROUP BY n), b AS (SELECT x, y, max(y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t) SELECT x, round(y, 4) AS y FROM b WHERE p IS NULL OR y > p")
+def _(spark, d):
+    return _rounded(regression.nca_peers(orders(spark, d), "n", "gross"), "y").withColumn("y", F.round("y", 4))
+
+
+@_query("nca", f"""WITH {ORDERS_SQL}, t AS (SELECT n AS x, max(gross) AS y FROM f GROUP BY n), b AS (SELECT x, y, max(y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t
+), s AS (SELECT min(n) AS x0, max(n) AS x1, min(gross) AS y0, max(gross) AS y1 FROM f
+), k AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS nx FROM b WHERE p IS NULL OR y > p)
+SELECT 'ce_fdh' AS ceiling, round(sum((coalesce(nx, x1) - x) * (y1 - y)) / max((x1 - x0) * (y1 - y0)), 6) AS effect FROM k, s""")
+def _(spark, d):
+    return regression.nca(orders(spark, d), "n", "gross").filter("ceiling = 'ce_fdh'").select("ceiling", F.round("effect", 6).alias("effect"))
+
+
+# Resampling
+
+
+@_query("rs_plan", "SELECT rep::BIGINT AS rep, pos::BIGINT AS pos, count(*) AS times FROM (SELECT rep, ('0x' || substr(sha256('1:' || rep || ':' || i), 1, 13))::BIGINT % 200 AS pos FROM range(20) a(rep), range(200) b(i)) GROUP BY ALL")
+def _(spark, d):
+    return resample.bootstrap_plan(spark, 200, 20)
+
+
+@_query("fold_plan", "SELECT o_orderkey, (row_number() OVER (ORDER BY sha256('1:0:' || o_orderkey), o_orderkey) - 1) % 10 AS fold FROM orders")
+def _(spark, d):
+    return resample.fold_plan(table(spark, d, "orders"), "o_orderkey", 10)
+
+
+@_query("rs_boot_pls")
+def _(spark, d):
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)
+    return _rounded(resample.summary(t, pls.tidy(spark, ref), 200), "estimate", "mean", "bias", "se", "low", "high", "p")
+
+
+@_query("rs_jackknife")
+def _(spark, d):
+    t = frames.customers(spark, d)
+    f = pls.estimate(t, order_model())
+    j = resample.jackknife(t, f, "o_custkey").filter("kind = 'path'")
+    return _rounded(j.groupBy("source", "target").agg(F.count("*").alias("n"), F.expr("sqrt((count(*) - 1) * var_pop(estimate))").alias("se")), "se")
+
+
+@_query("mga_permutation")
+def _(spark, d):
+    return _rounded(resample.group_difference(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 100), "first", "second", "difference", "p")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"stat_summary": stat_summary}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "stat_summary": "SELECT count(l_quantity) AS n, round(avg(l_quantity), 8) AS mean,"
-        " round(var_samp(l_quantity), 6) AS variance FROM lineitem"
-    }
+    return dict(_SQL)
