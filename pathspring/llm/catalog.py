@@ -67,5 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_topk": oracles.TOPK, "op2_substring": substring.ORACLE, "op3_url_filter": url_filter.oracle(), "op6_decontaminate": decontaminate.ORACLE, "op8_chat": chat.ORACLE}
+    sql = {"op1_topk": oracles.TOPK, "op2_substring": substring.ORACLE, "op3_url_filter": url_filter.oracle(), "op5_minhash": near_dup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_mixing": mixing.oracle(), "op8_chat": chat.ORACLE}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -43,6 +43,11 @@ def _permuted(j: Column, n: Column, seed: Column) -> Column:
     return F.pmod(product.cast("long") + F.pmod(seed, n), n)
 
 
+def _hashed(text: Column) -> Column:
+    """A whole number of 32 bits from a text, by MD5: SQL elsewhere has it too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, key (the source, with a key for null), source, size: words of the whole text."""
     return docs.select(
@@ -76,7 +81,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def packed(sized: DataFrame) -> DataFrame:
     """Documents with words, each with the offset of its first word in its source."""
-    t = sized.filter(F.col("size") > 0).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    t = sized.filter(F.col("size") > 0).withColumn("bucket", F.pmod(_hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)))
     totals = t.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -100,7 +105,7 @@ def slots(aims: DataFrame, seed: int = 42, block: int = BLOCK, shard_slots: int
     t = t.repartition("key", "chunk")
     t = t.withColumn("j", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("count"), (F.col("chunk") + 1) * CHUNK) - 1)))
     place = _permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(seed * 7919))
-    index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.xxhash64("key", F.lit(seed)))
+    index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), _hashed(F.concat("key", F.lit(f":{seed}"))))
     return t.select(F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).alias("slot"), "key", index.alias("index"), F.floor(F.col("j") / F.col("blocks")).alias("pass"))
 
 
@@ -153,3 +158,38 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int =
     blocks = pieces.groupBy("key", "index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("text")))), lambda p: p["text"]), " ").alias("text"))
     out = slots(targets(sized, weights), seed, block).join(blocks, ["key", "index"])
     return out.select("shard", "slot", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source"), "index", "pass", "text")
+
+
+def oracle(seed: int = 42) -> str:
+    """The rows of mix() in DuckDB SQL."""
+    a = "CASE " + " ".join(f"WHEN blocks % {p} <> 0 THEN {p}" for p in PRIMES[:-1]) + f" ELSE {PRIMES[-1]} END"
+    weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
+    return rf"""
+WITH s AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), a0 AS (SELECT key, sum(size)::BIGINT AS source_size FROM s GROUP BY key
+), a1 AS (SELECT *, 3 * source_size AS cap, [{weights}][1 + (row_number() OVER (ORDER BY key = '', key) - 1) % {len(WEIGHTS)}] AS w FROM a0
+), a2 AS (
+  SELECT *, (sum(source_size) OVER ())::BIGINT AS total, sum(w) OVER () AS weight, coalesce(sum(cap) OVER o, 0)::BIGINT AS capped, coalesce(sum(w) OVER o, 0) AS used
+  FROM a1 WINDOW o AS (ORDER BY cap / w, key = '', key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), a3 AS (SELECT *, cap * (weight - used) <= (total - capped) * w AS stops FROM a2
+), a4 AS (
+  SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (total - (sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ())::BIGINT)
+         / nullif(weight - sum(CASE WHEN stops THEN w ELSE 0 END) OVER (), 0) * w END AS target FROM a3
+), a5 AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks, ('0x' || substr(md5(key || ':{seed}'), 1, 8))::BIGINT AS seed FROM a4 WHERE source_size > 0
+), reads AS (
+  SELECT key, index, count(*) AS times FROM (
+    SELECT key, ((({a}) % blocks) * (j % blocks) % blocks + seed % blocks) % blocks AS index FROM (
+      SELECT *, unnest(range(least(round(target * blocks / source_size)::BIGINT, {MOST} * blocks))) AS j FROM a5)
+  ) GROUP BY key, index
+), o AS (
+  SELECT doc_id, key, size, coalesce(sum(size) OVER (PARTITION BY key ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {BUCKETS}, doc_id, size
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s WHERE size > 0
+), taken AS (
+  SELECT doc_id, key, size, pos, sum(coalesce(times, 0) * (least(pos + size, (i + 1) * {BLOCK}) - greatest(pos, i * {BLOCK})))::BIGINT AS taken
+  FROM (SELECT *, unnest(range(pos // {BLOCK}, (pos + size - 1) // {BLOCK} + 1)) AS i FROM o) p LEFT JOIN (SELECT key AS k, index, times FROM reads) r ON k = key AND index = i
+  GROUP BY doc_id, key, size, pos
+)
+SELECT doc_id, size, source_size, target, taken FROM (
+  SELECT doc_id, key, size, taken FROM taken UNION ALL SELECT doc_id, key, size, 0 FROM s WHERE size = 0
+) JOIN a4 USING (key)"""

@@ -221,10 +221,26 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     links = work.mapInArrow(_confirm(numerator, denominator, shingle), "u long, v long")
 
     members = full.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("doc_id", "n", "node")
-    versions = members.filter("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).filter("u <> v").select("u", "v")
+    versions = members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
+    versions = versions.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v")
     found = components(links.unionByName(versions))
     members = members.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     empty = prints.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
     rows = members.unionByName(empty).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(doc, node) AS (SELECT doc_id, doc_id FROM d UNION SELECT doc, b FROM reach JOIN both_ways ON node = a
+), c AS (SELECT doc, min(node) AS component_id FROM reach GROUP BY doc)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c ON doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
