@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathspring.functions import transforms as tx
-from pathspring.operators import assess, pls, regression, resample
+from pathspring.operators import assess, extend, pls, regression, resample, sem
 from pathspring.operators.moments import moments
 from pathspring.plans import frames
 from pathspring.plans.frames import ORDERS_SQL, order_model, orders, table
+from pathspring.plans.model import model
 from pathspring.sources import tables
 
 FLAGSHIP = "pls_pm"
@@ -366,6 +367,77 @@ def _(spark, d):
     return _rounded(resample.group_difference(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 100), "first", "second", "difference", "p")
 
 
+# Extensions
+
+
+@_query("moderation_two_stage")
+def _(spark, d):
+    return _rounded(extend.moderation(orders(spark, d), order_model(), [("SIZE", "VALUE", "CHARGES")]), "estimate", "r2")
+
+
+@_query("nonlinear")
+def _(spark, d):
+    return _rounded(extend.nonlinear(orders(spark, d), order_model()), "linear", "quadratic", "r2_change")
+
+
+@_query("copula")
+def _(spark, d):
+    return _rounded(extend.copula(orders(spark, d), order_model(), "CHARGES", "VALUE"), "estimate", "skewness")
+
+
+@_query("hoc_two_stage")
+def _(spark, d):
+    return _rounded(extend.higher_order(orders(spark, d), order_model(), "SCALE", ["SIZE", "VALUE"], [("SCALE", "CHARGES")]), "estimate")
+
+
+@_query("predict_kfold")
+def _(spark, d):
+    t = extend.predict(orders(spark, d), order_model(), "CHARGES", "l_orderkey", 10)
+    return _rounded(t, "rmse_pls", "rmse_lm", "rmse_mean", "mae_pls", "q2", "t", "p")
+
+
+@_query("gsca")
+def _(spark, d):
+    return _rounded(extend.gsca(orders(spark, d), order_model()), "estimate")
+
+
+@_query("micom")
+def _(spark, d):
+    t = extend.micom(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 60)
+    return _rounded(t, *[c for c, k in t.dtypes if k == "double"])
+
+
+@_query("power_mc")
+def _(spark, d):
+    return extend.power(spark, 0.35, 80, 100)
+
+
+# Covariance structures
+
+
+def _factors():
+    return model({"SIZE": ["q", "n"], "VALUE": ["gross", "mx", "disc"]}, [("SIZE", "VALUE")])
+
+
+def _scaled(spark, d):
+    t = orders(spark, d)
+    return t.select((F.col("q") / 50).alias("q"), "n", *[(F.col(c) / 10_000).alias(c) for c in ("gross", "mx")], (F.col("disc") / 1000).alias("disc"))
+
+
+@_query("sem_ml")
+def _(spark, d):
+    m = _factors()
+    f = sem.estimate(m, moments(_scaled(spark, d), m.indicators))
+    return _rounded(_rows(spark, sem.table(f), "kind string, left string, right string, estimate double, se double, z double, p double, std_all double"), "estimate", "se", "z", "p", "std_all")
+
+
+@_query("sem_fit")
+def _(spark, d):
+    m = _factors()
+    f = sem.estimate(m, moments(_scaled(spark, d), m.indicators))
+    return _rounded(_rows(spark, sem.fit_statistics(f), "statistic string, value double, reason string"), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
