@@ -90,8 +90,8 @@ def unpack(names: Sequence[str], n: int, w: float, sums, products, shift) -> Mom
 
 def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> Moments:
     """The moments of the complete cases of the columns."""
-    full = _complete(df, columns)
     if len(columns) <= WIDE:
+        full = _complete(df, columns)
         shift = shift_of(full, columns)
         r = moments_by(full, columns, [], weight, shift).first()
         if not r["n"]:
@@ -102,10 +102,12 @@ def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
     def partial(batches):
         n, w, mean, cross = 0, 0.0, np.zeros(p), np.zeros((p, p))
         for batch in batches:
-            if not batch.num_rows:
-                continue
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)])
             v = batch.column(p).to_numpy(zero_copy_only=False)
+            full = ~np.isnan(x).any(axis=1)  # here and not in a filter: one of many columns makes the optimizer slow
+            x, v = x[full], v[full]
+            if not len(v):
+                continue
             m = v @ x / v.sum()
             c = (x - m).T @ ((x - m) * v[:, None])
             both = w + v.sum()
@@ -116,7 +118,7 @@ def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
         yield pa.RecordBatch.from_pydict({"n": [n], "w": [w], "mean": [mean.tolist()], "cross": [cross.ravel().tobytes()]})
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    t = full.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], w.alias("v"))
+    t = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], w.alias("v"))
     total: Moments | None = None
     for r in t.mapInArrow(partial, "n long, w double, mean array<double>, cross binary").filter("n > 0").toLocalIterator():
         part = Moments(tuple(columns), r["n"], r["w"], np.array(r["mean"]), np.frombuffer(r["cross"]).reshape(p, p))

@@ -84,7 +84,7 @@ def logistic(df: DataFrame, y: str, xs: list[str], tolerance: float = 1e-8, most
         ll = F.col(y) * eta - F.when(eta > 0, eta + F.log1p(F.exp(-eta))).otherwise(F.log1p(F.exp(eta)))
         s = _triangle({f"g{i}": r * w[i] for i in range(k)} | {f"h{i}_{j}": v * w[i] * w[j] for i in range(k) for j in range(i, k)} | {"ll": ll}, full)
         hess = np.array([[s[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        if np.linalg.eigvalsh(hess)[0] <= np.linalg.eigvalsh(hess)[-1] * 1e-14 or np.abs(beta).max() > 1e4:
+        if np.linalg.eigvalsh(hess)[0] <= np.linalg.eigvalsh(hess)[-1] * 1e-14 or s["ll"] > -1e-6 * seen["n"]:
             raise ValueError("the outcomes are separated or predictors dependent")
         move = np.linalg.solve(hess, np.array([s[f"g{i}"] for i in range(k)]))
         if np.abs(move).max() <= tolerance or (before is not None and abs(before - s["ll"]) <= tolerance * 1e-3):
