@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathspring.functions import transforms as tx
-from pathspring.operators import assess, extend, pls, regression, resample, sem
+from pathspring.operators import assess, extend, inference, pls, regression, resample, sem
 from pathspring.operators.moments import moments
 from pathspring.plans import frames
 from pathspring.plans.frames import ORDERS_SQL, order_model, orders, table
@@ -438,6 +438,280 @@ def _(spark, d):
     return _rounded(_rows(spark, sem.fit_statistics(f), "statistic string, value double, reason string"), "value")
 
 
+# Statistics one by one
+
+
+@_query("stat_mean", "SELECT round(avg(o_totalprice), 6) AS mean FROM orders")
+def _(spark, d):
+    return _rounded(table(spark, d, "orders").agg(F.avg("o_totalprice").alias("mean")), "mean")
+
+
+@_query("stat_var", "SELECT round(var_samp(p_retailprice), 6) AS variance FROM part")
+def _(spark, d):
+    return _rounded(table(spark, d, "part").agg(F.var_samp("p_retailprice").alias("variance")), "variance")
+
+
+@_query("q_type7", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.025), 6) AS low, round(quantile_cont(o_totalprice, 0.975), 6) AS high FROM orders GROUP BY o_orderstatus")
+def _(spark, d):
+    t = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.percentile("o_totalprice", F.lit(0.025)).alias("low"), F.percentile("o_totalprice", F.lit(0.975)).alias("high"))
+    return _rounded(t, "low", "high")
+
+
+@_query("stat_rho_a", f"WITH {ORDERS_SQL}, r AS (SELECT corr(q, n) AS r FROM f) SELECT round(power(2 / (2 + 2 * r), 2) * (2 * r / (2 + 2 * r)) / (2 / power(2 + 2 * r, 2)), 6) AS rho_a FROM r")
+def _(spark, d):
+    m = moments(orders(spark, d), ["q", "n"])
+    f = pls.fixed(model({"SIZE": ["q", "n"]}, []), m)
+    return _rows(spark, [(round(float(pls.rho_a(f.s, f.weights[:, 0])), 6),)], "rho_a double")
+
+
+@_query("prep_scale", "SELECT p_partkey, round(p_size - (SELECT avg(p_size) FROM part), 6) AS centred FROM part")
+def _(spark, d):
+    t = table(spark, d, "part")
+    m = moments(t, ["p_size"])
+    return t.select("p_partkey", F.round(F.col("p_size") - float(m.mean[0]), 6).alias("centred"))
+
+
+# Previews, metadata, files
+
+
+@_query("tx_preview", "SELECT p_partkey, (51 - p_size)::DOUBLE AS reversed FROM part ORDER BY p_partkey LIMIT 20")
+def _(spark, d):
+    t = tx.reverse_scale(table(spark, d, "part"), "reversed", "p_size", 1, 50)
+    return tables.page(t.select("p_partkey", F.col("reversed").cast("double").alias("reversed")), ["p_partkey"], 0, 20)
+
+
+@_query("tx_lineage", """SELECT 'Transform' AS operation, '{"column":"p_size","high":50,"low":1}' AS spec, sha256('{"column":"p_size","high":50,"low":1}') AS spec_sha256""")
+def _(spark, d):
+    r = tx.lineage("Transform", {"column": "p_size", "low": 1, "high": 50})
+    return _rows(spark, [(r["operation"], r["spec"], r["spec_sha256"])], "operation string, spec string, spec_sha256 string")
+
+
+@_query("var_search", "SELECT * FROM (VALUES ('p_retailprice')) AS t(name)")
+def _(spark, d):
+    return _rows(spark, [(x,) for x in tables.variables(table(spark, d, "part"), "PRICE")], "name string")
+
+
+@_query("meta_update", "SELECT 'p_size' AS name, 'Size of the part' AS label")
+def _(spark, d):
+    t = tables.with_metadata(table(spark, d, "part"), "p_size", label="Size of the part")
+    return _rows(spark, [(x, t.schema[x].metadata["label"]) for x in tables.variables(t, "size of")], "name string, label string")
+
+
+@_query("src_delimited", "SELECT n_nationkey::DOUBLE AS n_nationkey, n_name FROM nation")
+def _(spark, d):
+    path = tables.scratch(spark, "nation.csv")
+    table(spark, d, "nation").select("n_nationkey", "n_name").write.csv(path, header=True)
+    return tables.read_delimited(spark, path)
+
+
+@_query("reopen_verify", "SELECT count(*) AS rows, true AS same FROM supplier")
+def _(spark, d):
+    path = tables.scratch(spark, "supplier")
+    t = table(spark, d, "supplier")
+    tables.archive(t, path, {"name": "supplier"})
+    back, _ = tables.reopen(spark, path)
+    return back.agg(F.count("*").alias("rows")).withColumn("same", F.lit(True))
+
+
+@_query("src_matrix", "SELECT 'a' AS i, 'b' AS j, 0.5::DOUBLE AS r")
+def _(spark, d):
+    m = tables.matrix_moments(["a", "b"], [[4.0, 3.0], [3.0, 9.0]], 100)
+    return _rows(spark, [("a", "b", round(float(m.corr()[0, 1]), 9))], "i string, j string, r double")
+
+
+# Path models, other forms
+
+
+@_query("pls_init_individual")
+def _(spark, d):
+    m = moments(orders(spark, d), order_model().indicators)
+    first = pls.fit(order_model(), m)
+    return _rounded(pls.tidy(spark, pls.fit(order_model(), m, start=abs(first.weights) + 0.1 * (first.weights != 0))), "estimate")
+
+
+@_query("pls_fixed_scoring", f"""WITH {ORDERS_SQL}, z AS (SELECT (q - avg(q) OVER ()) / stddev_samp(q) OVER () + (n - avg(n) OVER ()) / stddev_samp(n) OVER () AS a, (gross - avg(gross) OVER ()) / stddev_samp(gross) OVER () + (mx - avg(mx) OVER ()) / stddev_samp(mx) OVER () AS b FROM f)
+SELECT 'SIZE' AS source, 'VALUE' AS target, round(corr(a, b), 6) AS estimate FROM z""")
+def _(spark, d):
+    f = pls.fixed(order_model(), moments(orders(spark, d), order_model().indicators))
+    return _rounded(pls.tidy(spark, f).filter("kind = 'path' and source = 'SIZE' and target = 'VALUE'").select("source", "target", "estimate"), "estimate")
+
+
+@_query("pls_controls")
+def _(spark, d):
+    return _rounded(pls.tidy(spark, _fit(spark, d)).filter("kind = 'path' and source = 'SIZE' and target = 'CHARGES'"), "estimate")
+
+
+def _wide_model():
+    return model({"Q": ["q"], "N": ["n"], "M": ["mx"], "CHARGES": ["disc", "tax"]}, [("Q", "CHARGES"), ("N", "CHARGES"), ("M", "CHARGES"), ("Q", "M")])
+
+
+@_query("moderation_multi")
+def _(spark, d):
+    return _rounded(extend.moderation(orders(spark, d), _wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES")]), "estimate", "r2")
+
+
+@_query("moderation_three_way")
+def _(spark, d):
+    return _rounded(extend.moderation(orders(spark, d), _wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]), "estimate", "r2")
+
+
+@_query("moderated_mediation")
+def _(spark, d):
+    return _rounded(extend.moderated_mediation(orders(spark, d), _wide_model(), "Q", "M", "CHARGES", "N"), "indirect", "index")
+
+
+@_query("hoc_repeated")
+def _(spark, d):
+    t = extend.repeated_indicators(orders(spark, d), order_model(), "SCALE", ["SIZE", "VALUE"], [("SIZE", "SCALE"), ("VALUE", "SCALE"), ("SCALE", "CHARGES")])
+    return _rounded(t, "estimate")
+
+
+@_query("as_q2_blindfold")
+def _(spark, d):
+    return _rounded(inference.blindfold(frames.customers(spark, d), order_model(), "o_custkey"), "q2")
+
+
+# Inference
+
+
+@_query("rs_htmt_boot")
+def _(spark, d):
+    t = inference.replicated(frames.customers(spark, d), order_model().indicators, "o_custkey", 100, inference.htmt_of(order_model()))
+    return _rounded(inference.intervals(t, 100), "value", "se", "low", "high")
+
+
+@_query("rs_regression")
+def _(spark, d):
+    t = inference.replicated(frames.customers(spark, d), ["q", "n", "gross"], "o_custkey", 100, inference.slopes_of("gross", ["q", "n"]))
+    return _rounded(inference.intervals(t, 100), "value", "se", "low", "high")
+
+
+@_query("rs_mediation")
+def _(spark, d):
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 100)
+    return _rounded(resample.summary(t.filter("kind in ('indirect', 'failed')"), pls.tidy(spark, ref), 100), "estimate", "mean", "bias", "se", "low", "high", "p")
+
+
+@_query("rs_boot_plsc")
+def _(spark, d):
+    ref, t = resample.bootstrap(orders(spark, d), order_model(), "l_orderkey", 20, consistent=True)
+    return _rounded(resample.summary(t, pls.tidy(spark, ref), 20), "estimate", "mean", "bias", "se", "low", "high", "p")
+
+
+@_query("rs_freedman_lane")
+def _(spark, d):
+    return _rounded(inference.freedman_lane(frames.customers(spark, d), order_model(), "SIZE", "CHARGES", "o_custkey", 99), "estimate", "p")
+
+
+@_query("rs_fit_exact")
+def _(spark, d):
+    return _rounded(inference.exact_fit(frames.customers(spark, d), order_model(), "o_custkey", 60), "value", "p")
+
+
+@_query("rs_bca")
+def _(spark, d):
+    t = frames.customers(spark, d)
+    ref, boot = resample.bootstrap(t, order_model(), "o_custkey", 100)
+    jack = resample.jackknife(t, ref, "o_custkey")
+    rows = []
+    for a, b in order_model().paths:
+        pick = lambda x: x.filter((F.col("kind") == "path") & (F.col("source") == a) & (F.col("target") == b)).orderBy("rep").select("estimate").toPandas()["estimate"].to_numpy()  # noqa: E731, B023
+        n = order_model().names
+        bounds = resample.bca(pick(boot), float(ref.paths[n.index(a), n.index(b)]), pick(jack))
+        rows.append((a, b, *(bounds or (None, None))))
+    return _rounded(_rows(spark, rows, "source string, target string, low double, high double"), "low", "high")
+
+
+@_query("posthoc_n")
+def _(spark, d):
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 60)
+    s = resample.summary(t, pls.tidy(spark, ref), 60).filter("kind = 'path' and p < 0.05").collect()
+    return _rows(spark, [(inference.technical_sample_size([r["estimate"] for r in s]),)], "minimum_n long")
+
+
+@_query("pls_pos")
+def _(spark, d):
+    return _rounded(inference.segments(frames.customers(spark, d), order_model(), "CHARGES", "o_custkey")[0], "share", "estimate")
+
+
+@_query("fimix")
+def _(spark, d):
+    return _rounded(inference.segments(frames.customers(spark, d), order_model(), "CHARGES", "o_custkey", 2)[1], "value")
+
+
+@_query("process_path")
+def _(spark, d):
+    return _rounded(inference.moderated_path(orders(spark, d), "gross", "q", "n")[1], "level", "slope", "region_low", "region_high")
+
+
+@_query("nca_permutation")
+def _(spark, d):
+    return _rounded(inference.nca_permutation(frames.customers(spark, d), "norders", "gross", "o_custkey", 29), "effect", "p")
+
+
+# Covariance structures, other forms
+
+
+@_query("sem_matrix_input")
+def _(spark, d):
+    m = moments(_scaled(spark, d), _factors().indicators)
+    again = tables.matrix_moments(m.names, m.cov(), m.n)
+    return _rounded(_rows(spark, sem.fit_statistics(sem.estimate(_factors(), again)), "statistic string, value double, reason string"), "value")
+
+
+@_query("cfa_ml")
+def _(spark, d):
+    m = model({"SIZE": ["q", "n"], "VALUE": ["gross", "mx", "disc"]}, [])
+    f = sem.estimate(m, moments(_scaled(spark, d), m.indicators))
+    return _rounded(_rows(spark, sem.table(f), "kind string, left string, right string, estimate double, se double, z double, p double, std_all double"), "estimate", "se", "z", "p", "std_all")
+
+
+@_query("mod_screen")
+def _(spark, d):
+    f = sem.estimate(_factors(), moments(_scaled(spark, d), _factors().indicators))
+    return _rounded(_rows(spark, sem.modification_screen(f), "left string, right string, value double"), "value")
+
+
+@_query("score_lm")
+def _(spark, d):
+    f = sem.estimate(_factors(), moments(_scaled(spark, d), _factors().indicators))
+    return _rounded(_rows(spark, [("SIZE", "disc", *sem.score_test(f, sem.Parameter("loading", 4, 0)))], "factor string, indicator string, statistic double, p double"), "statistic", "p")
+
+
+@_query("sem_nested_lrt")
+def _(spark, d):
+    m = moments(_scaled(spark, d), _factors().indicators)
+    pars = sem.parameters(_factors())
+    tied = [sem.Parameter(q.matrix, q.i, q.j, "equal" if q.matrix == "loading" and q.j == 1 else "") for q in pars]
+    r = sem.nested_test(sem.estimate(_factors(), m, tied), sem.estimate(_factors(), m))
+    return _rounded(_rows(spark, [r], "chi2 double, df int, p double"), "chi2", "p")
+
+
+@_query("sem_invariance")
+def _(spark, d):
+    t = frames.customers(spark, d)
+    m = model({"VALUE": ["gross", "mx", "disc", "tax"]}, [])
+    t = t.select("c_mktsegment", *[(F.col(c) / s).alias(c) for c, s in (("gross", 100_000), ("mx", 10_000), ("disc", 10_000), ("tax", 10_000))])
+    g = [moments(t.filter(F.col("c_mktsegment") == x), m.indicators) for x in ("AUTOMOBILE", "BUILDING")]
+    return _rounded(_rows(spark, [sem.two_groups(m, *g)], "configural_chi2 double, configural_df int, metric_chi2 double, metric_df int"), "configural_chi2", "metric_chi2")
+
+
+@_query("rs_cbsem")
+def _(spark, d):
+    m = _factors()
+
+    def statistic(x):
+        return {f"{r[0]}:{r[1]}:{r[2]}": r[3] for r in sem.table(sem.estimate(m, x)) if r[0] in ("loading", "path")}
+
+    t = inference.replicated(_keyed(spark, d), m.indicators, "l_orderkey", 40, statistic)
+    return _rounded(inference.intervals(t, 40), "value", "se", "low", "high")
+
+
+def _keyed(spark, d):
+    t = orders(spark, d)
+    return t.select("l_orderkey", (F.col("q") / 50).alias("q"), "n", *[(F.col(c) / 10_000).alias(c) for c in ("gross", "mx")], (F.col("disc") / 1000).alias("disc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

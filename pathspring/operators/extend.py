@@ -25,26 +25,31 @@ def _regress(m: Moments, y: str, xs: list[str]) -> tuple[dict[str, float], float
     return {x: float(v) for x, v in zip(xs, b)}, float(b @ s[:-1, -1] / s[-1, -1])
 
 
-def moderation(df: DataFrame, model: PathModel, terms: list[tuple[str, str, str]], **options) -> DataFrame:
-    """target, predictor, estimate, r2: two-stage moderation. terms: (predictor, moderator, target), fitted together.
+def moderation(df: DataFrame, model: PathModel, terms: list[tuple[str, ...]], **options) -> DataFrame:
+    """target, predictor, estimate, r2: two-stage moderation. terms: (factors ..., target), fitted together.
 
-    Stage one gives the scores; standardised products of scores join the target's
-    predictors in stage two. One projection and one aggregate more than the model.
+    Stage one gives the scores; products of two or more scores join the target's
+    predictors in stage two. Coefficients of products are per standard deviation of
+    the product. One projection and one aggregate more than the model.
     """
     f = pls.estimate(df, model, **options)
     t = pls.scores(df, f, [])
-    names = {}
-    for x, w, y in terms:
-        if (x, y) not in model.paths or (w, y) not in model.paths:
-            raise ModelError(f"{x} and {w} must have paths to {y}")
-        names[(x, w)] = f"{x}*{w}"
-        t = t.withColumn(f"{x}*{w}", F.col(x) * F.col(w))
-    columns = [*model.names, *names.values()]
-    t = t.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    products = []
+    for *factors, y in terms:
+        if any((x, y) not in model.paths for x in factors):
+            raise ModelError(f"each of {factors} must have a path to {y}")
+        name = "*".join(factors)
+        value = F.col(factors[0])
+        for x in factors[1:]:
+            value = value * F.col(x)
+        t = t.withColumn(name, value) if name not in t.columns else t
+        products.append((name, y))
+    columns = t.columns
+    t = t.toDF(*[f"c{i}" for i in range(len(columns))])
     m = moments(t, t.columns)
     sd, rows = m.sd(), []
-    for y in dict.fromkeys(y for _, _, y in terms):
-        xs = [a for a, b in model.paths if b == y] + [names[(x, w)] for x, w, target in terms if target == y]
+    for y in dict.fromkeys(y for _, y in products):
+        xs = [a for a, b in model.paths if b == y] + [name for name, target in products if target == y]
         b, r2 = _regress(m, f"c{columns.index(y)}", [f"c{columns.index(x)}" for x in xs])
         for x in xs:
             i = columns.index(x)
@@ -52,6 +57,24 @@ def moderation(df: DataFrame, model: PathModel, terms: list[tuple[str, str, str]
     return df.sparkSession.createDataFrame(rows, "target string, predictor string, estimate double, r2 double")
 
 
+def moderated_mediation(df: DataFrame, model: PathModel, source: str, mediator: str, target: str, moderator: str, **options) -> DataFrame:
+    """level, indirect, index: the indirect effect at -1, 0 and 1 of a moderator of the second path, and the index (product times first path)."""
+    t = moderation(df, model, [(mediator, moderator, target)], **options)
+    b = {r["predictor"]: r["estimate"] for r in t.collect()}
+    f = pls.estimate(df, model, **options)
+    first = float(f.paths[model.names.index(source), model.names.index(mediator)])
+    product = b[f"{mediator}*{moderator}"]
+    return df.sparkSession.createDataFrame([(x, first * y, first * product) for x, y in simple_slopes(b[mediator], product)], "level double, indirect double, index double")
+
+
+def repeated_indicators(df: DataFrame, model: PathModel, name: str, parts: list[str], paths: list[tuple[str, str]], mode: str = "A", **options) -> DataFrame:
+    """Higher construct measured by all indicators of its parts once more (a tidy frame)."""
+    own = [i for c in model.constructs if c.name in parts for i in c.indicators]
+    wide = df.withColumns({f"{i}_again": F.col(i) for i in own})
+    whole = PathModel((*model.constructs, Construct(name, tuple(f"{i}_again" for i in own), mode)), tuple(paths))
+    return pls.tidy(df, pls.estimate(wide, whole, **options))
+
+
 def simple_slopes(main: float, product: float, levels=(-1.0, 0.0, 1.0)) -> list[tuple[float, float]]:
     """(level of the moderator in standard deviations, slope)."""
     return [(x, main + x * product) for x in levels]

@@ -154,6 +154,20 @@ def fit(model: PathModel, m: Moments, scheme: str = "path", preprocess: str = "s
     return Fit(model, m, s, w, c, loadings, b, r2, iterations, rho)
 
 
+def fixed(model: PathModel, m: Moments, weights: dict[str, float] | None = None) -> Fit:
+    """The estimates with given outer weights (all one, if none are), scaled to unit-variance scores; no iteration."""
+    m = m.of(model.indicators)
+    s, k = m.corr(), len(model.constructs)
+    w = np.zeros((len(s), k))
+    for j, c in enumerate(model.constructs):
+        block = model.block(c.name)
+        v = np.array([1.0 if weights is None else weights[x] for x in c.indicators])
+        w[block, j] = v / np.sqrt(v @ s[np.ix_(block, block)] @ v)
+    c = w.T @ s @ w
+    b, r2 = structural(model, c)
+    return Fit(model, m, s, w, c, s @ w, b, r2, 0)
+
+
 def estimate(df: DataFrame, model: PathModel, weight: str | None = None, **options) -> Fit:
     """The estimates from the complete cases of a frame; weight names a column of case weights above 0."""
     if weight:

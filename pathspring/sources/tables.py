@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -94,3 +96,25 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str =
     b = right.select(*keys, F.col(value).alias("right"), F.lit(True).alias("_r"))
     t = a.join(b, list(keys), "full")
     return t.select(*keys, "left", "right", (F.col("right") - F.col("left")).alias("difference"), F.when(F.col("_l") & F.col("_r"), "both").when(F.col("_l"), "left_only").otherwise("right_only").alias("status"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a local one where that is unset."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/pathspring/{uuid.uuid4().hex}-{name}"
+
+
+def archive(df: DataFrame, path: str, manifest: dict) -> None:
+    """The rows as Parquet and, beside them, the manifest with their fingerprint."""
+    f = fingerprint(df).first()
+    df.write.parquet(f"{path}/rows")
+    record = {**manifest, "rows": f["rows"], "digest": f["digest"]}
+    df.sparkSession.createDataFrame([(json.dumps(record, sort_keys=True),)], "manifest string").coalesce(1).write.text(f"{path}/manifest")
+
+
+def reopen(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rows and the manifest of an archive; rows whose fingerprint differs are refused."""
+    record = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    df = spark.read.parquet(f"{path}/rows")
+    if fingerprint(df).first()["digest"] != record["digest"]:
+        raise ImportFailure("the rows are not those that were archived")
+    return df, record
