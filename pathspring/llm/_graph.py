@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathspring.llm._store import written
+from pathspring.llm._store import arrow, written
 
 MOST_ROUNDS = 60
 
@@ -67,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges do no harm; without edges there are no rows.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    e = written(e.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    e = written(e.transform(arrow(_contract, "u long, v long")).distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()

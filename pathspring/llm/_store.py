@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns named, cast to the types named: other columns, whatever their names, are left out."""
-    return df.select([F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
+BATCH_BYTES = 4 << 20
+"""Bytes of an Arrow batch, where the session names none: batches of whole texts must not grow with the texts."""
+
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow(run, schema):
+    """For DataFrame.transform: mapInArrow with batches of bounded size, in workers that give their memory back after each task.
+
+    Workers are used again by later stages; freed memory that they keep would add up.
+    """
+
+    def lean(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    def mapped(df: DataFrame) -> DataFrame:
+        settings = df.sparkSession.conf
+        if _BATCH_SETTING not in settings.getAll:
+            settings.set(_BATCH_SETTING, str(BATCH_BYTES))
+        return df.mapInArrow(lean, schema)
+
+    return mapped
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

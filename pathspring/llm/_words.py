@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 """The delimiters of words ``[^\\x20\\x09-\\x0D]+``."""
@@ -57,7 +57,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 16)
+            size = max(1 << 16, 1 << (n - 1).bit_length())
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(size - 1, b, dtype=U64)]), dtype=U64) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
@@ -145,7 +145,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
-
-
-def longs(values) -> pa.Array:
-    return pa.array(np.asarray(values).view(np.int64) if getattr(values, "dtype", None) == U64 else values, type=pa.int64())

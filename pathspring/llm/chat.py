@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathspring.llm._store import arrow
+
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOW = 64
 """Turns that a rendered prefix holds at most."""
@@ -131,7 +133,7 @@ def digests(conversations: DataFrame, template=chatml, learn: str = "assistant",
             )
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return _sorted_turns(conversations, conv_col, turn_col, role_col, text_col).mapInArrow(_grouped(run), schema)
+    return _sorted_turns(conversations, conv_col, turn_col, role_col, text_col).transform(arrow(_grouped(run), schema))
 
 
 def _grouped(run):
@@ -160,7 +162,7 @@ def formatted(conversations: DataFrame, template=chatml, learn: str = "assistant
                 mask = (start, end) if role == learn else (None, None)
                 yield pa.RecordBatch.from_pydict({"conv_id": pa.array([conv], pa.int64()), "position": pa.array([i], pa.int64()), "role": [role], "span": [span], "loss_start": pa.array([mask[0]], pa.int64()), "loss_end": pa.array([mask[1]], pa.int64())})
 
-    return _sorted_turns(conversations, conv_col, turn_col, role_col, text_col).mapInArrow(_grouped(run), "conv_id long, position long, role string, span string, loss_start long, loss_end long")
+    return _sorted_turns(conversations, conv_col, turn_col, role_col, text_col).transform(arrow(_grouped(run), "conv_id long, position long, role string, span string, loss_start long, loss_end long"))
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathspring.llm._store import arrow
 from pathspring.llm._words import ALNUM_LOWER, U64, Words, slices
 
 THRESHOLD = 0.8
@@ -74,7 +75,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -
 
     if not len(vocabulary):
         return {}
-    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).transform(arrow(run, "token long, n long")).groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counts.collect()}
 
 
@@ -182,4 +183,4 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
                 )
 
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return t.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return t.transform(arrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathspring.llm._store import arrow
 from pathspring.llm._words import SPACED_LOWER, U64, Words, mix, slices
 
 VOCABULARY_BITS = 18
@@ -54,7 +55,7 @@ def _count(v: int, b: int):
         for batch in batches:
             flags = np.asarray(batch.column("target").to_pylist(), dtype=bool)
             at = 0
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 words = Words(part.column("text"), SPACED_LOWER)
                 chosen = np.repeat(flags[at : at + part.num_rows], words.counts)
                 at += part.num_rows
@@ -85,8 +86,8 @@ def _add(batches):
 
 def count_models(docs: DataFrame, v: int = VOCABULARY_BITS, b: int = BIGRAM_BITS) -> dict[tuple[str, str], np.ndarray]:
     """Counts of both models over docs (text, target). The result has a fixed number of cells."""
-    sums = docs.mapInArrow(_count(v, b), "part string, cell binary, n binary")
-    sums = sums.repartition(max(1, min(128, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part").mapInArrow(_add, "part string, cell binary, n binary")
+    sums = docs.transform(arrow(_count(v, b), "part string, cell binary, n binary"))
+    sums = sums.repartition(max(1, min(128, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part").transform(arrow(_add, "part string, cell binary, n binary"))
     counts = _zeros(v, b)
     for row in sums.toLocalIterator():
         model, kind, shard = row["part"].split("/")
@@ -149,4 +150,4 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS, v: int =
                 none = n == 0
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(means[0], mask=none), "background_loss": pa.array(means[1], mask=none), "score": pa.array(means[1] - means[0], mask=none)})
 
-    return t.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return t.transform(arrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"))

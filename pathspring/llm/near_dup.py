@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathspring.llm._graph import Union, components
-from pathspring.llm._store import written
+from pathspring.llm._store import arrow, written
 from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, slices
 
 SHINGLE = 5
@@ -205,7 +205,7 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     part. Other columns are ignored; an empty table gives no rows.
     """
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    prints = written(t.filter("doc_id is not null").mapInArrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary"), "fingerprints")
+    prints = written(t.filter("doc_id is not null").transform(arrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
     full = prints.filter("n > 0")
     classes = written(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "n", F.col("r.doc_id").alias("node"), "r.bands", "copies"), "classes")
 
@@ -218,7 +218,7 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     texts = full.select(F.col("doc_id").alias("node"), "h1", "h2", "sig", F.col("n").alias("size"), "packed")
     work = units.join(texts, ["node", "h1", "h2"]).select("cluster", "i", "j", "block", "node", "sig", "size", "packed")
     work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = work.mapInArrow(_confirm(numerator, denominator, shingle), "u long, v long")
+    links = work.transform(arrow(_confirm(numerator, denominator, shingle), "u long, v long"))
 
     members = full.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("doc_id", "n", "node")
     versions = members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)

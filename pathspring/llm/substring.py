@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathspring.llm._store import shuffle_partitions, written
+from pathspring.llm._store import arrow, shuffle_partitions, written
 from pathspring.llm._words import SPACED, U64, Prefix, Words, grams, mix, slices, text_bytes
 
 WINDOW = 20
@@ -183,7 +183,7 @@ def _with_texts(docs: DataFrame, places: DataFrame, buckets: int, columns: list[
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if f == "text" else part.column(f) for f in part.schema.names], names=[*part.schema.names])
 
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.select("doc_id", "text", *columns).schema.fields)
-    texts = docs.select("doc_id", "text", *columns).mapInArrow(squeeze, schema)
+    texts = docs.select("doc_id", "text", *columns).transform(arrow(squeeze, schema))
     bucket = F.coalesce(doc_bucket(F.col("doc_id"), buckets), F.lit(0)).cast("long")
     rest = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)]
     texts = texts.select(bucket.alias("bucket"), F.lit("text").alias("kind"), F.col("text").alias("blob"), "doc_id", *rest)
@@ -192,7 +192,7 @@ def _with_texts(docs: DataFrame, places: DataFrame, buckets: int, columns: list[
 
 
 def _texts_of_bucket(batches, kinds=_PLACE):
-    """(places of the bucket sorted by document, slice of its text rows); texts are unpacked about 2 MB at a time."""
+    """(places of the bucket sorted by document, slice of its text rows); texts are unpacked half a MB at a time."""
     unpack = zstandard.ZstdDecompressor()
     bucket, blobs, places = None, [], None
     for batch in batches:
@@ -217,7 +217,7 @@ def _texts_of_bucket(batches, kinds=_PLACE):
                 first = i
             texts.append(unpack.decompress(blob[i]).decode())
             size += len(texts[-1])
-            if size > 2_000_000:
+            if size > 500_000:
                 yield places, batch.slice(first, len(texts)), pa.array(texts, pa.large_string())
                 texts, size = [], 0
         if texts:
@@ -293,10 +293,10 @@ def _repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Places of repeated windows, as blobs in their documents' buckets."""
     n = shuffle_partitions(docs.sparkSession)
     known = docs.select("doc_id", "text").filter("doc_id is not null")
-    runs = known.mapInArrow(_find_runs(n, window, gram), _BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    places = written(runs.mapInArrow(_match_runs(n), _BLOBS), "run-places")
-    windows = _with_texts(known, places, n, []).mapInArrow(_open_windows(n, window), _BLOBS)
-    windows = windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows(n), _BLOBS)
+    runs = known.transform(arrow(_find_runs(n, window, gram), _BLOBS)).repartition(n, "bucket").sortWithinPartitions("bucket")
+    places = written(runs.transform(arrow(_match_runs(n), _BLOBS)), "run-places")
+    windows = _with_texts(known, places, n, []).transform(arrow(_open_windows(n, window), _BLOBS))
+    windows = windows.repartition(n, "bucket").sortWithinPartitions("bucket").transform(arrow(_match_windows(n), _BLOBS))
     return places.unionByName(windows)
 
 
@@ -345,7 +345,7 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
 
     t = _prepared(docs, id_col, text_col)
     places = _repeats(t, window, gram)
-    return _with_texts(t, places, shuffle_partitions(docs.sparkSession), []).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_texts(t, places, shuffle_partitions(docs.sparkSession), []).transform(arrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(out, pa.string()), *(rows.column(f"x{i}") for i in range(len(others)))], names=[f.name for f in schema.fields])
 
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
-    out = _with_texts(t, places, shuffle_partitions(docs.sparkSession), others).mapInArrow(run, schema)
+    out = _with_texts(t, places, shuffle_partitions(docs.sparkSession), others).transform(arrow(run, schema))
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 

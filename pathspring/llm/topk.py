@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathspring.llm._store import arrow
+
 SHARD = 8192
 """Vectors in a shard at most."""
 QUERY_BLOCK = 1024
@@ -168,12 +170,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec
     size = queries.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("cells")).first()
     blocks = max(1, math.ceil(size["n"] / QUERY_BLOCK))
     packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    packed = packed.repartition(blocks, "block").mapInArrow(_pack(4 * QUERY_BLOCK, True), _PACK)
+    packed = packed.repartition(blocks, "block").transform(arrow(_pack(4 * QUERY_BLOCK, True), _PACK))
     packed = packed.select("block", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    shards = vectors.mapInArrow(_pack(SHARD, False), _PACK).drop("block")
+    shards = vectors.transform(arrow(_pack(SHARD, False), _PACK)).drop("block")
     shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     if 8 * (size["cells"] or 0) <= BROADCAST_BYTES:
         packed = F.broadcast(packed)
-    found = shards.join(packed, "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = shards.join(packed, "block").transform(arrow(_search(k), "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
