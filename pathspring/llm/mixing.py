@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathspring.llm._store import written
+
 BLOCK = 128
 """Words in a block."""
 SHARD_SLOTS = 65536
@@ -131,8 +133,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int = BLOCK, mo
     words has target 0; other columns are ignored; an empty table gives no rows.
     The result depends on the rows and the seed alone.
     """
-    sized = sizes(docs, **columns)
-    aims = targets(sized, weights, most)
+    sized = written(sizes(docs, **columns), "sizes")  # each text is read once
+    aims = written(targets(sized, weights, most), "targets")
     offsets = packed(sized)
     reads = slots(aims, seed, block, most=most).groupBy("key", "index").agg(F.count("*").alias("times"))
     pieces = _pieces(offsets, block).join(reads, ["key", "index"], "left")
