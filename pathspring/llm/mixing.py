@@ -137,7 +137,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int = BLOCK, mo
     aims = written(targets(sized, weights, most), "targets")
     offsets = packed(sized)
     reads = slots(aims, seed, block, most=most).groupBy("key", "index").agg(F.count("*").alias("times"))
-    pieces = _pieces(offsets, block).join(reads, ["key", "index"], "left")
+    # without the hint the planner takes exploded slots to be as few as the sources they come from, and broadcasts them
+    pieces = _pieces(offsets, block).join(reads.hint("shuffle_merge"), ["key", "index"], "left")
     taken = pieces.groupBy("doc_id", "key", "size", "offset").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("words")).alias("taken"))
     none = sized.filter(F.col("size") == 0).select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"))
     rows = taken.select("doc_id", "key", "size", "taken").unionByName(none)
@@ -158,7 +159,7 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int =
     pieces = _pieces(packed(sized), block).join(texts, ["doc_id", "key", "size"])
     part = F.array_join(F.slice("w", (F.col("start") - F.col("offset") + 1).cast("int"), F.col("words").cast("int")), " ")
     blocks = pieces.groupBy("key", "index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("text")))), lambda p: p["text"]), " ").alias("text"))
-    out = slots(targets(sized, weights), seed, block).join(blocks, ["key", "index"])
+    out = slots(targets(sized, weights), seed, block).hint("shuffle_merge").join(blocks, ["key", "index"])
     return out.select("shard", "slot", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source"), "index", "pass", "text")
 
 
