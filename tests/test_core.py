@@ -240,7 +240,7 @@ def test_sources(spark, tmp_path):
 def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("nation", "part", "orders", "lineitem", "customer"):
+    for t in ("nation", "part", "orders", "lineitem", "customer", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     queries = catalog.queries()
     for name, sql in catalog.oracle_sql().items():
