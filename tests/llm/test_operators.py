@@ -252,6 +252,37 @@ def test_lm_score_is_the_formula(spark):
         assert got[d][3] == pytest.approx(loss["background"] - loss["target"], abs=1e-3)
 
 
+def test_lm_score_counts_each_word_apart(spark, monkeypatch):
+    """More words than 2**VOCABULARY_BITS, some of them alike in their first 18 bits, against counts by the words themselves."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(lm_score, "VOCABULARY_BITS", 4)
+    rng = random.Random(11)
+    docs = [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randrange(80)))) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 3)], "doc_id long, quality long, toxic long")
+    got = rows(lm_score.score(spark.createDataFrame(docs + [(None, "")], "doc_id long, text string").repartition(5), labels), "n_tokens", "target_loss", "background_loss")
+    loss = {}
+    for model, ds in (("target", docs[::3]), ("background", docs)):
+        split = [["", *t.split()] for _, t in ds]
+        word, context, pair = Counter(w for s in split for w in s[1:]), Counter(w for s in split for w in s[:-1]), Counter(p for s in split for p in zip(s, s[1:]))
+        loss[model] = word, context, pair
+    vocabulary = len(loss["background"][0])
+    assert vocabulary > 2000
+    for d, text in docs:
+        s = ["", *text.split()]
+        assert got[d][0] == len(s) - 1
+        for k, (model, scale) in enumerate((("target", 1.0), ("background", loss["target"][0].total() / loss["background"][0].total()))):
+            word, context, pair = loss[model]
+            p = [(scale * pair[v, w] + 8 * (scale * word[w] + 0.5) / (scale * word.total() + 0.5 * vocabulary)) / (scale * context[v] + 8) for v, w in zip(s, s[1:])]
+            assert got[d][1 + k] == (pytest.approx(-sum(map(math.log, p)) / len(p), rel=1e-9) if p else None)
+
+
+def test_lm_score_target_counts_all_good_labels(spark):
+    labels = spark.range(20_050).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
+    assert lm_score.target_ids(labels).count() == 20_050
+
+
 def test_kneser_ney_is_a_distribution():
     import numpy as np
 
