@@ -305,6 +305,23 @@ def test_quality_on_held_out_labels(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in judged.filter("accepted").collect()}
 
 
+def test_quality_thresholds_come_from_all_held_out_labels(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(("sun", "moon", "tide", "wave")) for _ in range(rng.randrange(20, 60))), "en") for i in range(900)]
+    docs += [(i, " ".join(rng.choice(("abend", "morgen", "nacht")) for _ in range(40)), "xx") for i in range(900, 960)] + [(i, "same again", None) for i in range(960, 970)]
+    t = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.range(970).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
+    model = quality.train(t, labels, rows=60)
+    fit = {r["doc_id"] for r in quality.trusted(labels, 60).collect()}
+    assert len(fit) == 60 and set(model.thresholds) == {"en", "xx", None}
+    x = [(r["lang"], r["perplexity"] / np.exp(quality.SHORT / np.sqrt(r["n_bytes"]))) for r in quality.classify(t, model).collect() if r["doc_id"] not in fit]
+    for lang in ("en", "xx"):
+        assert model.thresholds[lang] == pytest.approx(quality.MARGIN * np.quantile([v for k, v in x if k == lang], 0.99), rel=1e-9)
+    assert model.thresholds[None] == pytest.approx(max(quality.MARGIN * np.quantile([v for _, v in x], 0.99), model.thresholds["en"], model.thresholds["xx"]), rel=1e-9)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "", "en"), (None, "text", "xx")], "doc_id long, text string, lang string").withColumn("perplexity", F.lit("x"))
     labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
