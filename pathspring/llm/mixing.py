@@ -1,18 +1,21 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Words of a source, document after document, are packed into blocks of a fixed
-number of words. Target weights give each source a number of slots; slots are
-dealt to output shards by a pseudorandom permutation of all slots, so a shard's
-counts by source are multinomial draws given the totals. Slot j of a source with
+number of words. Target weights give each source a number of slots. Each output
+shard's counts by source are drawn: multinomial draws given the totals, that is
+without replacement from the slots that earlier shards left. The counts give each
+shard a run of each source's slots, in a permuted order within the shard. Slot j of a source with
 n blocks reads block perm(j mod n), in pass j div n: every block is read floor or
 ceil(slots / n) times, and slots meet blocks in an equi-join on (source, index).
 
 No step holds a source in one task: prefix sums are taken within hash buckets of
-documents and then over the buckets' totals, and slots are made in chunks.
+documents and then over the buckets' totals, and slots are made by shard and source.
+The draws are made on the driver, from the sources' totals.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ MOST = 3
 """How often a source's words may be read on average, and a document's at most."""
 BUCKETS = 1024
 """Hash buckets of documents within a source, for prefix sums."""
-CHUNK = 65536
-"""Slots made from one row."""
 PRIMES = (2654435761, 2246822519, 3266489917, 668265263)
 """Multipliers of the index permutations; the first that is coprime is used."""
 
@@ -93,6 +94,23 @@ def packed(sized: DataFrame) -> DataFrame:
     return t.select("doc_id", "key", "size", (F.col("base") + F.col("within")).alias("offset"))
 
 
+def drawn_counts(totals, seed: int, shard_slots: int = SHARD_SLOTS):
+    """(shard, source, slots, first slot of the source) for sources with slots in the shard, drawn without replacement from totals by source."""
+    rng = np.random.default_rng([seed, 7919])
+    left = np.array(totals, dtype=np.int64)
+    first = np.zeros_like(left)
+    shard = 0
+    while (n := int(left.sum())) > 0:
+        size = min(shard_slots, n)
+        if n < 10**9:
+            taken = rng.multivariate_hypergeometric(left, size, method="marginals")
+        else:  # beyond what that method can count: distinct slots, by their sources
+            taken = np.bincount(np.searchsorted(np.cumsum(left), rng.choice(n, size, replace=False, shuffle=False), side="right"), minlength=len(left))
+        for k in np.flatnonzero(taken).tolist():
+            yield shard, k, int(taken[k]), int(first[k])
+        left, first, shard = left - taken, first + taken, shard + 1
+
+
 def slots(aims: DataFrame, seed: int = 42, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST) -> DataFrame:
     """shard, slot, key, index, pass: the mix, as places of blocks in output shards.
 
@@ -101,14 +119,17 @@ def slots(aims: DataFrame, seed: int = 42, block: int = BLOCK, shard_slots: int
     t = aims.filter(F.col("source_size") > 0)
     t = t.withColumn("blocks", F.ceil(F.col("source_size") / block))
     t = t.withColumn("count", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * most))
-    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"first": F.coalesce(F.sum("count").over(before), F.lit(0)), "all": F.sum("count").over(Window.partitionBy())})
-    t = t.filter(F.col("count") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / CHUNK))))
-    t = t.repartition("key", "chunk")
-    t = t.withColumn("j", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("count"), (F.col("chunk") + 1) * CHUNK) - 1)))
-    place = _permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(seed * 7919))
+    t = t.filter(F.col("count") > 0).select("key", "blocks", "count")
+    sources = sorted(t.collect(), key=lambda r: r["key"])
+    drawn = [(shard, sources[k]["key"], sources[k]["blocks"], n, first) for shard, k, n, first in drawn_counts([r["count"] for r in sources], seed, shard_slots)]
+    t = aims.sparkSession.createDataFrame(drawn, "shard long, key string, blocks long, n long, first long")
+    within = Window.partitionBy("shard")
+    t = t.withColumns({"start": F.sum("n").over(within.orderBy("key")) - F.col("n"), "all": F.sum("n").over(within)})
+    t = t.repartition("shard", "key").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    t = t.withColumn("j", F.col("first") + F.col("i"))
+    place = _permuted(F.col("start") + F.col("i"), F.col("all"), F.lit(seed * 7919) + F.col("shard"))
     index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), _hashed(F.concat("key", F.lit(f":{seed}"))))
-    return t.select(F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).alias("slot"), "key", index.alias("index"), F.floor(F.col("j") / F.col("blocks")).alias("pass"))
+    return t.select("shard", place.alias("slot"), "key", index.alias("index"), F.floor(F.col("j") / F.col("blocks")).alias("pass"))
 
 
 def shard_counts(mix: DataFrame) -> DataFrame:

@@ -146,6 +146,18 @@ def test_mixing(spark, documents):
         assert taken[s] == pytest.approx(target, rel=0.05, abs=64)
 
 
+def test_mixing_draws_counts_by_shard(spark):
+    aims = spark.createDataFrame([("=a", 125_000, 125_000.0), ("=b", 75_000, 75_000.0)], "key string, source_size long, target double")
+    made = mixing.slots(aims, block=1, shard_slots=1000).cache()
+    assert made.count() == 200_000 == made.select("shard", "slot").distinct().count() == made.select("key", "index", "pass").distinct().count()
+    assert made.agg(F.max("slot")).first()[0] == 999
+    counts = [r["slots"] for r in mixing.shard_counts(made).filter("key = '=a'").collect()]
+    mean = sum(counts) / 200
+    deviation = (sum((c - mean) ** 2 for c in counts) / 200) ** 0.5
+    assert mean == 625 and 12 < deviation < 19  # a draw has 15.3
+    assert mixing.shard_counts(mixing.slots(aims, 7, 1, 1000)).filter("key = '=a' and shard < 200").orderBy("shard").collect() != mixing.shard_counts(made).filter("key = '=a'").orderBy("shard").collect()
+
+
 def test_mixing_edges(spark):
     made = [(1, "a b c", None), (2, None, "s"), (3, "", "s"), (4, "x " * 900, "big"), (4, "x " * 900, "big"), (5, "one", "tiny"), (None, "two words", "tiny")]
     t = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("size", F.lit(1))
