@@ -4,11 +4,13 @@ The template is any function of a list of (role, text) that returns a string.
 Successive prefixes of a conversation are rendered and consecutive outputs are
 compared: each must begin with the one before, and what it adds is the new turn's
 span. A template that rewrites history fails that test and raises
-``RewritesHistory``. Conversations longer than ``WINDOW`` turns are rendered with
-the last ``WINDOW`` turns only, so work and memory stay linear in their length; a
-template that looks further back is outside that test.
+``RewritesHistory``. Whole prefixes are rendered, so with a black box the work grows
+with the square of a conversation's length, and a task holds the conversation.
 
-Rows stream in order of (conversation, turn): no task holds a whole conversation.
+A template that joins what it makes of each turn alone may say so by an attribute
+``turn_by_turn``, as ``chatml`` does. What a turn adds then does not depend on the
+turns before, and windows of ``WINDOW`` turns are rendered instead: rows stream in
+order of (conversation, turn) and no task holds a whole conversation.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pathspring.llm._store import arrow
 
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOW = 64
-"""Turns that a rendered prefix holds at most."""
+"""Turns that a rendered prefix of a turn-by-turn template holds at most."""
 
 _ESCAPE = re.compile(r"\\(.)", re.S)
 
@@ -53,6 +55,9 @@ def chatml(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+chatml.turn_by_turn = True
+
+
 class RewritesHistory(ValueError):
     """A rendered prefix does not begin with the one before."""
 
@@ -61,8 +66,9 @@ def spans(turns, template: Callable[[list[tuple[str, str]]], str] = chatml, wind
     """What each turn adds to the output, by comparing the outputs of successive prefixes."""
     recent: list[tuple[str, str]] = []
     before = ""
+    alone = getattr(template, "turn_by_turn", False)
     for turn in turns:
-        if len(recent) == window:
+        if alone and len(recent) == window:
             recent = recent[window // 2 :]
             before = template(recent)
         recent.append(turn)

@@ -221,6 +221,15 @@ def test_templates_that_rewrite_history_are_found():
         list(chat.spans([("user", "hello"), ("assistant", "there")], last_only))
 
 
+def test_templates_that_look_back_far_are_rendered_whole():
+    turns = [("user", f"turn {i}") for i in range(300)]
+    numbered = lambda turns: "".join(f"{i}/{turns[0][1]}: {t}\n" for i, (_, t) in enumerate(turns))
+    assert "".join(chat.spans(turns, numbered)) == numbered(turns)
+    late = lambda turns: "".join(t.upper() if len(turns) > i + 150 else t for i, (_, t) in enumerate(turns))
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.spans(turns, late))
+
+
 def test_chat_edges(spark):
     made = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "assistant", "é")]
     t = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").withColumn("span", F.lit(1))
