@@ -36,9 +36,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which op6 finds no benchmark window."""
-    found = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti")
+    """Documents in which op6 finds no benchmark window; each row without a doc_id is judged by itself."""
+    nameless = written(docs.filter("doc_id is null").withColumn("key", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))), "nameless")
+    keyed = docs.filter("doc_id is not null").withColumn("key", F.concat(F.lit("="), F.col("doc_id").cast("string"))).unionByName(nameless)
+    found = decontaminate.decontaminate(keyed, _table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = found.filter("contaminated").select(F.col("doc_id").alias("key"))
+    return keyed.join(leaks, "key", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

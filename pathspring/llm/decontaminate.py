@@ -100,8 +100,11 @@ def _found_in_scan(docs: DataFrame, rarest: DataFrame, k: int) -> DataFrame:
 
 
 def _found_by_shuffle(docs: DataFrame, rarest: DataFrame, k: int) -> DataFrame:
-    t = _exploded(docs, k, "doc_id", "n").join(rarest.filter(F.col("k") == k), "h").filter(_fits())
-    t = t.select("doc_id", "pos", "off", "len", "words", "window_id").join(docs, "doc_id").filter(_same_words())
+    # rows without a doc_id go by their words: they are many keys, and rows of equal words have equal hits
+    docs = docs.withColumn("row", F.when(F.col("doc_id").isNull(), F.xxhash64("w")))
+    t = _exploded(docs, k, "doc_id", "row", "n").join(rarest.filter(F.col("k") == k), "h").filter(_fits())
+    t = t.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "pos", "off", "len", "words", "window_id").dropDuplicates(["id", "of", "pos", "window_id"])
+    t = t.join(docs, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("row"))).filter(_same_words())
     t = t.select("doc_id", "n", F.expr("pos - off").alias("start"), "len", "window_id")
     none = docs.select("doc_id", "n", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("window_id"))
     return t.unionByName(none)

@@ -102,6 +102,14 @@ def test_decontamination(spark, documents, most):
     assert rows(decontaminate.decontaminate(frame(spark, odd), made, broadcast_windows=most), *names) == brute.decontaminated(odd, known)
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_of_rows_without_an_id(spark, most):
+    passage = " ".join(f"q{i}" for i in range(12))
+    t = spark.createDataFrame([(None, "a " + passage), (None, "a " + passage), (None, "b c " + passage + " d"), (None, "clean"), (1, "clean too")], "doc_id long, text string")
+    got = rows(decontaminate.decontaminate(t, spark.createDataFrame([(5, passage)], "item_id long, text string"), broadcast_windows=most), "n_words", "n_hit", "n_items", "contaminated")
+    assert got == {None: (15, 13, 1, True), 1: (2, 0, 0, False)}
+
+
 def test_licenses(spark, documents):
     t, pairs = documents
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels")

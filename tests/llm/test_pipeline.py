@@ -50,3 +50,10 @@ def test_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         kept = written(stage(spark, kept, SF), "odd")
     assert kept.count() == 3
+
+
+def test_leaks_without_an_id_are_removed(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, passage, "en", "a", 1), (None, "clean words", "en", "a", 1), (1, passage, "en", "a", 1), (2, "clean", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.benchmark_leaks(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(pairs(kept), key=str) == [(2, "clean"), (None, "clean words")]
