@@ -3,13 +3,13 @@
 Base labels come from places where a phrase's words stand consecutively.
 
 The method's labels: the distinct tokens of each template are ordered by their
-number in the whole corpus, rarest first. A text is cut into blocks of ``BLOCK``
-words, each starting ``BLOCK // 2`` words after the one before. A block meets a
-template of m tokens if it holds c = ceil(threshold * m) of them. Then it holds one
-of the template's m - c + 1 rarest (prefix filter): only such blocks are looked
-at. A block with fewer than c words cannot meet it (length filter), nor one whose
-rarest token of the template leaves fewer than c tokens from there on (position
-filter). What is left is counted exactly.
+number in the whole corpus, rarest first. Any ``BLOCK`` words of a text are a block.
+It meets a template of m tokens if it holds c = ceil(threshold * m) of them. Then it
+holds one of the template's m - c + 1 rarest (prefix filter), as a rarest token
+further on leaves fewer than c (position filter): only such blocks are looked at. A
+block with fewer than c words cannot meet it (length filter). The most that a block
+holds is held by one that starts at a token, so a sliding count over the tokens'
+places counts all blocks exactly.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -
 class _Scanner:
     def __init__(self, phrases, templates, counts: dict[int, int], threshold: float, block: int):
         self.phrases = [(_hashes(text), label) for text, label in phrases if len(_hashes(text))]
-        self.block, self.step = block, block // 2
+        self.block = block
         rank = {h: (counts.get(int(np.int64(h.view(np.int64))), 0), int(h)) for h in _vocabulary(templates)}
         self.templates = []
         for label, text in templates:
@@ -110,46 +110,40 @@ class _Scanner:
             np.maximum.at(last, docs[at], local[at])
             for d in np.unique(docs[at]):
                 base[d].add(label)
-        more, score = self._blocks(h, docs, local, w.counts)
+        more, score = self._blocks(h, docs, w.counts)
         return w.counts, n_base, first, last, base, more, score
 
-    def _blocks(self, h, docs, local, lengths):
+    def _blocks(self, h, docs, lengths):
         n = len(lengths)
         more, score = [set() for _ in range(n)], np.zeros(n)
         at = np.searchsorted(self.vocabulary, h).clip(max=max(0, len(self.vocabulary) - 1))
         known = np.flatnonzero(self.vocabulary[at] == h) if len(self.vocabulary) else np.zeros(0, dtype=np.int64)
         if not len(known):
             return more, score
-        kh, kd, kl = h[known], docs[known], local[known]
-        # a word at l is in the blocks l // step and, but for the first, the one before
-        block = kl // self.step
-        d2, b2, h2 = np.concatenate([kd, kd]), np.concatenate([block, block - 1]), np.concatenate([kh, kh])
-        keep = b2 >= 0
-        d2, b2, h2 = d2[keep], b2[keep], h2[keep]
+        kh, kd = h[known], docs[known]
+        kg = known + kd * self.block  # places with a gap between texts, so that no block has words of two
         for t in self.templates:
             order = np.argsort(t.tokens)
-            spot = np.searchsorted(t.tokens, h2, sorter=order).clip(max=len(t.tokens) - 1)
+            spot = np.searchsorted(t.tokens, kh, sorter=order).clip(max=len(t.tokens) - 1)
             place = order[spot]
-            mine = t.tokens[place] == h2
-            key = (d2[mine].astype(np.int64) << 32) | b2[mine]
-            place = place[mine]
-            if not (place < t.prefix).any():
+            mine = (t.tokens[place] == kh) & (np.minimum(self.block, lengths[kd]) >= t.need)  # length filter
+            place, at, doc = place[mine], kg[mine], kd[mine]
+            hot = at[place < t.prefix]  # prefix and position filter
+            near = np.searchsorted(hot, at - self.block, side="right") < np.searchsorted(hot, at + self.block)
+            place, at, doc = place[near], at[near], doc[near]
+            if not len(at):
                 continue
-            hot = np.unique(key[place < t.prefix])  # prefix filter
-            hot = hot[np.minimum(self.block, lengths[hot >> 32] - (hot & 0xFFFFFFFF) * self.step) >= t.need]  # length filter
-            inside = np.isin(key, hot)
-            key, place = key[inside], place[inside]
-            if not len(key):
-                continue
-            pair = np.unique(np.stack([key, place], axis=1), axis=0)
-            blocks, starts, held = np.unique(pair[:, 0], return_index=True, return_counts=True)
-            lowest = pair[starts, 1]
-            fits = len(t.tokens) - lowest >= t.need  # position filter
-            for b, c in zip(blocks[fits], held[fits]):
-                d = b >> 32
-                score[d] = max(score[d], c / len(t.tokens))
-                if c >= t.need:
-                    more[d].add(t.label)
+            # a token counts in the blocks that start after its last place before, and at most a block before this one
+            by_token = np.lexsort((at, place))
+            before = np.full(len(at), -self.block, dtype=np.int64)
+            again = place[by_token[1:]] == place[by_token[:-1]]
+            before[by_token[1:][again]] = at[by_token[:-1][again]]
+            first = np.searchsorted(at, np.maximum(before, at - self.block), side="right")
+            held = np.cumsum(np.bincount(first, minlength=len(at)) - np.concatenate([[0], np.ones(len(at) - 1, dtype=np.int64)]))
+            held[np.searchsorted(hot, at) == np.searchsorted(hot, at + self.block)] = 0
+            np.maximum.at(score, doc, held / len(t.tokens))
+            for d in np.unique(doc[held >= t.need]):
+                more[d].add(t.label)
         return more, score
 
 

@@ -136,6 +136,25 @@ def test_license_join_is_exact(spark, documents):
     assert {d: set(filter(None, x[0].split(","))) for d, x in got.items()} == want
 
 
+def test_license_blocks_start_at_any_word(spark):
+    """Notices broken up by other words, against every block of every text."""
+    rng = random.Random(4)
+    templates = [(label, set(text.split())) for label, text in licenses.TEMPLATES]
+    texts = []
+    for i in range(120):
+        w = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randrange(10, 70)):
+            w.insert(rng.randrange(len(w)), f"o{rng.randrange(99)}")
+        texts.append((i, " ".join(["z"] * rng.randrange(64) + w + ["z"] * rng.randrange(64))))
+    want = {}
+    for doc, text in texts:
+        w = text.split()
+        held = [(label, len(set(w[s : s + licenses.BLOCK]) & tokens), len(tokens)) for s in range(max(1, len(w) - licenses.BLOCK + 1)) for label, tokens in templates]
+        want[doc] = {label for label, n, of in held if n >= licenses.THRESHOLD * of - 1e-9} | set(filter(None, brute.licensed([(doc, text)])[doc][4].split(",")))
+    got = rows(licenses.scan_licenses(frame(spark, texts)), "labels")
+    assert {d: set(filter(None, x[0].split(","))) for d, x in got.items()} == want
+
+
 def test_mixing(spark, documents):
     t, pairs = documents
     source = {r["doc_id"]: r["source"] for r in t.collect()}
