@@ -82,8 +82,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return t.select("key", "source_size", "target")
 
 
-def packed(sized: DataFrame) -> DataFrame:
-    """Documents with words, each with the offset of its first word in its source."""
+def packed(sized: DataFrame, *keep: str) -> DataFrame:
+    """Documents with words, each with the offset of its first word in its source, and the columns to keep."""
     t = sized.filter(F.col("size") > 0).withColumn("bucket", F.pmod(_hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)))
     totals = t.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +91,7 @@ def packed(sized: DataFrame) -> DataFrame:
     inner = Window.partitionBy("key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     t = t.join(totals, ["key", "bucket"])
-    return t.select("doc_id", "key", "size", (F.col("base") + F.col("within")).alias("offset"))
+    return t.select("doc_id", "key", "size", (F.col("base") + F.col("within")).alias("offset"), *keep)
 
 
 def drawn_counts(totals, seed: int, shard_slots: int = SHARD_SLOTS):
@@ -173,11 +173,12 @@ def _few(aims: DataFrame, most: int = 10_000) -> bool:
 
 def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, index, pass and the block's text (its words, one space between)."""
-    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
-    sized = sizes(docs, **names)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("key"), F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(f"({WORD})"), F.lit(1)).alias("w"))
-    texts = texts.withColumn("size", F.size("w").cast("long")).dropDuplicates(["doc_id", "key", "size"])
-    pieces = _pieces(packed(sized), block).join(texts, ["doc_id", "key", "size"])
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    named = written(named.withColumn("row", F.monotonically_increasing_id()), "rows")  # a key for each row, the same in all that follows
+    sized = written(sizes(named.withColumn("named", F.struct("doc_id", "row")), id_col="named"), "sizes")
+    sized = sized.select("doc_id.doc_id", "doc_id.row", "key", "size")
+    texts = named.select("row", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+    pieces = _pieces(packed(sized, "row"), block).join(texts, "row")
     part = F.array_join(F.slice("w", (F.col("start") - F.col("offset") + 1).cast("int"), F.col("words").cast("int")), " ")
     blocks = pieces.groupBy("key", "index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("text")))), lambda p: p["text"]), " ").alias("text"))
     out = slots(targets(sized, weights), seed, block).hint("shuffle_merge").join(blocks, ["key", "index"])

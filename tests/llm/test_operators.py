@@ -197,6 +197,17 @@ def test_mixing_edges(spark):
     assert all(len(b["text"].split()) <= mixing.BLOCK for b in blocks)
 
 
+def test_mixed_blocks_hold_the_words_of_all_rows(spark):
+    made = [(1, " ".join(f"{c}{i}" for i in range(n)), s) for c, n, s in (("a", 9, "s"), ("b", 9, "s"), ("c", 42, "s"), ("d", 30, None), ("e", 30, None))]
+    made += [(None, " ".join(f"{c}{i}" for i in range(30)), "u") for c in "fg"]  # each source has its target
+    t = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = mixing.mixed_blocks(t, weights=(1,), block=8).collect()
+    blocks = {(r["source"], r["index"]): r["text"].split() for r in got}
+    for source in ("s", None, "u"):
+        want = sorted(w for _, text, s in made if s == source for w in text.split())
+        assert sorted(w for (s, _), words in blocks.items() if s == source for w in words) == want
+
+
 def test_top_k(spark):
     rng = random.Random(1)
     vectors = [(i, [rng.gauss(0, 0.2) for _ in range(24)]) for i in range(900)]
