@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pathspring.llm._store import arrow, written
 
 MOST_ROUNDS = 60
+HOT_NODES = 100_000
+"""Nodes of very many edges are broadcast: as many at most, about 2 MB."""
+LEAST_HOT = 64
+"""A node with no more edges than that is not one of them."""
 
 
 class Union:
@@ -46,15 +50,23 @@ def _contract(batches):
         yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Ties neighbours to the smallest of a node and its neighbours: the larger neighbours, or the smaller ones and the node."""
+def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
+    """Ties neighbours to the smallest of a node and its neighbours: the larger neighbours, or the smaller ones and the node.
+
+    Edges of a node with more than hot of them stay where they are: such nodes are at
+    most HOT_NODES, and the smallest neighbour of each is broadcast. The others' edges
+    are joined by a shuffle.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    if large:
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    least = written(least.select("u", F.least("u", "m").alias("m"), "k"), "least")
+    largest = F.broadcast(least.filter(F.col("k") > hot).select("u", F.col("m").alias("of")))
+    rows = (both.filter("v > u") if large else both).join(largest, "u", "left")
+    few = rows.filter("of is null").drop("of").join(least.filter(F.col("k") <= hot).select("u", "m").hint("shuffle_merge"), "u")
+    rows = rows.filter("of is not null").select("u", "v", F.col("of").alias("m")).unionByName(few.select("u", "v", "m"))
+    out = rows.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
@@ -62,8 +74,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component for every node of the edges (columns u and v, long): the smallest node that it is connected with.
 
     Large-star and small-star steps alternate until the edges stay the same; then
-    each edge ties a node to its component. Steps are aggregates and joins, so a
-    node with many edges is combined before it is moved. Self-loops and repeated
+    each edge ties a node to its component. A step finds each node's smallest
+    neighbour, combined in place first, and joins it with the node's edges; the edges
+    of hot nodes do not move for that. Self-loops and repeated
     edges do no harm; without edges there are no rows.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
@@ -74,7 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now["n"]:
             break
         before = now
-        e = written(_star(_star(e, True), False), "edges")
+        hot = max(LEAST_HOT, 2 * now["n"] // HOT_NODES)  # nodes with more are 2 n / hot at most
+        e = written(_star(_star(e, True, hot), False, hot), "edges")
     else:
         raise RuntimeError("the components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
