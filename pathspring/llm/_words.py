@@ -1,12 +1,16 @@
 """Words and fingerprints of Arrow text columns, by NumPy on the UTF-8 bytes.
 
 A text column is read through its Arrow buffers, a slice of about ``SLICE``
-bytes at a time, so memory does not grow with a task's rows. No Python object
-is made for a word: words are byte ranges with 64-bit fingerprints.
+bytes at a time, so memory does not grow with a task's rows. A slice's distinct
+words are found by their bytes, and each has a digest of 128 bits that no other
+known word has (see ``digests``).
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,68 +34,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _seeded(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-
-
-def byte_codes(delimiters: bytes, lower: bool) -> np.ndarray:
-    """A non-zero code for each byte of a word, 0 for a delimiter."""
-    codes = _seeded(256, 7) | U64(1)
-    if lower:
-        codes[0x41:0x5B] = codes[0x61:0x7B]
-    codes[list(delimiters)] = 0
-    return codes
-
-
-SPACED = byte_codes(SPACE, lower=False)
-SPACED_LOWER = byte_codes(SPACE, lower=True)
-ALNUM_LOWER = byte_codes(NOT_ALNUM, lower=True)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept and extended."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(size - 1, b, dtype=U64)]), dtype=U64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
+def digests(words: pa.LargeBinaryArray) -> np.ndarray:
+    """128 bits (n x 2) for each word.
 
-_BYTES = _Powers(0x9E3779B97F4A7C15)
-
-
-class Prefix:
-    """Fingerprints of any range of a sequence of fingerprints, in constant time each."""
-
-    def __init__(self, values: np.ndarray, base: int = 0xD1342543DE82EF95):
-        powers = _SEQUENCES.setdefault(base, _Powers(base))
-        up, self.down = powers.upto(len(values) + 1)
-        self.sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(values * up[: len(values)], dtype=U64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
-
-
-_SEQUENCES: dict[int, _Powers] = {}
+    Words under 16 bytes are their own 16 bytes (filled up with zeros and the length),
+    put through a Feistel network of four rounds, which is a bijection: different short
+    words never have equal digests. Longer words have BLAKE2b digests.
+    """
+    n = len(words)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
+    data = np.concatenate([np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(16, np.uint8)])
+    size = np.diff(at)
+    cell = np.arange(16)
+    block = np.where(cell < size[:, None], data[np.minimum(at[:-1, None] + cell, len(data) - 1)], 0).astype(np.uint8)
+    block[:, 15] = np.minimum(size, 255)
+    left, right = block.view(U64).T.copy() if n else np.zeros((2, 0), dtype=U64)
+    for key in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89):
+        left, right = right, left ^ mix(right + U64(key))
+    out = np.stack([left, right], axis=1)
+    for i in np.flatnonzero(size > 15).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(words[i].as_py(), digest_size=16).digest(), dtype=U64)
+    return out
+
+
+class Alphabet:
+    """Which bytes are in words, and what they become there."""
+
+    def __init__(self, delimiters: bytes, lower: bool):
+        self.inside = np.ones(256, dtype=bool)
+        self.inside[list(delimiters)] = False
+        self.table = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.table[0x41:0x5B] += 0x20
+
+
+SPACED = Alphabet(SPACE, lower=False)
+SPACED_LOWER = Alphabet(SPACE, lower=True)
+ALNUM_LOWER = Alphabet(NOT_ALNUM, lower=True)
 
 
 class Words:
     """The words of a slice of texts (null: none).
 
     ptr: the first word of each text, and the number of all words at its end;
-    start, end: byte ranges in data; hash: fingerprints.
+    start, end: byte ranges in the texts; number: of each word among the slice's
+    distinct words, by their bytes; hash, other: the two halves of their digests.
     """
 
-    def __init__(self, texts: pa.Array, codes: np.ndarray):
-        self.data, offsets = text_bytes(texts)
-        n = len(self.data)
-        values = codes[self.data]
-        inside = values != 0
+    def __init__(self, texts: pa.Array, alphabet: Alphabet):
+        data, offsets = text_bytes(texts)
+        n = len(data)
+        inside = alphabet.inside[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
@@ -100,10 +94,23 @@ class Words:
         first[begins], last[ends] = inside[begins], inside[ends]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.ptr = np.searchsorted(self.start, offsets)
-        up, down = _BYTES.upto(n + 1)
-        values = values * up[:n]
-        sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(values, dtype=U64)])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        at = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(self.end - self.start)])
+        letters = alphabet.table[data[inside]]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+        self.number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self._distinct = words.dictionary
+
+    @functools.cached_property
+    def _digests(self) -> np.ndarray:
+        return digests(self._distinct)
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        return self._digests[self.number, 0]
+
+    @functools.cached_property
+    def other(self) -> np.ndarray:
+        return self._digests[self.number, 1]
 
     @property
     def counts(self) -> np.ndarray:
@@ -127,13 +134,33 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of k neighbours from each position on; the last k - 1 have none."""
+def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Fingerprints of k neighbours from each position on, mixed anew with each of them; the last k - 1 have none."""
     n = max(0, len(hashes) - k + 1)
-    total = np.zeros(n, dtype=U64)
+    total = np.full(n, (seed * 0x9E3779B97F4A7C15 + k) % (1 << 64), dtype=U64)
     for j in range(k):
-        total = total * U64(0xD6E8FEB86659FD93) + hashes[j : n + j]
-    return mix(total)
+        total = mix(total * U64(0xD6E8FEB86659FD93) + hashes[j : n + j])
+    return total
+
+
+def ranges(hashes: np.ndarray, start: np.ndarray, count: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprints of count neighbours from each start on, of any counts, mixed as in grams()."""
+    total = np.full(len(start), (seed * 0x9E3779B97F4A7C15) % (1 << 64), dtype=U64) + count.astype(U64)
+    order = np.argsort(-count, kind="stable")
+    for j in range(int(count.max(initial=0))):
+        going = order[: np.searchsorted(-count[order], -j)]
+        total[going] = mix(total[going] * U64(0xD6E8FEB86659FD93) + hashes[start[going] + j])
+    return total
+
+
+def sequences(w: Words, k: int) -> np.ndarray:
+    """A number for the k words from each position on: equal numbers are equal words, without any hashing. The last k - 1 have none."""
+    n = max(0, len(w.number) - k + 1)
+    total = w.number[:n]
+    for j in range(1, k):
+        step = int(w.number.max(initial=0)) + 1
+        total = np.unique(total * step + w.number[j : n + j], return_inverse=True)[1].reshape(-1).astype(np.int64)
+    return total
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE):

@@ -1,7 +1,8 @@
 """Near-duplicates: b-bit MinHash candidates, confirmed on full shingle sets.
 
-1. Each text becomes its set of shingle fingerprints. Texts with equal sets are one
-   class; the smallest doc_id stands for it.
+1. Each text becomes its set of shingle fingerprints. Texts with equal sets (by a
+   BLAKE2b digest over 128 bits for each shingle) are one class; the smallest doc_id
+   stands for it.
 2. ``BANDS * ROWS`` minima make the band keys; ``BITS`` low bits of all minima are
    packed as the signature. At similarity 0.85 a pair shares no band with
    probability (1 - 0.85**6)**28 < 2e-6.
@@ -10,13 +11,15 @@
 4. Clusters are cut into blocks of ``BLOCK`` classes, and each pair of blocks is one
    unit of work. A unit estimates similarities from the signatures' equal bits,
    corrected for chance (1 in 2**BITS), keeps pairs within ``SLACK`` of the
-   threshold, counts their exact intersections and returns a spanning forest of
-   the links it finds.
+   threshold, counts the intersections of their sets of real words and returns a
+   spanning forest of the links it finds.
 5. The components of the links, with all members of each class, are the result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,29 +28,48 @@ from pyspark.sql import functions as F
 
 from pathspring.llm._graph import Union, components
 from pathspring.llm._store import arrow, written
-from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, slices
+from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, sequences, slices
 
 SHINGLE = 5
 BANDS, ROWS = 28, 6
 BITS = 4
 BLOCK = 256
+TOGETHER = 1 << 20
+"""Shingles up to which a unit's texts are confirmed all together."""
 SLACK = 0.18
 """Distance under the threshold at which an estimate is still confirmed: over five standard errors of 168 minima."""
 
 _MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) + U64(0xABCDEF)) | U64(1)).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle fingerprints of each text; fewer words than a shingle has are one shingle."""
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[tuple[np.ndarray, bytes]]:
+    """For each text the sorted distinct shingle fingerprints, and a digest of the set; fewer words than a shingle has are one shingle."""
     w = Words(texts, SPACED_LOWER)
-    g = grams(w.hash, shingle)
+    halves = grams(w.hash, shingle), grams(w.other, shingle, 1)
     out = []
     for start, end in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist()):
         n = end - start
         if n >= shingle:
-            out.append(np.unique(g[start : end - shingle + 1]))
+            values, at = np.unique(halves[0][start : end - shingle + 1], return_index=True)
+            second = halves[1][start : end - shingle + 1][at]
+        else:
+            values, second = (grams(h[start:end], n, seed) if n else np.zeros(0, dtype=U64) for seed, h in enumerate((w.hash, w.other)))
+        out.append((values, hashlib.blake2b(values.tobytes() + second.tobytes(), digest_size=16).digest()))
+    return out
+
+
+def exact_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers: within the list equal numbers are equal words, without any hashing."""
+    w = Words(pa.array(texts, pa.large_string()), SPACED_LOWER)
+    numbers = sequences(w, shingle)
+    short: dict[tuple, int] = {}
+    out = []
+    for start, end in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist()):
+        if end - start >= shingle:
+            out.append(np.unique(numbers[start : end - shingle + 1]))
         else:
-            out.append(grams(w.hash[start:end], n) if n else np.zeros(0, dtype=U64))
+            whole = tuple(w.number[start:end].tolist())
+            out.append(np.array([-1 - short.setdefault(whole, len(short))] if whole else [], dtype=np.int64))
     return out
 
 
@@ -80,10 +102,9 @@ def _fingerprints(shingle: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: dict[str, list] = {"doc_id": part.column("doc_id"), "n": [], "h1": [], "h2": [], "bands": [], "sig": [], "packed": []}
-                for values, text in zip(shingle_sets(part.column("text"), shingle), part.column("text")):
+                for (values, digest), text in zip(shingle_sets(part.column("text"), shingle), part.column("text")):
                     rows["n"].append(len(values))
-                    both = mix(values), mix(values ^ U64(0x5851F42D4C957F2D))
-                    h1, h2 = (int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0 for b in both)
+                    h1, h2 = np.frombuffer(digest, dtype=np.int64).tolist()
                     least = minima(values)
                     rows["h1"].append(h1)
                     rows["h2"].append(h2)
@@ -141,13 +162,22 @@ def links_of_unit(ids: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sizes:
     if not len(a):
         return []
     used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    sets = shingle_sets(pa.array([texts(i) for i in used.tolist()], pa.large_string()), shingle)
+    union, out = Union(len(ids)), []
+    if sizes[used].sum() > TOGETHER:  # long texts, two at a time; pairs that links already tie need no look
+        for x, y in zip(a.tolist(), b.tolist()):
+            if union.find(x) != union.find(y):
+                s, t = exact_sets([texts(x), texts(y)], shingle)
+                inter = len(np.intersect1d(s, t, assume_unique=True))
+                if denominator * inter >= numerator * (len(s) + len(t) - inter):
+                    union.join(x, y)
+                    out.append((int(ids[x]), int(ids[y])))
+        return out
+    sets = exact_sets([texts(i) for i in used.tolist()], shingle)
     common = _intersections(sets)
     ua, ub = at[: len(a)], at[len(a) :]
     size = np.array([len(s) for s in sets])
     inter = common[ua, ub]
     linked = denominator * inter >= numerator * (size[ua] + size[ub] - inter)
-    union, out = Union(len(ids)), []
     for x, y in zip(a[linked].tolist(), b[linked].tolist()):
         if union.join(x, y):
             out.append((int(ids[x]), int(ids[y])))
@@ -201,12 +231,13 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
 
     Null and empty texts, and texts without words, have empty sets and are linked
     with nothing. Rows that repeat a doc_id are versions of one document: its links
-    are those of all, n_shingles is the largest. Rows with a null doc_id take no
-    part. Other columns are ignored; an empty table gives no rows.
+    are those of all, n_shingles is the largest. Rows with a null doc_id are linked
+    with nothing: each gives a row with a null component_id and kept true. Other
+    columns are ignored; an empty table gives no rows.
     """
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    prints = written(t.filter("doc_id is not null").transform(arrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
-    full = prints.filter("n > 0")
+    prints = written(t.transform(arrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
+    full = prints.filter("n > 0 and doc_id is not null")
     classes = written(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "n", F.col("r.doc_id").alias("node"), "r.bands", "copies"), "classes")
 
     keys = classes.select("node", F.explode("bands").alias("key"))
@@ -225,10 +256,10 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     versions = versions.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v")
     found = components(links.unionByName(versions))
     members = members.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
-    empty = prints.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    empty = prints.filter("n = 0 and doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("component"))
     rows = members.unionByName(empty).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
+    rows = rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.unionByName(prints.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 ORACLE = r"""

@@ -115,3 +115,8 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return held | share
         held |= {s: float(most * sizes[s]) for s in over}
+
+
+def colliding_words():
+    """Two words that polynomials modulo 2**64 cannot tell apart: the Thue-Morse sequence of 1,024 letters, and its complement."""
+    return tuple("".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1))

@@ -69,6 +69,55 @@ def test_near_duplicates(spark, documents):
     assert rows(near_dup.link_documents(frame(spark, pairs), 85, 100), "n_shingles", "component_id", "kept") == want
 
 
+def test_words_are_told_apart(spark):
+    a, b = brute.colliding_words()
+    rest = " ".join(f"w{i}" for i in range(19))
+    pairs = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, " ".join(f"{a}{i}" for i in range(5))), (4, " ".join(f"{b}{i}" for i in range(5))), (5, f"{a} {rest}")]
+    t = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(substring.digests(t), "n_words", "n_removed", "kept_sha256") == brute.substring(pairs)
+    want = {d: (n, c) for d, (n, c) in brute.near(pairs).items()}
+    got = rows(near_dup.link_documents(t, 85, 100), "n_shingles", "component_id")
+    assert got == want and got[3][1] != got[4][1]
+    assert rows(licenses.scan_licenses(t, phrases=((f"{a} w0", "x"),), templates=()), "n_base")[1] == (1,) and rows(licenses.scan_licenses(t, phrases=((f"{a} w0", "x"),), templates=()), "n_base")[2] == (0,)
+
+
+def test_digests_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from pathspring.llm._words import SPACED, Words, digests, sequences
+
+    rng = random.Random(6)
+    made = sorted({bytes(rng.randrange(256) for _ in range(n)) for n in range(18) for _ in range(300)} | {b"a", b"a\0", b"a\0\0"})
+    got = digests(pa.array(made, pa.large_binary()))
+    assert len({tuple(x) for x in got.tolist()}) == len(made) == len(np.unique(got[:, 0]))
+    text = " ".join(rng.choice("abc") for _ in range(400))
+    numbers, w = sequences(Words(pa.array([text]), SPACED), 5), text.split()
+    assert len({(tuple(w[i : i + 5]), n) for i, n in enumerate(numbers.tolist())}) == len({*numbers.tolist()}) == len({tuple(w[i : i + 5]) for i in range(396)})
+
+
+def test_long_texts_are_confirmed_two_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TOGETHER", 10)
+    pairs = odd_texts()
+    want = {d: (n, c) for d, (n, c) in brute.near(pairs).items()}
+    assert rows(near_dup.link_documents(frame(spark, pairs), 85, 100), "n_shingles", "component_id") == want
+
+
+def test_components_with_hot_nodes(spark):
+    from pathspring.llm._graph import components
+
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5, 2000), (2000, 2001), (7, 7)]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, a), up.setdefault(b, b)
+    for _ in range(500):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    assert got == {n: c for n, c in up.items() if n != 7 or c != 7 or any(n in e and e[0] != e[1] for e in edges)}
+
+
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     rng = random.Random(5)
@@ -86,7 +135,7 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
 def test_versions_of_a_document_are_one(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     t = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (None, a), (4, None)], "doc_id long, text string")
-    assert rows(near_dup.link_documents(t), "n_shingles", "component_id") == {1: (26, 1), 2: (26, 1), 3: (26, 1), 4: (0, 4)}
+    assert rows(near_dup.link_documents(t), "n_shingles", "component_id") == {1: (26, 1), 2: (26, 1), 3: (26, 1), 4: (0, 4), None: (26, None)}
 
 
 @pytest.mark.parametrize("most", [200_000, 0])
