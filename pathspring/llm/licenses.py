@@ -3,8 +3,9 @@
 Base labels come from places where a phrase's words stand consecutively.
 
 The method's labels: the distinct tokens of each template are ordered by their
-number in the whole corpus, rarest first. Any ``BLOCK`` words of a text are a block.
-It meets a template of m tokens if it holds c = ceil(threshold * m) of them. Then it
+number in the whole corpus, rarest first. Any run of as many words as the template
+has, over the threshold, and ``BLOCK`` at least, is a block for it. A block meets a
+template of m tokens if it holds c = ceil(threshold * m) of them. Then it
 holds one of the template's m - c + 1 rarest (prefix filter), as a rarest token
 further on leaves fewer than c (position filter): only such blocks are looked at. A
 block with fewer than c words cannot meet it (length filter). The most that a block
@@ -26,11 +27,12 @@ from pathspring.llm._words import ALNUM_LOWER, U64, Words, slices
 
 THRESHOLD = 0.8
 BLOCK = 64
+"""Words in a block at least."""
 
 #: Phrases and labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Openings of the notices of common licenses.
+#: Openings of the notices of common licenses, and short licenses in full.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
@@ -42,6 +44,30 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+        "and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software "
+        "including all implied warranties of merchantability and fitness",
+    ),
 )
 
 
@@ -50,8 +76,9 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class _Template:
-    def __init__(self, label: str, tokens: np.ndarray, threshold: float):
+    def __init__(self, label: str, tokens: np.ndarray, words: int, threshold: float, block: int):
         self.label, self.tokens = label, tokens  # rarest first
+        self.block = max(block, math.ceil(words / threshold))
         self.need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
         self.prefix = len(tokens) - self.need + 1
 
@@ -82,14 +109,15 @@ def token_counts(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -
 class _Scanner:
     def __init__(self, phrases, templates, counts: dict[int, int], threshold: float, block: int):
         self.phrases = [(_hashes(text), label) for text, label in phrases if len(_hashes(text))]
-        self.block = block
         rank = {h: (counts.get(int(np.int64(h.view(np.int64))), 0), int(h)) for h in _vocabulary(templates)}
         self.templates = []
         for label, text in templates:
-            tokens = np.array(sorted({*_hashes(text)}, key=lambda h: rank[h]), dtype=U64)
+            words = _hashes(text)
+            tokens = np.array(sorted({*words}, key=lambda h: rank[h]), dtype=U64)
             if 0 < len(tokens):
-                self.templates.append(_Template(label, tokens, threshold))
+                self.templates.append(_Template(label, tokens, len(words), threshold, block))
         self.vocabulary = _vocabulary(templates)
+        self.widest = max((t.block for t in self.templates), default=block)
 
     def scan(self, texts: pa.Array):
         """n_words, n_base, first_word, last_word, base_labels, labels, score for each text."""
@@ -121,26 +149,26 @@ class _Scanner:
         if not len(known):
             return more, score
         kh, kd = h[known], docs[known]
-        kg = known + kd * self.block  # places with a gap between texts, so that no block has words of two
+        kg = known + kd * self.widest  # places with a gap between texts, so that no block has words of two
         for t in self.templates:
             order = np.argsort(t.tokens)
             spot = np.searchsorted(t.tokens, kh, sorter=order).clip(max=len(t.tokens) - 1)
             place = order[spot]
-            mine = (t.tokens[place] == kh) & (np.minimum(self.block, lengths[kd]) >= t.need)  # length filter
+            mine = (t.tokens[place] == kh) & (np.minimum(t.block, lengths[kd]) >= t.need)  # length filter
             place, at, doc = place[mine], kg[mine], kd[mine]
             hot = at[place < t.prefix]  # prefix and position filter
-            near = np.searchsorted(hot, at - self.block, side="right") < np.searchsorted(hot, at + self.block)
+            near = np.searchsorted(hot, at - t.block, side="right") < np.searchsorted(hot, at + t.block)
             place, at, doc = place[near], at[near], doc[near]
             if not len(at):
                 continue
             # a token counts in the blocks that start after its last place before, and at most a block before this one
             by_token = np.lexsort((at, place))
-            before = np.full(len(at), -self.block, dtype=np.int64)
+            before = np.full(len(at), -t.block, dtype=np.int64)
             again = place[by_token[1:]] == place[by_token[:-1]]
             before[by_token[1:][again]] = at[by_token[:-1][again]]
-            first = np.searchsorted(at, np.maximum(before, at - self.block), side="right")
+            first = np.searchsorted(at, np.maximum(before, at - t.block), side="right")
             held = np.cumsum(np.bincount(first, minlength=len(at)) - np.concatenate([[0], np.ones(len(at) - 1, dtype=np.int64)]))
-            held[np.searchsorted(hot, at) == np.searchsorted(hot, at + self.block)] = 0
+            held[np.searchsorted(hot, at) == np.searchsorted(hot, at + t.block)] = 0
             np.maximum.at(score, doc, held / len(t.tokens))
             for d in np.unique(doc[held >= t.need]):
                 more[d].add(t.label)
@@ -151,7 +179,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     score: the largest share of a template's tokens in a block that passes the
-    filters, or else 0. Null and empty texts have no words, empty labels, null
+    filters, or else 0. block: words in a block at least. Null and empty texts have no words, empty labels, null
     places and score 0. Rows that repeat a doc_id are reported each; null ids stay;
     other columns are ignored; an empty table gives no rows.
     """

@@ -204,6 +204,39 @@ def test_license_blocks_start_at_any_word(spark):
     assert {d: set(filter(None, x[0].split(","))) for d, x in got.items()} == want
 
 
+def test_long_license_templates(spark):
+    """Templates of more words than a block has at least, against every block of every text."""
+    rng = random.Random(9)
+    long = " ".join(f"t{rng.randrange(70)}" for _ in range(150))
+    templates = (("long", long), *licenses.TEMPLATES)
+    texts = [(0, long), (1, "x " * 30 + long + " y" * 30)]
+    for i in range(2, 40):
+        w = rng.choice([long, *(t for _, t in licenses.TEMPLATES[-3:])]).split()
+        for _ in range(rng.randrange(80)):
+            w[rng.randrange(len(w))] = f"o{rng.randrange(99)}"
+        for _ in range(rng.randrange(60)):
+            w.insert(rng.randrange(len(w)), "z")
+        texts.append((i, " ".join(w)))
+    want = {}
+    for doc, text in texts:
+        w, labels, best = text.split(), set(), 0.0
+        for label, t in templates:
+            size, tokens = max(licenses.BLOCK, -(-len(t.split()) * 10 // 8)), {*t.split()}
+            held = max(len({*w[s : s + size]} & tokens) for s in range(max(1, len(w) - size + 1)))
+            labels |= {label} if held >= licenses.THRESHOLD * len(tokens) - 1e-9 else set()
+            best = max(best, held / len(tokens)) if held >= licenses.THRESHOLD * len(tokens) - 1e-9 else best
+        want[doc] = ",".join(sorted(labels)), best
+    got = rows(licenses.scan_licenses(frame(spark, texts), templates=templates), "labels", "score")
+    assert got[0] == ("long", 1.0) and {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(got[d][1] == pytest.approx(s) for d, (_, s) in want.items() if s)
+
+
+def test_repeated_rows_are_scanned_each(spark):
+    t = spark.createDataFrame([(1, "cc by nc"), (1, "cc by nc"), (None, "under the mit license")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["base_labels"], r["n_base"]) for r in licenses.scan_licenses(t).collect())
+    assert got == [(0, "mit", 1), (1, "cc-by-nc", 1), (1, "cc-by-nc", 1)]
+
+
 def test_mixing(spark, documents):
     t, pairs = documents
     source = {r["doc_id"]: r["source"] for r in t.collect()}
