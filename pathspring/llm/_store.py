@@ -18,8 +18,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in a local test, a folder of this machine."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new folder of this machine, for a local master only.
+
+    On a cluster each machine would have a folder of its own, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or _own_folder()
 
 
