@@ -4,13 +4,18 @@ Words of a source, document after document, are packed into blocks of a fixed
 number of words. Target weights give each source a number of slots. Each output
 shard's counts by source are drawn: multinomial draws given the totals, that is
 without replacement from the slots that earlier shards left. The counts give each
-shard a run of each source's slots, in a permuted order within the shard. Slot j of a source with
-n blocks reads block perm(j mod n), in pass j div n: every block is read floor or
-ceil(slots / n) times, and slots meet blocks in an equi-join on (source, index).
-
-No step holds a source in one task: prefix sums are taken within hash buckets of
-documents and then over the buckets' totals, and slots are made by shard and source.
-The draws are made on the driver, from the sources' totals.
+shard a run of each source's slots, in a permuted order within the shard. Slot j of a
+source with n blocks reads block perm(j mod n), in pass j div n: every block is read
+floor or ceil(slots / n) times, and slots meet blocks in an equi-join on (source, index).
+
+The permutations are keyed and pseudorandom, for any n: swap-or-not shuffles (Hoang,
+Morris and Rogaway 2012). In each round x has a partner, (key - x) mod n, and a
+pseudorandom bit of the larger of the two decides whether they change places.
+
+No step holds a source in one task: equal rows are counted first, prefix sums are
+taken within hash buckets of documents and then over the buckets' totals, and slots
+are made by shard and source. Only the draws are made on the driver, from the (few)
+sources' totals: a row for each shard and source.
 """
 
 from __future__ import annotations
@@ -31,19 +36,34 @@ MOST = 3
 """How often a source's words may be read on average, and a document's at most."""
 BUCKETS = 1024
 """Hash buckets of documents within a source, for prefix sums."""
-PRIMES = (2654435761, 2246822519, 3266489917, 668265263)
-"""Multipliers of the index permutations; the first that is coprime is used."""
+ROUNDS = 24
+"""Rounds of an index permutation."""
+PRIME = 2147483647
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _permuted(j: Column, n: Column, seed: Column) -> Column:
-    """A permutation of 0..n-1, affine with a multiplier coprime to n (a prime that does not divide n)."""
-    a = F.lit(PRIMES[-1])
-    for prime in PRIMES[-2::-1]:
-        a = F.when(n % prime != 0, F.lit(prime)).otherwise(a)
-    product = F.pmod(a, n).cast("decimal(19,0)") * j.cast("decimal(19,0)") % n.cast("decimal(19,0)")
-    return F.pmod(product.cast("long") + F.pmod(seed, n), n)
+def _rounds(name: Column) -> Column:
+    """The round keys (k, a, c) of the permutation of that name, from MD5: SQL elsewhere has it too."""
+
+    def one(r: Column) -> Column:
+        digest = F.md5(F.concat(name, F.lit(":"), r.cast("string")).cast("binary"))
+        return F.struct(*[F.conv(F.substring(digest, at, n), 16, 10).cast("long").alias(x) for x, at, n in (("k", 1, 13), ("a", 14, 7), ("c", 21, 7))])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), one)
+
+
+def _permuted(j: Column, n: Column, rounds: Column) -> Column:
+    """A keyed permutation of 0..n-1. The bits come from squares modulo a prime."""
+
+    def step(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(r["k"], n) + n - x, n)
+        high = F.greatest(x, partner)
+        low = F.pmod(high, F.lit(PRIME))
+        y = F.pmod(F.pmod(low * low, F.lit(PRIME)) + F.pmod(low * r["a"], F.lit(PRIME)) + F.floor(high / PRIME) * 69069 + r["c"], F.lit(PRIME))
+        return F.when(F.shiftright(F.pmod(y * y, F.lit(PRIME)), 12).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
+
+    return F.aggregate(rounds, j.cast("long"), step)
 
 
 def _hashed(text: Column) -> Column:
@@ -52,11 +72,13 @@ def _hashed(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, key (the source, with a key for null), source, size: words of the whole text."""
+    """doc_id, key (the source, with a key for null), size (words of the whole text), spot (a hash of the doc_id; without one, of the text)."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     return docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
+        id_.alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("key"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _hashed(F.coalesce(id_.cast("string"), text, F.lit(""))).alias("spot"),
     )
 
 
@@ -83,15 +105,19 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def packed(sized: DataFrame, *keep: str) -> DataFrame:
-    """Documents with words, each with the offset of its first word in its source, and the columns to keep."""
-    t = sized.filter(F.col("size") > 0).withColumn("bucket", F.pmod(_hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BUCKETS)))
-    totals = t.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    """Documents with words, each with the offset of its first word in its source, and the columns to keep.
+
+    Equal rows travel as one with their number, so that no bucket is large for them.
+    """
+    t = sized.filter(F.col("size") > 0).groupBy("doc_id", "key", "size", "spot", *keep).agg(F.count("*").alias("copies"))
+    t = t.withColumn("bucket", F.pmod("spot", F.lit(BUCKETS)))
+    totals = t.groupBy("key", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    t = t.join(totals, ["key", "bucket"])
-    return t.select("doc_id", "key", "size", (F.col("base") + F.col("within")).alias("offset"), *keep)
+    inner = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", "spot").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inner), F.lit(0)))
+    t = t.join(totals, ["key", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return t.select("doc_id", "key", "size", (F.col("base") + F.col("within") + F.col("copy") * F.col("size")).alias("offset"), *keep)
 
 
 def drawn_counts(totals, seed: int, shard_slots: int = SHARD_SLOTS):
@@ -125,10 +151,11 @@ def slots(aims: DataFrame, seed: int = 42, block: int = BLOCK, shard_slots: int
     t = aims.sparkSession.createDataFrame(drawn, "shard long, key string, blocks long, n long, first long")
     within = Window.partitionBy("shard")
     t = t.withColumns({"start": F.sum("n").over(within.orderBy("key")) - F.col("n"), "all": F.sum("n").over(within)})
+    t = t.withColumns({"of_source": _rounds(F.concat("key", F.lit(f":{seed}"))), "of_shard": _rounds(F.concat(F.lit(f"{seed}:"), F.col("shard").cast("string")))})
     t = t.repartition("shard", "key").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     t = t.withColumn("j", F.col("first") + F.col("i"))
-    place = _permuted(F.col("start") + F.col("i"), F.col("all"), F.lit(seed * 7919) + F.col("shard"))
-    index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), _hashed(F.concat("key", F.lit(f":{seed}"))))
+    place = _permuted(F.col("start") + F.col("i"), F.col("all"), F.col("of_shard"))
+    index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("of_source"))
     return t.select("shard", place.alias("slot"), "key", index.alias("index"), F.floor(F.col("j") / F.col("blocks")).alias("pass"))
 
 
@@ -176,7 +203,7 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int =
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{source_col}`").alias("source"))
     named = written(named.withColumn("row", F.monotonically_increasing_id()), "rows")  # a key for each row, the same in all that follows
     sized = written(sizes(named.withColumn("named", F.struct("doc_id", "row")), id_col="named"), "sizes")
-    sized = sized.select("doc_id.doc_id", "doc_id.row", "key", "size")
+    sized = sized.select("doc_id.doc_id", "doc_id.row", "key", "size", "spot")
     texts = named.select("row", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
     pieces = _pieces(packed(sized, "row"), block).join(texts, "row")
     part = F.array_join(F.slice("w", (F.col("start") - F.col("offset") + 1).cast("int"), F.col("words").cast("int")), " ")
@@ -187,11 +214,18 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int =
 
 def oracle(seed: int = 42) -> str:
     """The rows of mix() in DuckDB SQL."""
-    a = "CASE " + " ".join(f"WHEN blocks % {p} <> 0 THEN {p}" for p in PRIMES[:-1]) + f" ELSE {PRIMES[-1]} END"
+    steps = "SELECT *, (j % blocks)::BIGINT AS x FROM j"
+    for r in range(1, ROUNDS + 1):
+        digest = f"md5(key || ':{seed}:{r - 1}')"
+        k, a, c = (f"('0x' || substr({digest}, {at}, {n}))::BIGINT" for at, n in ((1, 13), (14, 7), (21, 7)))
+        steps = f"SELECT key, blocks, x, p, greatest(x, p) AS h, a, c FROM (SELECT *, ({k} % blocks + blocks - x) % blocks AS p, {a} AS a, {c} AS c FROM ({steps}))"
+        steps = f"SELECT key, blocks, x, p, (h % {PRIME} * (h % {PRIME}) % {PRIME} + h % {PRIME} * a % {PRIME} + h // {PRIME} * 69069 + c) % {PRIME} AS y FROM ({steps})"
+        steps = f"SELECT key, blocks, CASE WHEN (y * y % {PRIME} >> 12) & 1 = 1 THEN p ELSE x END AS x FROM ({steps})"
     weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
     return rf"""
 WITH s AS (
-  SELECT doc_id, coalesce('=' || source, '') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, coalesce('=' || source, '') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT AS spot FROM documents
 ), a0 AS (SELECT key, sum(size)::BIGINT AS source_size FROM s GROUP BY key
 ), a1 AS (SELECT *, 3 * source_size AS cap, [{weights}][1 + (row_number() OVER (ORDER BY key = '', key) - 1) % {len(WEIGHTS)}] AS w FROM a0
 ), a2 AS (
@@ -201,14 +235,11 @@ WITH s AS (
 ), a4 AS (
   SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (total - (sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ())::BIGINT)
          / nullif(weight - sum(CASE WHEN stops THEN w ELSE 0 END) OVER (), 0) * w END AS target FROM a3
-), a5 AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks, ('0x' || substr(md5(key || ':{seed}'), 1, 8))::BIGINT AS seed FROM a4 WHERE source_size > 0
-), reads AS (
-  SELECT key, index, count(*) AS times FROM (
-    SELECT key, ((({a}) % blocks) * (j % blocks) % blocks + seed % blocks) % blocks AS index FROM (
-      SELECT *, unnest(range(least(round(target * blocks / source_size)::BIGINT, {MOST} * blocks))) AS j FROM a5)
-  ) GROUP BY key, index
+), a5 AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks FROM a4 WHERE source_size > 0
+), j AS (SELECT key, blocks, unnest(range(least(round(target * blocks / source_size)::BIGINT, {MOST} * blocks))) AS j FROM a5
+), reads AS (SELECT key, x AS index, count(*) AS times FROM ({steps}) GROUP BY key, x
 ), o AS (
-  SELECT doc_id, key, size, coalesce(sum(size) OVER (PARTITION BY key ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {BUCKETS}, doc_id, size
+  SELECT doc_id, key, size, coalesce(sum(size) OVER (PARTITION BY key ORDER BY spot % {BUCKETS}, doc_id NULLS FIRST, size, spot
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s WHERE size > 0
 ), taken AS (
   SELECT doc_id, key, size, pos, sum(coalesce(times, 0) * (least(pos + size, (i + 1) * {BLOCK}) - greatest(pos, i * {BLOCK})))::BIGINT AS taken
