@@ -49,8 +49,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

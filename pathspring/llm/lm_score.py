@@ -6,8 +6,7 @@ the target model all labelled good documents. Background counts are scaled to th
 target's number of words, so that smoothing weighs the same in both. The vocabulary
 is open: it has the corpus's distinct words, and ``2**VOCABULARY_BITS`` at least.
 
-No task holds a model. Documents are written in chunks of at most ``CHUNK`` bytes of
-text or one text. Each chunk sends its distinct keys with their counts to buckets of
+No task holds a model. Documents are written in chunks of a few MB of text (``_chunks``) or one text. Each chunk sends its distinct keys with their counts to buckets of
 keys; a bucket adds up what all chunks sent and returns the sums to each of them, and
 a chunk scores its documents by these. A key travels once for each chunk that has it,
 however many documents do.
@@ -19,7 +18,6 @@ loss (nats): the higher, the more it is like the target.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathspring.llm._chunks import bucket_of, chunked, from_planes, in_order, pack_keys, planes, rows_of, unpack_keys
 from pathspring.llm._store import arrow, shuffle_partitions, written
-from pathspring.llm._words import SLICE, SPACED_LOWER, U64, Words, mix, slices, text_bytes
+from pathspring.llm._words import SPACED_LOWER, U64, Words, mix
 
 VOCABULARY_BITS = 18
 """The vocabulary has 2 to this power words at least, seen or not."""
-CHUNK = 4 << 20
 BUCKET_CHUNKS = 4
 """A bucket of keys gets as many as so many chunks hold, at most."""
 SMOOTHING = 8.0
@@ -49,46 +47,12 @@ def cells(words: Words):
     return ids, before, mix(before * U64(0x9E3779B97F4A7C15) + ids + U64(1))
 
 
-def _chunks(batches):
-    pack = zstandard.ZstdCompressor(level=1)
-
-    def out(held):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as stream:
-            for part in held:
-                stream.write_batch(part)
-        ids = [i for part in held for i in part.column("doc_id").to_pylist()]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "packed": pa.array([pack.compress(sink.getvalue())], pa.binary())})
-
-    held, size = [], 0
-    for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            n = int(text_bytes(part.column("text"))[1][-1])
-            if held and size + n > CHUNK:
-                yield out(held)
-                held, size = [], 0
-            held.append(part)
-            size += n
-    if held:
-        yield out(held)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of whole numbers, all lowest bytes first: the upper ones pack to almost nothing."""
-    return np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _from_planes(data, kind, n: int, at: int = 0) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
-
-
 class _Chunk:
     """A chunk's documents, and its distinct keys in order: words (contexts among them) and bigrams."""
 
     def __init__(self, packed: bytes):
         parts, counts, self.ids = [], [], []
-        for part in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)):
+        for part in rows_of(packed):
             words = Words(part.column("text"), SPACED_LOWER)
             parts.append(cells(words))
             counts.append(words.counts)
@@ -109,19 +73,14 @@ class _Chunk:
         return [*count(self.word, len(self.words)), *count(self.before, len(self.words))], count(self.pair, len(self.pairs))
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each key; it grows with the key."""
-    return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-
-
 def _send(buckets: int):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for name, packed, bits in _in_order(batches, ("chunk", "packed", "target")):
+        for name, packed, bits in in_order(batches, ("chunk", "packed", "target")):
             chunk = _Chunk(packed)
             tables = []
             for keys, sums in zip((chunk.words, chunk.pairs), chunk.sums(bits)):
-                ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+                ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                 tables.append((keys, sums, ends))
             rows: dict[str, list] = {"bucket": [], "chunk": [], "words": [], "pairs": []}
             for b in np.flatnonzero(sum(np.diff(ends) for _, _, ends in tables)).tolist():
@@ -129,8 +88,7 @@ def _send(buckets: int):
                 rows["chunk"].append(name)
                 for kind, (keys, sums, ends) in zip(("words", "pairs"), tables):
                     span = slice(ends[b], ends[b + 1])
-                    steps = np.diff(keys[span], prepend=U64(0))
-                    rows[kind].append(pack.compress(b"".join(_planes(x) for x in (steps, *(c[span] for c in sums)))))
+                    rows[kind].append(pack.compress(pack_keys(keys[span]) + b"".join(planes(c[span]) for c in sums)))
             if rows["bucket"]:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "chunk": pa.array(rows["chunk"], pa.int64()), "words": pa.array(rows["words"], pa.binary()), "pairs": pa.array(rows["pairs"], pa.binary())})
 
@@ -138,17 +96,12 @@ def _send(buckets: int):
 
 
 def _bits(batches):
-    for name, places in _in_order(batches, ("chunk", "places")):
+    for name, places in in_order(batches, ("chunk", "places")):
         bits = np.zeros(max(places) + 1, dtype=np.uint8)
         bits[places] = 1
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([name], pa.int64()), "target": [np.packbits(bits).tobytes()]})
 
 
-def _in_order(batches, columns):
-    for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns))
-
-
 def _added(blobs: list[bytes], width: int):
     """The sums of width counts for the keys of all blobs: (distinct keys' sums, each blob's places in them)."""
     keys, counts = [], []
@@ -156,8 +109,8 @@ def _added(blobs: list[bytes], width: int):
     for blob in blobs:
         data = unpack.decompress(blob)
         n = len(data) // (8 + 4 * width)
-        keys.append(np.cumsum(_from_planes(data, U64, n), dtype=U64))
-        counts.append([_from_planes(data, np.uint32, n, (8 + 4 * j) * n) for j in range(width)])
+        keys.append(unpack_keys(data, n))
+        counts.append([from_planes(data, np.uint32, n, (8 + 4 * j) * n) for j in range(width)])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.zeros((width, len(distinct)), dtype=np.int64)
     for j in range(width):
@@ -167,13 +120,13 @@ def _added(blobs: list[bytes], width: int):
 
 def _sum(batches):
     pack = zstandard.ZstdCompressor(level=1)
-    for bucket, group in itertools.groupby(_in_order(batches, ("bucket", "chunk", "words", "pairs")), key=lambda r: r[0]):
+    for bucket, group in itertools.groupby(in_order(batches, ("bucket", "chunk", "words", "pairs")), key=lambda r: r[0]):
         group = list(group)
         words, word_at = _added([r[2] for r in group], 4)
         pairs, pair_at = _added([r[3] for r in group], 2)
         totals = [int((words[0] > 0).sum()), int(words[0].sum()), int(words[1].sum())]
         for row, w, p in zip(group, word_at, pair_at):
-            blobs = [pack.compress(_planes(sums[:, at])) for sums, at in ((words, w), (pairs, p))]
+            blobs = [pack.compress(planes(sums[:, at])) for sums, at in ((words, w), (pairs, p))]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([row[1]], pa.int64()), "bucket": pa.array([bucket], pa.int64()), "words": [blobs[0]], "pairs": [blobs[1]], "n_distinct": pa.array([totals[0]], pa.int64()), "n_all": pa.array([totals[1]], pa.int64()), "n_target": pa.array([totals[2]], pa.int64())})
             totals = [0, 0, 0]  # once for each bucket
 
@@ -190,11 +143,11 @@ def _score(vocabulary: int, n_all: int, n_target: int, smoothing: float):
 
     def joined(blobs, width: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor()
-        parts = [_from_planes(data, np.int64, len(data) // 8).reshape(width, -1) for data in map(unpack.decompress, blobs)]
+        parts = [from_planes(data, np.int64, len(data) // 8).reshape(width, -1) for data in map(unpack.decompress, blobs)]
         return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), dtype=np.int64)
 
     def run(batches):
-        for _, group in itertools.groupby(_in_order(batches, ("chunk", "words", "pairs", "packed")), key=lambda r: r[0]):
+        for _, group in itertools.groupby(in_order(batches, ("chunk", "words", "pairs", "packed")), key=lambda r: r[0]):
             chunk = _Chunk(next(group)[3])
             group = list(group)
             words, pairs = joined([r[1] for r in group], 4), joined([r[2] for r in group], 2)
@@ -225,7 +178,7 @@ def score(docs: DataFrame, labels: DataFrame, smoothing: float = SMOOTHING) -> D
     without labelled rows the target model is uniform.
     """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = written(t.transform(arrow(_chunks, "chunk long, ids array<long>, packed binary")), "chunks")
+    chunks = written(t.transform(arrow(chunked("text", "doc_id"), "chunk long, packed binary, ids array<long>")), "chunks")
 
     partitions = shuffle_partitions(docs.sparkSession)
     buckets = max(partitions, chunks.count() // BUCKET_CHUNKS)

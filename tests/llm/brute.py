@@ -120,3 +120,39 @@ def targets(sizes, weights=(5, 2, 1), most=3):
 def colliding_words():
     """Two words that polynomials modulo 2**64 cannot tell apart: the Thue-Morse sequence of 1,024 letters, and its complement."""
     return tuple("".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024)) for flip in (0, 1))
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over characters, by its recursion."""
+
+    def __init__(self, texts, order=4, start="￿", characters=0x110000):
+        self.order, self.start, self.characters = order, start * (order - 1), characters
+        self.counts = {order: Counter(p[i : i + order] for p in (self.start + t for t in texts) for i in range(len(p) - order + 1))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discounts, self.contexts = {}, {}
+        for k, c in self.counts.items():
+            n = Counter(c.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+            self.discounts[k] = [min(i, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * i for i in (1, 2, 3)]
+            held = self.contexts[k] = defaultdict(list)
+            for g, x in c.items():
+                held[g[:-1]].append(x)
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / self.characters
+        below = self.p(gram[1:])
+        held = self.contexts[k].get(gram[:-1])
+        if not held:
+            return below
+        taken = lambda x: self.discounts[k][min(x, 3) - 1] if x else 0.0
+        x = self.counts[k][gram]
+        return (x - taken(x)) / sum(held) + sum(map(taken, held)) / sum(held) * below
+
+    def perplexity(self, text):
+        import math
+
+        padded = self.start + text
+        return math.exp(-sum(math.log(self.p(padded[i : i + self.order])) for i in range(len(text))) / len(text))

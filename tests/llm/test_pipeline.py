@@ -20,8 +20,8 @@ def test_stages(spark):
         assert kept[-1].columns == columns
     good, single, once, clean = kept
 
-    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    assert {d for d, _ in pairs(good)} == {r["doc_id"] for r in quality.classify(docs, model).filter("accepted").collect()}
+    judged = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert {d for d, _ in pairs(good)} == {r["doc_id"] for r in judged.filter("accepted").collect()}
 
     want = brute.near(pairs(good), 80, 100)
     assert {d for d, _ in pairs(single)} == {d for d, (_, c) in want.items() if c == d}
