@@ -505,12 +505,12 @@ def test_quality_thresholds_are_quantiles_of_all_held_out_labels(spark):
 
     rng = random.Random(2)
     docs = [(i, " ".join(rng.choice(("sun", "moon", "tide", "wave")) for _ in range(rng.choice((6, 40)))), "en") for i in range(900)]
-    docs += [(i, " ".join(rng.choice(("abend", "morgen", "nacht")) for _ in range(rng.randrange(10, 90))), "xx") for i in range(900, 1120)] + [(i, "same again", None) for i in range(1120, 1130)] + [(1130, "two words", "rare")]
+    docs += [(i, " ".join(rng.choice(("abend", "morgen", "nacht")) for _ in range(rng.randrange(10, 90))), "xx") for i in range(900, 1320)] + [(i, "same again", None) for i in range(1320, 1330)] + [(1330, "two words", "rare")]
     t = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    labels = spark.range(1130).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
+    labels = spark.range(1330).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
     got = quality.classify(t, labels, rows=60, quantile=0.9).collect()
     fit = {r["doc_id"] for r in quality.trusted(labels, 60).collect()}
-    held = [(r["lang"], r["n_chars"].bit_length() - 1, r["perplexity"]) for r in got if r["doc_id"] not in fit and r["doc_id"] < 1130]
+    held = [(r["lang"], r["n_chars"].bit_length() - 1, r["perplexity"]) for r in got if r["doc_id"] not in fit and r["doc_id"] < 1330]
     used = set()
     for r in got:
         for want, kind in ((r["lang"], r["n_chars"].bit_length() - 1), "class"), ((r["lang"],), "lang"), ((), "all"):
