@@ -8,9 +8,8 @@ shard a run of each source's slots, in a permuted order within the shard. Slot j
 source with n blocks reads block perm(j mod n), in pass j div n: every block is read
 floor or ceil(slots / n) times, and slots meet blocks in an equi-join on (source, index).
 
-The permutations are keyed and pseudorandom, for any n: swap-or-not shuffles (Hoang,
-Morris and Rogaway 2012). In each round x has a partner, (key - x) mod n, and a
-pseudorandom bit of the larger of the two decides whether they change places.
+A permutation puts a source's blocks in order of a keyed hash of their index. No task
+holds one: hash ranges of about ``PART`` blocks are counted first and ranked each.
 
 No step holds a source in one task: equal rows are counted first, prefix sums are
 taken within hash buckets of documents and then over the buckets' totals, and slots
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathspring.llm._store import written
+from pathspring.llm._store import shuffle_partitions, written
 
 BLOCK = 128
 """Words in a block."""
@@ -36,39 +35,30 @@ MOST = 3
 """How often a source's words may be read on average, and a document's at most."""
 BUCKETS = 1024
 """Hash buckets of documents within a source, for prefix sums."""
-ROUNDS = 24
-"""Rounds of an index permutation."""
-PRIME = 2147483647
+PART = 65536
+"""Blocks in a hash range of a permutation, about."""
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _rounds(name: Column) -> Column:
-    """The round keys (k, a, c) of the permutation of that name, from MD5: SQL elsewhere has it too."""
+def _hashed(text: Column, digits: int = 8) -> Column:
+    """A whole number of 4 bits a digit from a text, by MD5: SQL elsewhere has it too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
-    def one(r: Column) -> Column:
-        digest = F.md5(F.concat(name, F.lit(":"), r.cast("string")).cast("binary"))
-        return F.struct(*[F.conv(F.substring(digest, at, n), 16, 10).cast("long").alias(x) for x, at, n in (("k", 1, 13), ("a", 14, 7), ("c", 21, 7))])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), one)
-
-
-def _permuted(j: Column, n: Column, rounds: Column) -> Column:
-    """A keyed permutation of 0..n-1. The bits come from squares modulo a prime."""
-
-    def step(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(r["k"], n) + n - x, n)
-        high = F.greatest(x, partner)
-        low = F.pmod(high, F.lit(PRIME))
-        y = F.pmod(F.pmod(low * low, F.lit(PRIME)) + F.pmod(low * r["a"], F.lit(PRIME)) + F.floor(high / PRIME) * 69069 + r["c"], F.lit(PRIME))
-        return F.when(F.shiftright(F.pmod(y * y, F.lit(PRIME)), 12).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
-
-    return F.aggregate(rounds, j.cast("long"), step)
-
-
-def _hashed(text: Column) -> Column:
-    """A whole number of 32 bits from a text, by MD5: SQL elsewhere has it too."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+def permutations(sources: DataFrame, seed: int, part: int = PART) -> DataFrame:
+    """key, index, rank: a pseudorandom permutation of 0..blocks-1 for each source (key, blocks)."""
+    tasks = shuffle_partitions(sources.sparkSession)
+    t = sources.filter(F.col("blocks") > 0).select("key", "blocks", F.ceil(F.col("blocks") / part).alias("ranges"))
+    t = t.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges") - 1))).repartition(tasks, "key", "at")
+    t = t.withColumn("index", F.explode(F.sequence(F.col("at") * part, F.least("blocks", (F.col("at") + 1) * part) - 1)))
+    t = t.withColumn("h", _hashed(F.concat("key", F.lit(f":{seed}:"), F.col("index").cast("string")), 13))
+    t = t.select("key", "index", "h", F.shiftright(F.shiftright("h", 20) * F.col("ranges"), 32).alias("range"))
+    counts = t.groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("key", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    t = t.withColumn("within", F.row_number().over(Window.partitionBy("key", "range").orderBy("h", "index")) - 1)
+    return t.join(counts.hint("shuffle_merge"), ["key", "range"]).select("key", "index", (F.col("base") + F.col("within")).alias("rank"))
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -148,15 +138,14 @@ def slots(aims: DataFrame, seed: int = 42, block: int = BLOCK, shard_slots: int
     t = t.filter(F.col("count") > 0).select("key", "blocks", "count")
     sources = sorted(t.collect(), key=lambda r: r["key"])
     drawn = [(shard, sources[k]["key"], sources[k]["blocks"], n, first) for shard, k, n, first in drawn_counts([r["count"] for r in sources], seed, shard_slots)]
+    indices = permutations(t, seed)
     t = aims.sparkSession.createDataFrame(drawn, "shard long, key string, blocks long, n long, first long")
-    within = Window.partitionBy("shard")
-    t = t.withColumns({"start": F.sum("n").over(within.orderBy("key")) - F.col("n"), "all": F.sum("n").over(within)})
-    t = t.withColumns({"of_source": _rounds(F.concat("key", F.lit(f":{seed}"))), "of_shard": _rounds(F.concat(F.lit(f"{seed}:"), F.col("shard").cast("string")))})
-    t = t.repartition("shard", "key").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    t = t.withColumn("j", F.col("first") + F.col("i"))
-    place = _permuted(F.col("start") + F.col("i"), F.col("all"), F.col("of_shard"))
-    index = _permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("of_source"))
-    return t.select("shard", place.alias("slot"), "key", index.alias("index"), F.floor(F.col("j") / F.col("blocks")).alias("pass"))
+    t = t.repartition(shuffle_partitions(aims.sparkSession), "shard", "key").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    t = t.withColumn("j", F.col("first") + F.col("i")).withColumns({"rank": F.pmod("j", F.col("blocks")), "pass": F.floor(F.col("j") / F.col("blocks"))})
+    h = _hashed(F.concat(F.lit(f"{seed}:"), F.col("shard").cast("string"), F.lit(":"), F.col("key"), F.lit(":"), F.col("j").cast("string")), 13)
+    t = t.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(h, "key", "j")) - 1)  # a shard has shard_slots rows at most
+    # without the hint the planner takes exploded rows to be as few as the rows they come from, and broadcasts them
+    return t.join(indices.hint("shuffle_merge"), ["key", "rank"]).select("shard", "slot", "key", "index", "pass")
 
 
 def shard_counts(mix: DataFrame) -> DataFrame:
@@ -185,7 +174,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int = BLOCK, mo
     aims = written(targets(sized, weights, most), "targets")
     offsets = packed(sized)
     reads = slots(aims, seed, block, most=most).groupBy("key", "index").agg(F.count("*").alias("times"))
-    # without the hint the planner takes exploded slots to be as few as the sources they come from, and broadcasts them
     pieces = _pieces(offsets, block).join(reads.hint("shuffle_merge"), ["key", "index"], "left")
     taken = pieces.groupBy("doc_id", "key", "size", "offset").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("words")).alias("taken"))
     none = sized.filter(F.col("size") == 0).select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"))
@@ -214,13 +202,6 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, seed: int = 42, block: int =
 
 def oracle(seed: int = 42) -> str:
     """The rows of mix() in DuckDB SQL."""
-    steps = "SELECT *, (j % blocks)::BIGINT AS x FROM j"
-    for r in range(1, ROUNDS + 1):
-        digest = f"md5(key || ':{seed}:{r - 1}')"
-        k, a, c = (f"('0x' || substr({digest}, {at}, {n}))::BIGINT" for at, n in ((1, 13), (14, 7), (21, 7)))
-        steps = f"SELECT key, blocks, x, p, greatest(x, p) AS h, a, c FROM (SELECT *, ({k} % blocks + blocks - x) % blocks AS p, {a} AS a, {c} AS c FROM ({steps}))"
-        steps = f"SELECT key, blocks, x, p, (h % {PRIME} * (h % {PRIME}) % {PRIME} + h % {PRIME} * a % {PRIME} + h // {PRIME} * 69069 + c) % {PRIME} AS y FROM ({steps})"
-        steps = f"SELECT key, blocks, CASE WHEN (y * y % {PRIME} >> 12) & 1 = 1 THEN p ELSE x END AS x FROM ({steps})"
     weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
     return rf"""
 WITH s AS (
@@ -236,8 +217,10 @@ WITH s AS (
   SELECT key, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (total - (sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ())::BIGINT)
          / nullif(weight - sum(CASE WHEN stops THEN w ELSE 0 END) OVER (), 0) * w END AS target FROM a3
 ), a5 AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks FROM a4 WHERE source_size > 0
-), j AS (SELECT key, blocks, unnest(range(least(round(target * blocks / source_size)::BIGINT, {MOST} * blocks))) AS j FROM a5
-), reads AS (SELECT key, x AS index, count(*) AS times FROM ({steps}) GROUP BY key, x
+), a6 AS (SELECT key, blocks, least(round(target * blocks / source_size)::BIGINT, {MOST} * blocks) AS n FROM a5
+), i AS (SELECT key, blocks, n, unnest(range(blocks)) AS index FROM a6
+), p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ('0x' || substr(md5(key || ':{seed}:' || index), 1, 13))::BIGINT, index) - 1 AS rank FROM i
+), reads AS (SELECT key, index, n // blocks + (rank < n % blocks)::BIGINT AS times FROM p
 ), o AS (
   SELECT doc_id, key, size, coalesce(sum(size) OVER (PARTITION BY key ORDER BY spot % {BUCKETS}, doc_id NULLS FIRST, size, spot
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s WHERE size > 0
