@@ -1,6 +1,6 @@
 """Chunks of rows with texts, and tables of 64-bit keys that travel between chunks and buckets.
 
-A chunk holds whole rows, of at most ``CHUNK`` bytes of text or one row. What an
+A chunk holds whole rows, of at most a number of bytes of text or one row. What an
 operator has to look up for a chunk's texts are its distinct keys: each goes to its
 bucket once, and the answers come back to the chunk. No task holds a model.
 """
@@ -18,11 +18,11 @@ from pathspring.llm._words import SLICE, U64, slices, text_bytes
 CHUNK = 4 << 20
 
 
-def chunked(text_col: str, ids: str | None = None):
+def chunked(text_col: str, ids: str | None = None, limit: int = CHUNK, level: int = 1):
     """For mapInArrow: chunk (a random number), packed (the rows) and, if asked for, ids (that column's values)."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=level)
 
         def out(held):
             sink = pa.BufferOutputStream()
@@ -38,7 +38,7 @@ def chunked(text_col: str, ids: str | None = None):
         for batch in batches:
             for part in slices(batch, text_col, SLICE):
                 n = int(text_bytes(part.column(text_col))[1][-1])
-                if held and size + n > CHUNK:
+                if held and size + n > limit:
                     yield out(held)
                     held, size = [], 0
                 held.append(part)
