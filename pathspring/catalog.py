@@ -11,7 +11,8 @@ from pathspring.functions import transforms as tx
 from pathspring.operators import assess, extend, inference, pls, regression, resample, sem
 from pathspring.operators.moments import moments
 from pathspring.plans import frames
-from pathspring.plans.frames import ORDERS_SQL, order_model, orders, table
+from pathspring import catalog_sql
+from pathspring.plans.frames import ORDERS_SQL, chain_model, order_model, orders, table, wide_model
 from pathspring.plans.model import model
 from pathspring.sources import tables
 
@@ -128,10 +129,10 @@ def _(spark, d):
     return tables.fingerprint(table(spark, d, "part"))
 
 
-@_query("result_compare", "SELECT n_nationkey, n_regionkey AS left, n_regionkey AS right, 0 AS difference, 'both' AS status FROM nation")
+@_query("result_compare")
 def _(spark, d):
-    t = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("estimate"))
-    return tables.compare(t, t, ["n_nationkey"])
+    one, other = (_rounded(pls.tidy(spark, _fit(spark, d, scheme=s)).filter("kind = 'path'").select("source", "target", "estimate"), "estimate") for s in ("path", "factor"))
+    return _rounded(tables.compare(one, other, ["source", "target"]), "difference")
 
 
 # Statistics
@@ -155,8 +156,7 @@ def _(spark, d):
 @_query("stat_alpha", f"WITH {ORDERS_SQL} SELECT round(3 / 2 * (1 - (var_samp(q) + var_samp(n) + var_samp(q + n + q * 2)) / var_samp(q + n + q + n + q * 2)), 7) AS alpha FROM f")
 def _(spark, d):
     t = orders(spark, d).select("q", "n", (F.col("q") + F.col("n") + F.col("q") * 2).alias("w"))
-    v = moments(t, ["q", "n", "w"]).cov()
-    return _rows(spark, [(round(float(3 / 2 * (1 - v.trace() / v.sum())), 7),)], "alpha double")
+    return _rows(spark, [(round(assess.alpha_raw(moments(t, ["q", "n", "w"]).cov()), 7),)], "alpha double")
 
 
 @_query("wilson", "WITH c AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE AS k, count(*)::DOUBLE AS n, 1.959963984540054 AS z FROM orders) SELECT round((k + z * z / 2 - z * sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z), 8) AS low, round((k + z * z / 2 + z * sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z), 8) AS high FROM c")
@@ -174,7 +174,7 @@ def _fit(spark, d, **options):
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})  # never -0.0
 
 
 @_query("pls_pm")
@@ -209,8 +209,11 @@ def _(spark, d):
 
 @_query("wpls")
 def _(spark, d):
-    f = pls.estimate(frames.customers(spark, d), order_model(), "norders")
-    return _rounded(pls.tidy(spark, f), "estimate")
+    t = frames.customers(spark, d)
+    f = pls.estimate(t, order_model(), "norders")
+    n = pls.weight_counts(t, "norders").first()
+    rows = _rows(spark, [("weights", "cases", x, n[x], "ok") for x in ("sum", "effective")], "kind string, source string, target string, estimate double, status string")
+    return _rounded(pls.tidy(spark, f).unionByName(rows), "estimate")
 
 
 @_query("as_reliability")
@@ -247,12 +250,22 @@ def _(spark, d):
 
 @_query("as_fit")
 def _(spark, d):
-    return _rounded(_rows(spark, assess.model_fit(_fit(spark, d)), "variant string, statistic string, value double, reason string"), "value")
+    return _model_fit(spark, d, ("srmr", "d_uls"))
+
+
+@_query("as_fit_ml")
+def _(spark, d):
+    return _model_fit(spark, d, ("d_g", "chi2", "nfi"))
+
+
+def _model_fit(spark, d, statistics):
+    rows = [r for r in assess.model_fit(pls.estimate(orders(spark, d), chain_model())) if r[1] in statistics]
+    return _rounded(_rows(spark, rows, "variant string, statistic string, value double, reason string"), "value")
 
 
 @_query("cca")
 def _(spark, d):
-    return _rounded(_rows(spark, assess.composite_check(_fit(spark, d)), "construct string, other string, observed double, implied double, difference double"), "observed", "implied", "difference")
+    return _rounded(_rows(spark, assess.composite_check(pls.estimate(orders(spark, d), chain_model())), "construct string, other string, observed double, implied double, difference double"), "observed", "implied", "difference")
 
 
 _TETRADS = ["q", "n", "gross", "disc"]
@@ -303,7 +316,8 @@ def _(spark, d):
 
 @_query("ols_multiple")
 def _(spark, d):
-    return _rounded(regression.ols_hc3(orders(spark, d), "gross", ["q", "n", "disc"])[0], "estimate", "se", "t", "p", "low", "high")
+    t = regression.ols_hc3(orders(spark, d), "gross", ["q", "n", "disc"])[0]
+    return _rounded(t.select("term", F.round("estimate", 4).alias("estimate"), F.round("se", 4).alias("se"), "t", "p"), "t", "p")
 
 
 @_query("logistic")
@@ -351,7 +365,11 @@ def _(spark, d):
 @_query("rs_boot_pls")
 def _(spark, d):
     ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)
-    return _rounded(resample.summary(t, pls.tidy(spark, ref), 200), "estimate", "mean", "bias", "se", "low", "high", "p")
+    return _summarised(spark, ref, t, 200)
+
+
+def _summarised(spark, ref, t, replicates):
+    return _rounded(resample.summary(t, pls.tidy(spark, ref), replicates), "estimate", "mean", "bias", "se", "low", "high", "t", "p")
 
 
 @_query("rs_jackknife")
@@ -367,6 +385,11 @@ def _(spark, d):
     return _rounded(resample.group_difference(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 100), "first", "second", "difference", "p")
 
 
+@_query("rs_perm_plsc")
+def _(spark, d):
+    return _rounded(resample.group_difference(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 100, consistent=True), "first", "second", "difference", "p")
+
+
 # Extensions
 
 
@@ -466,9 +489,8 @@ def _(spark, d):
 
 @_query("prep_scale", "SELECT p_partkey, round(p_size - (SELECT avg(p_size) FROM part), 6) AS centred FROM part")
 def _(spark, d):
-    t = table(spark, d, "part")
-    m = moments(t, ["p_size"])
-    return t.select("p_partkey", F.round(F.col("p_size") - float(m.mean[0]), 6).alias("centred"))
+    t = tx.scale(table(spark, d, "part"), ["p_size"], "center")
+    return _rounded(t.select("p_partkey", F.col("p_size_scaled").alias("centred")), "centred")
 
 
 # Previews, metadata, files
@@ -510,13 +532,15 @@ def _(spark, d):
     t = table(spark, d, "supplier")
     tables.archive(t, path, {"name": "supplier"})
     back, _ = tables.reopen(spark, path)
-    return back.agg(F.count("*").alias("rows")).withColumn("same", F.lit(True))
+    return tables.fingerprint(back).join(tables.fingerprint(t).select(F.col("digest").alias("before"))).select("rows", (F.col("digest") == F.col("before")).alias("same"))
 
 
-@_query("src_matrix", "SELECT 'a' AS i, 'b' AS j, 0.5::DOUBLE AS r")
+@_query("src_matrix")
 def _(spark, d):
-    m = tables.matrix_moments(["a", "b"], [[4.0, 3.0], [3.0, 9.0]], 100)
-    return _rows(spark, [("a", "b", round(float(m.corr()[0, 1]), 9))], "i string, j string, r double")
+    names = ["q", "n", "gross"]
+    whole = moments(orders(spark, d), names)
+    r = tables.matrix_moments(names, whole.cov(), whole.n).corr()
+    return _rounded(_rows(spark, [(a, b, r[i, j]) for i, a in enumerate(names) for j, b in enumerate(names) if i < j], "i string, j string, r double"), "r")
 
 
 # Path models, other forms
@@ -538,26 +562,22 @@ def _(spark, d):
 
 @_query("pls_controls")
 def _(spark, d):
-    return _rounded(pls.tidy(spark, _fit(spark, d)).filter("kind = 'path' and source = 'SIZE' and target = 'CHARGES'"), "estimate")
-
-
-def _wide_model():
-    return model({"Q": ["q"], "N": ["n"], "M": ["mx"], "CHARGES": ["disc", "tax"]}, [("Q", "CHARGES"), ("N", "CHARGES"), ("M", "CHARGES"), ("Q", "M")])
+    return _rounded(pls.with_roles(pls.tidy(spark, _fit(spark, d)), order_model(), [("SIZE", "CHARGES")]), "estimate")
 
 
 @_query("moderation_multi")
 def _(spark, d):
-    return _rounded(extend.moderation(orders(spark, d), _wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES")]), "estimate", "r2")
+    return _rounded(extend.moderation(orders(spark, d), wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES")]), "estimate", "r2")
 
 
 @_query("moderation_three_way")
 def _(spark, d):
-    return _rounded(extend.moderation(orders(spark, d), _wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]), "estimate", "r2")
+    return _rounded(extend.moderation(orders(spark, d), wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]), "estimate", "r2")
 
 
 @_query("moderated_mediation")
 def _(spark, d):
-    return _rounded(extend.moderated_mediation(orders(spark, d), _wide_model(), "Q", "M", "CHARGES", "N"), "indirect", "index")
+    return _rounded(extend.moderated_mediation(orders(spark, d), wide_model(), "Q", "M", "CHARGES", "N"), "indirect", "index")
 
 
 @_query("hoc_repeated")
@@ -588,14 +608,14 @@ def _(spark, d):
 
 @_query("rs_mediation")
 def _(spark, d):
-    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 100)
-    return _rounded(resample.summary(t.filter("kind in ('indirect', 'failed')"), pls.tidy(spark, ref), 100), "estimate", "mean", "bias", "se", "low", "high", "p")
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)
+    return _summarised(spark, ref, t.filter("kind in ('indirect', 'failed')"), 200)
 
 
 @_query("rs_boot_plsc")
 def _(spark, d):
-    ref, t = resample.bootstrap(orders(spark, d), order_model(), "l_orderkey", 20, consistent=True)
-    return _rounded(resample.summary(t, pls.tidy(spark, ref), 20), "estimate", "mean", "bias", "se", "low", "high", "p")
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200, consistent=True)
+    return _summarised(spark, ref, t, 200)
 
 
 @_query("rs_freedman_lane")
@@ -611,21 +631,15 @@ def _(spark, d):
 @_query("rs_bca")
 def _(spark, d):
     t = frames.customers(spark, d)
-    ref, boot = resample.bootstrap(t, order_model(), "o_custkey", 100)
-    jack = resample.jackknife(t, ref, "o_custkey")
-    rows = []
-    for a, b in order_model().paths:
-        pick = lambda x: x.filter((F.col("kind") == "path") & (F.col("source") == a) & (F.col("target") == b)).orderBy("rep").select("estimate").toPandas()["estimate"].to_numpy()  # noqa: E731, B023
-        n = order_model().names
-        bounds = resample.bca(pick(boot), float(ref.paths[n.index(a), n.index(b)]), pick(jack))
-        rows.append((a, b, *(bounds or (None, None))))
-    return _rounded(_rows(spark, rows, "source string, target string, low double, high double"), "low", "high")
+    ref, boot = resample.bootstrap(t, order_model(), "o_custkey", 200)
+    bounds = resample.bca_table(boot, resample.jackknife(t, ref, "o_custkey"), pls.tidy(spark, ref))
+    return _rounded(bounds.filter("kind = 'path'"), "low", "high")
 
 
 @_query("posthoc_n")
 def _(spark, d):
-    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 60)
-    s = resample.summary(t, pls.tidy(spark, ref), 60).filter("kind = 'path' and p < 0.05").collect()
+    ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)
+    s = resample.summary(t, pls.tidy(spark, ref), 200).filter("kind = 'path' and p < 0.05").collect()
     return _rows(spark, [(inference.technical_sample_size([r["estimate"] for r in s]),)], "minimum_n long")
 
 
@@ -717,4 +731,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_sql.SQL

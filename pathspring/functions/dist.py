@@ -16,6 +16,21 @@ def norm_ppf(p: float) -> float:
     return _NORMAL.inv_cdf(p)
 
 
+def norm_ppf_of(p):
+    """Normal quantiles of an array, by Newton steps from a rational first guess (Abramowitz and Stegun 26.2.23)."""
+    import numpy as np
+
+    p = np.asarray(p, dtype=float)
+    low = np.minimum(p, 1 - p)
+    t = np.sqrt(-2 * np.log(low))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    for _ in range(3):
+        upper = 0.5 * erfc(z / math.sqrt(2)).astype(float)
+        z = z + (upper - low) * math.sqrt(2 * math.pi) * np.exp(z * z / 2)
+    return np.where(p < 0.5, -z, z)
+
+
 def gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function."""
     if x <= 0:

@@ -98,6 +98,18 @@ def group(df: DataFrame, name: str, column: str, groups: dict[str, dict], unmatc
     return _append(df, name, value if unmatched == "missing" else value.otherwise(F.raise_error(F.lit(f"{column} is in no group")).cast("string")))
 
 
+def scale(df: DataFrame, columns: Sequence[str], how: str = "standardize") -> DataFrame:
+    """Each column as <column>_scaled: standardized (sample deviation), centred, or as it is. A constant column, or one of less than two values, is an error."""
+    if how not in ("standardize", "center", "none"):
+        raise ValueError(f"no scaling {how}")
+    m = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()
+    if bad := [c for c in columns if not (m[f"{c}_sd"] or 0) > 0]:
+        raise ValueError(f"constant or too few values: {bad}")
+    move = {c: 0.0 if how == "none" else float(m[f"{c}_mean"]) for c in columns}
+    by = {c: float(m[f"{c}_sd"]) if how == "standardize" else 1.0 for c in columns}
+    return reduce(lambda d, c: _append(d, f"{c}_scaled", (F.col(c).cast("double") - move[c]) / by[c]), columns, df)
+
+
 def listwise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows without a null or NaN in the columns."""
     return df.dropna(subset=list(columns))

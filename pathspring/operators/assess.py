@@ -13,6 +13,12 @@ import numpy as np
 from pathspring.operators.pls import Fit, rho_a, structural
 
 
+def alpha_raw(cov: np.ndarray) -> float | None:
+    """Cronbach's alpha of items with these covariances; None for one item or a sum that does not vary."""
+    k, whole = len(cov), float(cov.sum())
+    return k / (k - 1) * (1 - float(np.trace(cov)) / whole) if k > 1 and whole > 0 else None
+
+
 def alpha_standardized(r: np.ndarray) -> float | None:
     k = len(r)
     return k / (k - 1) * (1 - k / r.sum()) if k > 1 else None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pathspring.functions import dist
 from pathspring.operators import pls
 from pathspring.operators.moments import Moments, moments, moments_by, shift_of, unpack
-from pathspring.operators.resample import fold_plan
+from pathspring.operators.resample import fold_plan, shuffled
 from pathspring.plans.model import Construct, ModelError, PathModel
 
 # Stage two on scores
@@ -111,7 +111,7 @@ def copula(df: DataFrame, model: PathModel, target: str, predictor: str, **optio
 
     @F.pandas_udf("double")
     def normal_quantile(p: pd.Series) -> pd.Series:
-        return p.map(dist.norm_ppf)
+        return pd.Series(dist.norm_ppf_of(p.to_numpy()))
 
     values = values.select("v", normal_quantile("p").alias("copula"))
     xs = [a for a, b in model.paths if b == target]
@@ -289,9 +289,8 @@ def micom(df: DataFrame, model: PathModel, group: str, first, second, key: str,
     pooled = pls.fit(model, pooled_m, **options)
     rows = full.select(key, F.col(group).alias("_g"), *names)
     size = rows.filter(F.col("_g") == first).count()
-    order = Window.partitionBy("rep").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "rep", F.col(key).cast("string")), 256), key)
-    dealt = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("a", F.row_number().over(order) <= size)
-    own = rows.select(F.lit(-1).alias("rep"), (F.col("_g") == first).alias("a"), *names)
+    dealt = shuffled(rows, permutations, seed, key).withColumn("a", F.col("rank") < size)
+    own = rows.select(F.lit(-1).cast("long").alias("rep"), (F.col("_g") == first).alias("a"), *names)
     m = moments_by(own.unionByName(dealt.select("rep", "a", *names)), names, ["rep", "a"], None, shift)
     both = m.groupBy("rep").agg(*[F.max(F.when(F.col("a") == side, F.struct("n", "w", "sums", "products"))).alias(c) for side, c in ((True, "x"), (False, "y"))])
     sd = pooled_m.sd()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pathspring.functions import dist
 from pathspring.operators import assess, pls, regression
 from pathspring.operators.moments import Moments, moments, moments_by, shift_of, unpack
-from pathspring.operators.resample import bootstrap_plan, positioned
+from pathspring.operators.resample import bootstrap_plan, positioned, shuffled
 from pathspring.plans.model import ModelError, PathModel
 
 
@@ -75,9 +75,7 @@ def freedman_lane(df: DataFrame, model: PathModel, source: str, target: str, key
     b0 = pls._solve(f.scores[np.ix_([c[x] for x in rest], [c[x] for x in rest])], f.scores[[c[x] for x in rest], j]) if rest else np.zeros(0)
     e = F.col(target) - sum((float(b) * F.col(x) for b, x in zip(b0, rest)), F.lit(0.0))
     t = positioned(t.select(key, *xs, e.alias("e")), key).select("pos", *xs, "e")
-    reps = t.select("pos").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = Window.partitionBy("rep").orderBy(F.xxhash64("rep", "pos", F.lit(seed)), "pos")
-    dealt = reps.withColumn("from", F.row_number().over(order) - 1)
+    dealt = shuffled(t.select("pos"), permutations, seed, "pos", "from")
     sums = dealt.join(t.select("pos", *xs), "pos").join(t.select(F.col("pos").alias("from"), "e"), "from").groupBy("rep").agg(*[F.sum(F.col(x) * F.col("e")).alias(x) for x in xs])
     n, at = f.moments.n, [c[x] for x in xs]
     inv = np.linalg.inv(f.scores[np.ix_(at, at)])
@@ -237,10 +235,9 @@ def moderated_path(df: DataFrame, y: str, x: str, w: str, controls: list[str] =
 def nca_permutation(df: DataFrame, x: str, y: str, key: str, permutations: int = 99, seed: int = 1) -> DataFrame:
     """effect, p: the CE-FDH effect size against those of permuted y. All permutations are one plan: peers by permutation."""
     rows = positioned(df.dropna(subset=[x, y]).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), key).select("pos", "x", "y")
-    reps = rows.select("pos").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    dealt = reps.withColumn("from", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", "pos", F.lit(seed)), "pos")) - 1)
+    dealt = shuffled(rows.select("pos"), permutations, seed, "pos", "from")
     t = dealt.join(rows.select("pos", "x"), "pos").join(rows.select(F.col("pos").alias("from"), "y"), "from").select("rep", "x", "y")
-    t = t.unionByName(rows.select(F.lit(-1).alias("rep"), "x", "y"))
+    t = t.unionByName(rows.select(F.lit(-1).cast("long").alias("rep"), "x", "y"))
     top = t.groupBy("rep", "x").agg(F.max("y").alias("y"))
     w = Window.partitionBy("rep").orderBy("x")
     ends = Window.partitionBy("rep")

@@ -169,12 +169,26 @@ def fixed(model: PathModel, m: Moments, weights: dict[str, float] | None = None)
 
 
 def estimate(df: DataFrame, model: PathModel, weight: str | None = None, **options) -> Fit:
-    """The estimates from the complete cases of a frame; weight names a column of case weights above 0."""
-    if weight:
-        df = df.filter(F.col(weight) > 0)
+    """The estimates from the complete cases of a frame; weight names a column of case weights, which must be above 0."""
+    if weight and df.filter(F.coalesce(F.col(weight) <= 0, F.lit(True)) | F.isnan(F.col(weight).cast("double"))).limit(1).count():
+        raise ModelError(f"weights in {weight} must be above 0")
     return fit(model, moments(df, model.indicators, weight), **options)
 
 
+def weight_counts(df: DataFrame, weight: str) -> DataFrame:
+    """sum, effective: the sum of case weights and the effective number of cases."""
+    w = F.col(weight).cast("double")
+    return df.agg(F.sum(w).alias("sum"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective"))
+
+
+def with_roles(estimates: DataFrame, model: PathModel, controls: list[tuple[str, str]]) -> DataFrame:
+    """The paths among tidy estimates with their role: control for declared control paths, which must be paths of the model, or structural. Numbers do not change."""
+    if missing := [p for p in controls if tuple(p) not in model.paths]:
+        raise ModelError(f"control paths that the model lacks: {missing}")
+    declared = F.concat_ws("\u0000", "source", "target").isin([f"{a}\u0000{b}" for a, b in controls])
+    return estimates.filter("kind = 'path'").select("source", "target", "estimate", F.when(declared, "control").otherwise("structural").alias("role"))
+
+
 _TIDY = "kind string, source string, target string, estimate double, status string"
 
 

@@ -6,6 +6,7 @@ partitions nor on workers, and SQL can restate it.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -25,12 +26,28 @@ def draw(seed: Column | int, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long")
 
 
+def ranked(df: DataFrame, digest: Column, key: str, by: tuple[str, ...] = (), name: str = "pos") -> DataFrame:
+    """The frame with name, 0 to n - 1 in order of a digest in hexadecimal and then the key, within by.
+
+    Counts by the digests' first three digits come first, then ranks within these
+    4,096 parts, so no task sorts all rows (or all of one value of by).
+    """
+    b = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = b.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    b = b.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)) - 1)
+    return b.join(bases, [*by, "_b"]).withColumn(name, F.col("_base") + F.col("_i")).drop("_b", "_base", "_i", "_h")
+
+
 def positioned(df: DataFrame, key: str) -> DataFrame:
-    """The frame with pos, 0 to n - 1 in order of a unique key: counts of hash buckets first, then ranks within them."""
-    b = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(256)))
-    before = b.groupBy("_b").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return b.withColumn("_i", within).join(F.broadcast(before.select("_b", "_base")), "_b").withColumn("pos", F.col("_base") + F.col("_i")).drop("_b", "_base", "_i")
+    """The frame with pos, 0 to n - 1 in order of the MD5 of a unique key."""
+    return ranked(df, F.md5(F.col(key).cast("string").cast("binary")), key)
+
+
+def shuffled(df: DataFrame, replicates: int, seed: int, key: str, name: str = "rank") -> DataFrame:
+    """Each row once for each replicate (rep, from 0), with its rank in that replicate's random order."""
+    t = df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    return ranked(t, F.sha2(F.concat_ws(":", F.lit(seed), "rep", F.col(key).cast("string")), 256), key, ("rep",), name)
 
 
 def bootstrap_plan(spark, n: int, replicates: int, seed: int = 1) -> DataFrame:
@@ -41,8 +58,8 @@ def bootstrap_plan(spark, n: int, replicates: int, seed: int = 1) -> DataFrame:
 
 def fold_plan(df: DataFrame, key: str, folds: int, seed: int = 1, repeat: int = 0) -> DataFrame:
     """key, fold: round-robin along the order of a hash of the key."""
-    order = Window.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(repeat), F.col(key).cast("string")), 256), key)
-    return df.select(key).withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(folds)))
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(repeat), F.col(key).cast("string")), 256)
+    return ranked(df.select(key), digest, key).select(key, F.pmod("pos", F.lit(folds)).alias("fold"))
 
 
 _ESTIMATES = "rep long, kind string, source string, target string, estimate double, status string"
@@ -61,8 +78,14 @@ def _aligned(ref: Fit, new: Fit) -> Fit:
 def _rows(rep: int, f: Fit) -> list[tuple]:
     n, total = f.model.names, f.total()
     out = [(rep, "path", a, b, float(f.paths[n.index(a), n.index(b)]), "ok") for a, b in f.model.paths]
-    out += [(rep, "indirect", n[i], n[j], float(total[i, j] - f.paths[i, j]), "ok") for i in range(len(n)) for j in range(len(n)) if abs(total[i, j] - f.paths[i, j]) > 0]
-    out += [(rep, "loading", c.name, x, float(f.loadings[i, j]), "ok") for j, c in enumerate(f.model.constructs) for i, x in zip(f.model.block(c.name), c.indicators)]
+    for i, j in itertools.permutations(range(len(n)), 2):
+        routes = f.model.routes(n[i], n[j])
+        out += [(rep, "total", n[i], n[j], float(total[i, j]), "ok")] if routes else []
+        out += [(rep, "indirect", n[i], n[j], float(total[i, j] - f.paths[i, j]), "ok")] if any(len(r) > 2 for r in routes) else []
+    for j, c in enumerate(f.model.constructs):
+        for i, x in zip(f.model.block(c.name), c.indicators):
+            out += [(rep, "weight", c.name, x, float(f.weights[i, j]), "ok"), (rep, "loading", c.name, x, float(f.loadings[i, j]), "ok")]
+        out += [(rep, "r2", c.name, c.name, float(f.r2[j]), "ok")] if np.isfinite(f.r2[j]) else []
     return out
 
 
@@ -93,20 +116,37 @@ def bootstrap(df: DataFrame, model: PathModel, key: str, replicates: int = 500,
     return ref, refit(moments_by(drawn, model.indicators, ["rep"], "times", shift), ref, shift, options)
 
 
-def summary(estimates: DataFrame, ref: DataFrame, replicates: int, level: float = 0.95) -> DataFrame:
-    """kind, source, target, estimate, mean, bias, se, low, high, p, usable, status: percentile intervals (type 7).
+TAILS = ("two_sided", "greater", "less")
+
+
+def normal_p(z: Column, tail: str = "two_sided") -> Column:
+    """p of a standard normal statistic, for few rows."""
+    if tail not in TAILS:
+        raise ValueError(f"tail must be one of {TAILS}")
+
+    @F.pandas_udf("double")
+    def p(values: pd.Series) -> pd.Series:
+        upper = 1 - (values.abs() if tail == "two_sided" else values if tail == "greater" else -values).map(dist.norm_cdf)
+        return 2 * upper if tail == "two_sided" else upper
 
-    Nothing but the status is given where fewer than nine in ten replicates are usable.
+    return p(z)
+
+
+def summary(estimates: DataFrame, ref: DataFrame, replicates: int, level: float = 0.95, tail: str = "two_sided") -> DataFrame:
+    """kind, source, target, estimate, mean, bias, se, low, high, t, p, usable, status: percentile intervals (type 7).
+
+    t is the estimate over its standard error, p from the standard normal. Nothing but
+    the status is given where fewer than nine in ten replicates are usable.
     """
     a = (1 - level) / 2
     g = estimates.filter("kind <> 'failed'").groupBy("kind", "source", "target").agg(
         F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("se"), F.percentile("estimate", F.lit(a)).alias("low"), F.percentile("estimate", F.lit(1 - a)).alias("high"),
-        F.count("*").alias("usable"), F.count_if(F.col("estimate") <= 0).alias("below"), F.count_if(F.col("estimate") >= 0).alias("above"))
+        F.count("*").alias("usable"))
     t = g.join(ref.select("kind", "source", "target", "estimate"), ["kind", "source", "target"])
     ok = F.col("usable") >= max(2, math.ceil(0.9 * replicates))
-    p = F.least(F.lit(1.0), 2 * (F.least("below", "above") + 1) / (F.col("usable") + 1))
+    t = t.withColumn("t", F.try_divide("estimate", "se"))
     show = lambda c, name: F.when(ok, c).alias(name)
-    return t.select("kind", "source", "target", "estimate", show(F.col("mean"), "mean"), show(F.col("mean") - F.col("estimate"), "bias"), show(F.col("se"), "se"), show(F.col("low"), "low"), show(F.col("high"), "high"), show(p, "p"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
+    return t.select("kind", "source", "target", "estimate", show(F.col("mean"), "mean"), show(F.col("mean") - F.col("estimate"), "bias"), show(F.col("se"), "se"), show(F.col("low"), "low"), show(F.col("high"), "high"), show(F.col("t"), "t"), show(normal_p(F.coalesce("t", F.lit(0.0)), tail), "p"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
 
 
 def jackknife(df: DataFrame, ref: Fit, key: str, **options) -> DataFrame:
@@ -145,6 +185,34 @@ def bca(values: np.ndarray, estimate: float, jack: np.ndarray, level: float = 0.
     return out[0], out[1]
 
 
+def bca_table(boot: DataFrame, jack: DataFrame, ref: DataFrame, level: float = 0.95) -> DataFrame:
+    """kind, source, target, low, high: BCa bounds, null where nothing varies.
+
+    The jackknife's acceleration is an aggregate (minus its skewness over six roots of n);
+    only a row for each estimate comes to the driver, for the levels of its quantiles.
+    """
+    keys = ["kind", "source", "target"]
+    j = jack.filter("kind <> 'failed'").groupBy(*keys).agg(F.count("*").alias("n"), F.skewness("estimate").alias("skew"))
+    b = boot.filter("kind <> 'failed'").join(F.broadcast(ref.select(*keys, F.col("estimate").alias("seen"))), keys)
+    b = b.withColumn("tied", F.abs(F.col("estimate") - F.col("seen")) <= 1e-14)
+    share = b.groupBy(*keys).agg(F.count("*").alias("b"), F.avg(F.when(F.col("tied"), 0.5).otherwise((F.col("estimate") < F.col("seen")).cast("double"))).alias("share"), (F.max("estimate") > F.min("estimate")).alias("varies"))
+    levels = []
+    for r in share.join(j, keys).collect():
+        if not r["varies"] or r["skew"] is None or math.isnan(r["skew"]):
+            levels.append((*(r[k] for k in keys), None, None))
+            continue
+        z0, acc = dist.norm_ppf(min(max(r["share"], 0.5 / r["b"]), 1 - 0.5 / r["b"])), -r["skew"] / (6 * math.sqrt(r["n"]))
+        at = [z0 + dist.norm_ppf(p) for p in ((1 - level) / 2, (1 + level) / 2)]
+        levels.append((*(r[k] for k in keys), *(dist.norm_cdf(z0 + z / (1 - acc * z)) for z in at)))
+    spark = boot.sparkSession
+    out = []
+    for *k, low, high in levels:
+        mine = (F.col("kind") == k[0]) & (F.col("source") == k[1]) & (F.col("target") == k[2])
+        out += [F.percentile(F.when(mine, F.col("estimate")), F.lit(p)) if p is not None else F.max(F.lit(None).cast("double")) for p in (low, high)]
+    r = boot.agg(*[c.alias(f"p{i}") for i, c in enumerate(out)]).first() if out else []
+    return spark.createDataFrame([(*x[:3], r[2 * i], r[2 * i + 1]) for i, x in enumerate(levels)], "kind string, source string, target string, low double, high double")
+
+
 def wilson(successes: int, n: int, level: float = 0.95) -> tuple[float, float]:
     """Wilson's score interval of a share."""
     z = dist.norm_ppf((1 + level) / 2)
@@ -165,9 +233,7 @@ def group_difference(df: DataFrame, model: PathModel, group: str, first, second,
     rows = full.select(key, F.col(group).alias("_g"), *names)
     size = rows.filter(F.col("_g") == first).count()
     own = rows.select(F.lit(-1).cast("long").alias("rep"), (F.col("_g") == first).alias("a"), *names)
-    dealt = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = Window.partitionBy("rep").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "rep", F.col(key).cast("string")), 256), key)
-    dealt = dealt.withColumn("a", F.row_number().over(order) <= size).select(F.col("rep").cast("long").alias("rep"), "a", *names)
+    dealt = shuffled(rows, permutations, seed, key).select("rep", (F.col("rank") < size).alias("a"), *names)
     m = moments_by(own.unionByName(dealt), list(names), ["rep", "a"], None, shift)
     both = m.groupBy("rep").agg(*[F.max(F.when(F.col("a") == side, F.struct("n", "w", "sums", "products"))).alias(name) for side, name in ((True, "x"), (False, "y"))])
 

@@ -41,6 +41,16 @@ def order_model() -> PathModel:
     return model({"SIZE": ["q", "n"], "VALUE": ["gross", "mx"], "CHARGES": ["disc", "tax"]}, [("SIZE", "VALUE"), ("SIZE", "CHARGES"), ("VALUE", "CHARGES")])
 
 
+def chain_model() -> PathModel:
+    """SIZE -> VALUE -> CHARGES."""
+    return model({"SIZE": ["q", "n"], "VALUE": ["gross", "mx"], "CHARGES": ["disc", "tax"]}, [("SIZE", "VALUE"), ("VALUE", "CHARGES")])
+
+
+def wide_model() -> PathModel:
+    """Three single items and CHARGES, which each leads to; Q leads to M."""
+    return model({"Q": ["q"], "N": ["n"], "M": ["mx"], "CHARGES": ["disc", "tax"]}, [("Q", "CHARGES"), ("N", "CHARGES"), ("M", "CHARGES"), ("Q", "M")])
+
+
 ORDERS_SQL = """f AS (
   SELECT l_orderkey, sum(l_quantity) AS q, count(*)::DOUBLE AS n, sum(l_extendedprice) AS gross, max(l_extendedprice) AS mx,
          sum(l_extendedprice * l_discount) AS disc, sum(l_extendedprice * l_tax) AS tax
