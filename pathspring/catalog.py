@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathspring.functions import transforms as tx
-from pathspring.operators import assess, extend, inference, pls, regression, resample, sem
+from pathspring.operators import assess, extend, inference, pls, regression, resample, second_stage, sem
 from pathspring.operators.moments import moments
 from pathspring.plans import frames
 from pathspring import catalog_sql
@@ -612,6 +612,31 @@ def _(spark, d):
     return _summarised(spark, ref, t.filter("kind in ('indirect', 'failed')"), 200)
 
 
+def _second(spark, t):
+    return _rounded(inference.intervals(t, 100), "value", "se", "low", "high")
+
+
+@_query("rs_moderation")
+def _(spark, d):
+    return _second(spark, second_stage.moderation(frames.customers(spark, d), order_model(), [("SIZE", "VALUE", "CHARGES")], "o_custkey", 100))
+
+
+@_query("rs_three_way")
+def _(spark, d):
+    terms = [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]
+    return _second(spark, second_stage.moderation(frames.customers(spark, d), wide_model(), terms, "o_custkey", 100))
+
+
+@_query("rs_modmed")
+def _(spark, d):
+    return _second(spark, second_stage.moderated_mediation(frames.customers(spark, d), wide_model(), "Q", "M", "CHARGES", "N", "o_custkey", 100))
+
+
+@_query("rs_hoc")
+def _(spark, d):
+    return _second(spark, second_stage.higher_order(frames.customers(spark, d), order_model(), "SCALE", ["SIZE", "VALUE"], [("SCALE", "CHARGES")], "o_custkey", 100))
+
+
 @_query("rs_boot_plsc")
 def _(spark, d):
     ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200, consistent=True)

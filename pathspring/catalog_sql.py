@@ -260,6 +260,39 @@ def _regression_boot() -> str:
     return _intervals({"q": f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", "n": f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"}, 100, m)
 
 
+def _second_stage(m: PathModel, replicates: int, derived: dict[str, str], after: str, statistics: dict[str, str]) -> str:
+    """Intervals of expressions on the second stage, of all replicates and (k = -1) the data; derived: columns on scores (u), after: CTEs with a table z."""
+    both = "b2 AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT -1 AS k, 1 AS times, * FROM c)"
+    reference = "(SELECT * FROM boot WHERE k = -1)"
+    frame = f"{_drawn(_CUSTOMERS, replicates)}, {both}, {sql.fitted(m, 'b2', 'boot', weight='times')}, al AS MATERIALIZED ({_aligned(m, 'boot', reference)})"
+    columns = "".join(f", {e} AS {n}" for n, e in derived.items())
+    frame += f", s AS ({sql.scored(m, 'b2', 'f.k, times', 'al', True)}), u AS MATERIALIZED (SELECT *{columns} FROM s), {after}"
+    t = " UNION ALL ".join(f"SELECT '{n}' AS name, k, ({e})::DOUBLE AS value FROM z" for n, e in statistics.items())
+    inner = "SELECT name, max(value) FILTER (WHERE k = -1) AS value, stddev_samp(value) FILTER (WHERE k >= 0) AS se, quantile_cont(value, 0.025) FILTER (WHERE k >= 0) AS low, quantile_cont(value, 0.975) FILTER (WHERE k >= 0) AS high, count(*) FILTER (WHERE k >= 0) AS usable FROM t GROUP BY name"
+    return f"{frame}, t AS ({t}) SELECT name, round(value, 6) AS value, {_shown((('se', 'se'), ('low', 'low'), ('high', 'high')), replicates)} FROM ({inner})"
+
+
+def _moderation_boot(m: PathModel, terms: list[tuple[str, ...]], replicates: int = 100) -> str:
+    y = terms[0][-1]
+    products = {"_x_".join(t[:-1]): " * ".join(t[:-1]) for t in terms}
+    xs = [a for a, b in m.paths if b == y] + [*products]
+    return _second_stage(m, replicates, products, f"z AS MATERIALIZED ({sql.standardized('u', y, xs, 'times')})", {f"{y}~{x.replace('_x_', '*')}": f"t_{x}" for x in xs})
+
+
+def _modmed_boot(replicates: int = 100) -> str:
+    m = wide_model()
+    xs = [a for a, b in m.paths if b == "CHARGES"] + ["M_x_N"]
+    after = f"g AS MATERIALIZED ({sql.standardized('u', 'CHARGES', xs, 'times')}), h AS MATERIALIZED ({sql.standardized('u', 'M', ['Q'], 'times')}), z AS (SELECT g.k, g.b_M, g.t_M_x_N, h.b_Q AS first FROM g JOIN h ON g.k = h.k)"
+    levels = {f"indirect at {level}": f"first * (b_M + {level} * t_M_x_N)" for level in (-1, 0, 1)}
+    return _second_stage(m, replicates, {"M_x_N": "M * N"}, after, {"interaction": "t_M_x_N", "index": "first * t_M_x_N"} | levels)
+
+
+def _higher_boot(replicates: int = 100) -> str:
+    second = PathModel((Construct("SCALE", ("SIZE", "VALUE")), Construct("CHARGES", ("CHARGES_score",))), (("SCALE", "CHARGES"),))
+    out = {"path:SCALE:CHARGES": "b_SCALE_CHARGES"} | {f"{kind}:SCALE:{x}": f"{letter}_{x}" for x in ("SIZE", "VALUE") for kind, letter in (("weight", "w"), ("loading", "l"))}
+    return _second_stage(_M, replicates, {"CHARGES_score": "CHARGES"}, sql.fitted(second, "u", "z", weight="times"), out)
+
+
 # Regressions
 
 
@@ -344,6 +377,10 @@ SQL = {
     "rs_boot_pls": f"{_bootstrap(_M, 200)} {_summary()}",
     "rs_mediation": f"{_bootstrap(_M, 200, ('indirect',))} {_summary()}",
     "rs_boot_plsc": f"{_bootstrap(_M, 200, consistent=True)} {_summary()}",
+    "rs_moderation": _moderation_boot(_M, [("SIZE", "VALUE", "CHARGES")]),
+    "rs_three_way": _moderation_boot(wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]),
+    "rs_modmed": _modmed_boot(),
+    "rs_hoc": _higher_boot(),
     "rs_jackknife": _jackknife(),
     "rs_htmt_boot": _htmt_boot(),
     "rs_regression": _regression_boot(),

@@ -18,7 +18,7 @@ from pathspring.plans.model import Construct, ModelError, PathModel
 # Stage two on scores
 
 
-def _regress(m: Moments, y: str, xs: list[str]) -> tuple[dict[str, float], float]:
+def regress(m: Moments, y: str, xs: list[str]) -> tuple[dict[str, float], float]:
     """Least squares of y on xs from moments, and R2."""
     s = m.of([*xs, y]).cov()
     b = pls._solve(s[:-1, :-1], s[:-1, -1])
@@ -50,7 +50,7 @@ def moderation(df: DataFrame, model: PathModel, terms: list[tuple[str, ...]], **
     sd, rows = m.sd(), []
     for y in dict.fromkeys(y for _, y in products):
         xs = [a for a, b in model.paths if b == y] + [name for name, target in products if target == y]
-        b, r2 = _regress(m, f"c{columns.index(y)}", [f"c{columns.index(x)}" for x in xs])
+        b, r2 = regress(m, f"c{columns.index(y)}", [f"c{columns.index(x)}" for x in xs])
         for x in xs:
             i = columns.index(x)
             rows.append((y, x, b[f"c{i}"] * float(sd[i]), r2))
@@ -90,8 +90,8 @@ def nonlinear(df: DataFrame, model: PathModel, **options) -> DataFrame:
     for y in n:
         xs = [a for a, b in model.paths if b == y]
         if xs:
-            base = _regress(m, y, xs)[1]
-            b, r2 = _regress(m, y, xs + [f"{x}_sq" for x in xs])
+            base = regress(m, y, xs)[1]
+            b, r2 = regress(m, y, xs + [f"{x}_sq" for x in xs])
             rows += [(y, x, b[x], b[f"{x}_sq"], r2 - base) for x in xs]
     return df.sparkSession.createDataFrame(rows, "target string, predictor string, linear double, quadratic double, r2_change double")
 
@@ -117,7 +117,7 @@ def copula(df: DataFrame, model: PathModel, target: str, predictor: str, **optio
     xs = [a for a, b in model.paths if b == target]
     joined = t.withColumn("v", F.round(predictor, 12)).join(values, "v").select(*xs, target, "copula")
     skew = joined.agg(F.skewness(predictor)).first()[0]
-    b, _ = _regress(moments(joined, [*xs, target, "copula"]), target, [*xs, "copula"])
+    b, _ = regress(moments(joined, [*xs, target, "copula"]), target, [*xs, "copula"])
     return df.sparkSession.createDataFrame([(k, v, float(skew)) for k, v in b.items()], "term string, estimate double, skewness double")
 
 

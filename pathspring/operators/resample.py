@@ -65,7 +65,7 @@ def fold_plan(df: DataFrame, key: str, folds: int, seed: int = 1, repeat: int =
 _ESTIMATES = "rep long, kind string, source string, target string, estimate double, status string"
 
 
-def _aligned(ref: Fit, new: Fit) -> Fit:
+def aligned(ref: Fit, new: Fit) -> Fit:
     """The refit with each score turned towards the reference's."""
     s = np.sign(np.einsum("pj,pq,qj->j", ref.weights, new.s, new.weights))
     if (s == 0).any():
@@ -98,7 +98,7 @@ def refit(replicated: DataFrame, ref: Fit, shift, options: dict) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 try:
-                    out += _rows(r.rep, _aligned(ref, fit(model, unpack(names, r.n, r.w, r.sums, r.products, shift), **options)))
+                    out += _rows(r.rep, aligned(ref, fit(model, unpack(names, r.n, r.w, r.sums, r.products, shift), **options)))
                 except (ModelError, ValueError, np.linalg.LinAlgError) as error:
                     out.append((r.rep, "failed", None, None, None, str(error)[:200]))
             yield pd.DataFrame(out, columns=["rep", "kind", "source", "target", "estimate", "status"])
@@ -160,7 +160,7 @@ def jackknife(df: DataFrame, ref: Fit, key: str, **options) -> DataFrame:
             for rep, *x in pdf.itertuples(index=False):
                 one = Moments(names, 1, 1.0, np.asarray(x, dtype=float), np.zeros((len(names),) * 2))
                 try:
-                    out += _rows(rep, _aligned(ref, fit(model, whole.minus(one), **options)))
+                    out += _rows(rep, aligned(ref, fit(model, whole.minus(one), **options)))
                 except (ModelError, ValueError, np.linalg.LinAlgError) as error:
                     out.append((rep, "failed", None, None, None, str(error)[:200]))
             yield pd.DataFrame(out, columns=["rep", "kind", "source", "target", "estimate", "status"])
@@ -242,7 +242,7 @@ def group_difference(df: DataFrame, model: PathModel, group: str, first, second,
             out = []
             for r in pdf.itertuples():
                 try:
-                    x, y = (_aligned(pooled, fit(model, unpack(names, v["n"], v["w"], v["sums"], v["products"], shift), **options)) for v in (r.x, r.y))
+                    x, y = (aligned(pooled, fit(model, unpack(names, v["n"], v["w"], v["sums"], v["products"], shift), **options)) for v in (r.x, r.y))
                     n = model.names
                     out += [(r.rep, a, b, float(x.paths[n.index(a), n.index(b)]), float(y.paths[n.index(a), n.index(b)])) for a, b in model.paths]
                 except (ModelError, ValueError, np.linalg.LinAlgError):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pathspring.plans.model import PathModel
+from pathspring.plans.model import Construct, PathModel
 
 
 def layers(base: str, *added: dict[str, str]) -> str:
@@ -162,12 +162,19 @@ def tidy(model: PathModel, fit: str = "fit", digits: int = 6, **options) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS kind, '{a}' AS source, '{b}' AS target, round({e}, {digits}) AS estimate, 'ok' AS status FROM {fit}" for k, a, b, e in estimates(model, **options))
 
 
-def scored(model: PathModel, rows: str, keep: str, fit: str = "fit") -> str:
-    """Scores of the rows (k, indicators and what is kept), as columns."""
-    terms = {c.name: total(f"w_{x} * (f.{x} - mean_{x}) / sd_{x}" for x in c.indicators) for c in model.constructs}
+def scored(model: PathModel, rows: str, keep: str, fit: str = "fit", turned: bool = False) -> str:
+    """Scores of the rows (k, indicators and what is kept), as columns; turned: by the fit's signs s_."""
+    terms = {c.name: total(f"w_{x} * (f.{x} - mean_{x}) / sd_{x}" for x in c.indicators) + (f" * s_{c.name}" if turned else "") for c in model.constructs}
     return f"SELECT {keep}, {', '.join(f'{e} AS {n}' for n, e in terms.items())} FROM {rows} f JOIN {fit} ON {fit}.k = f.k"
 
 
+def standardized(rows: str, y: str, xs: list[str], weight: str = "1.0") -> str:
+    """For each k of weighted rows the least squares of y on xs: b_<x>, and t_<x> for a standard deviation of x."""
+    used = PathModel((Construct("all", (*xs, y)),))
+    steps, b = solved("h", [[_r(i, j) for j in xs] for i in xs], [_r(i, y) for i in xs])
+    return layers(correlations(used, rows, weight), *steps, {f"t_{x}": f"{e} * sd_{y}" for x, e in zip(xs, b)}, {f"b_{x}": f"t_{x} / sd_{x}" for x in xs})
+
+
 def regression(rows: str, y: str, xs: list[str], name: str = "g") -> str:
     """One row: b_<x>, r2 and sd_<x> of least squares with an intercept of y on xs."""
     cov = {f"v_{a}_{b}": f"covar_samp({a}, {b})" for i, a in enumerate([*xs, y]) for b in [*xs, y][i:]}
