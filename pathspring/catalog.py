@@ -416,7 +416,13 @@ def _(spark, d):
 @_query("predict_kfold")
 def _(spark, d):
     t = extend.predict(orders(spark, d), order_model(), "CHARGES", "l_orderkey", 10)
-    return _rounded(t, "rmse_pls", "rmse_lm", "rmse_mean", "mae_pls", "q2", "t", "p")
+    return _rounded(t, *[c for c in t.columns if c != "indicator"])
+
+
+@_query("model_compare")
+def _(spark, d):
+    t = extend.compare_models(orders(spark, d), order_model(), chain_model(), "CHARGES", "l_orderkey", 10)
+    return t.select("statistic", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in t.columns[1:]])
 
 
 @_query("gsca")

@@ -166,6 +166,51 @@ def _repeated() -> str:
     return f"{_of(whole, frame)} {sql.tidy(whole)}"
 
 
+# Prediction
+
+
+def _errors(m: PathModel, name: str, with_lm: bool = True) -> str:
+    """CTE <name>: l_orderkey, indicator and the errors of cases, each predicted by the fit of the other folds (b has k, the fold left out)."""
+    block = {c.name: c.indicators for c in m.constructs}
+    out = f"{sql.fitted(m, 'b', f'{name}_fit')}"
+    if with_lm:
+        out += "".join(f", {name}_{y} AS MATERIALIZED ({sql.standardized('b', y, ['q', 'n'])})" for y in block["CHARGES"])
+    parts = []
+    for y in block["CHARGES"]:
+        effect = sql.effect(m, "SIZE", "CHARGES")
+        guess = f"t.mean_{y} + {effect} * l_{y} * t.sd_{y} * {sql.total(f'w_{x} * (f.{x} - t.mean_{x}) / t.sd_{x}' for x in block['SIZE'])}"
+        lm = f", f.{y} - g.mean_{y} - b_q * (f.q - g.mean_q) - b_n * (f.n - g.mean_n) AS lm" if with_lm else ""
+        join = f" JOIN {name}_{y} g ON g.k = f.fold" if with_lm else ""
+        parts.append(f"SELECT l_orderkey, '{y}' AS indicator, f.{y} AS seen, f.{y} - ({guess}) AS pls, f.{y} - t.mean_{y} AS mean{lm} FROM folds f JOIN {name}_fit t ON t.k = f.fold{join}")
+    return f"{out}, {name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+_FOLDS = f"{_ALL}, folds AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY sha256('1:0:' || l_orderkey), l_orderkey) - 1) % 10 AS fold FROM f), b AS (SELECT x.k, folds.* FROM folds JOIN range(10) x(k) ON fold <> x.k)"
+
+
+def lower_p(t: str, df: str) -> str:
+    return f"CASE WHEN {t} < 0 THEN {student_p(t, df)} / 2 ELSE 1 - {student_p(t, df)} / 2 END"
+
+
+def _predict() -> str:
+    tests = ", ".join(f"avg(pls * pls - {c} * {c}) / (stddev_samp(pls * pls - {c} * {c}) / sqrt(count(*))) AS t_{c}" for c in ("mean", "lm"))
+    inner = f"SELECT indicator, sqrt(avg(pls * pls)) AS rmse_pls, sqrt(avg(lm * lm)) AS rmse_lm, sqrt(avg(mean * mean)) AS rmse_mean, avg(abs(pls)) AS mae_pls, avg(abs(lm)) AS mae_lm, avg(abs(pls / nullif(seen, 0))) AS mape_pls, {tests}, count(*) - 1 AS df FROM e GROUP BY indicator"
+    shown = ", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in [*((c, c) for c in ("rmse_pls", "rmse_lm", "rmse_mean", "mae_pls", "mae_lm", "mape_pls", "t_mean", "t_lm")), ("q2", "1 - rmse_pls * rmse_pls / (rmse_mean * rmse_mean)"), ("p_mean", lower_p("t_mean", "df")), ("p_lm", lower_p("t_lm", "df"))])
+    return f"{_FOLDS}, {_errors(_M, 'e')}, g AS MATERIALIZED ({inner}) SELECT indicator, {shown} FROM g"
+
+
+def _compare() -> str:
+    both = ((_M, "e", "established", 3), (chain_model(), "a", "alternative", 2))
+    out = f"{_FOLDS}, {', '.join(_errors(m, n, False) for m, n, _, _ in both)}"
+    out += ", " + ", ".join(f"{label} AS (SELECT l_orderkey, avg(pls * pls) AS loss FROM {n} GROUP BY l_orderkey), {sql.fitted(m, 'o', f'{label}_whole')}" for m, n, label, _ in both)
+    out += ", pairs AS (SELECT e.loss AS x, a.loss AS y FROM established e JOIN alternative a USING (l_orderkey)), g AS MATERIALIZED (SELECT avg(x) AS x, avg(y) AS y, avg(y - x) AS d, avg(y - x) / (stddev_samp(y - x) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM pairs)"
+    size = lambda label, p, cost: f"(SELECT cases * ln((1 - q_CHARGES) * (cases - 1) / cases) + {p} * {cost} FROM {label}_whole)"
+    out += ", s AS (" + " UNION ALL ".join(f"SELECT '{s}' AS statistic, {size('established', 3, cost)} AS x, {size('alternative', 2, cost)} AS y" for s, cost in (("aic", "2"), ("bic", "ln(cases)"))) + ")"
+    weight = "SELECT 'weight' AS statistic, 1 / (1 + exp(-0.5 * (y - x))) AS x, 1 / (1 + exp(-0.5 * (x - y))) AS y FROM s WHERE statistic = 'aic'"
+    rows = f"SELECT 'loss' AS statistic, x, y, d, t, {lower_p('t', 'df')} AS p FROM g UNION ALL SELECT statistic, x, y, y - x, NULL, NULL FROM (SELECT * FROM s UNION ALL {weight})"
+    return f"{out} SELECT statistic, round(x, 3) + 0.0 AS established, round(y, 3) + 0.0 AS alternative, round(d, 3) + 0.0 AS difference, round(t, 3) + 0.0 AS t, round(p, 3) + 0.0 AS p FROM ({rows})"
+
+
 # Resampling
 
 
@@ -381,6 +426,8 @@ SQL = {
     "rs_three_way": _moderation_boot(wide_model(), [("Q", "N", "CHARGES"), ("Q", "M", "CHARGES"), ("N", "M", "CHARGES"), ("Q", "N", "M", "CHARGES")]),
     "rs_modmed": _modmed_boot(),
     "rs_hoc": _higher_boot(),
+    "predict_kfold": _predict(),
+    "model_compare": _compare(),
     "rs_jackknife": _jackknife(),
     "rs_htmt_boot": _htmt_boot(),
     "rs_regression": _regression_boot(),

@@ -134,12 +134,11 @@ def higher_order(df: DataFrame, model: PathModel, name: str, parts: list[str], p
 # Prediction
 
 
-def predict(df: DataFrame, model: PathModel, target: str, key: str, folds: int = 10, repeats: int = 1, seed: int = 1) -> DataFrame:
-    """indicator, rmse_pls, rmse_lm, rmse_mean, mae_pls, q2, t, p: k-fold prediction of the target's indicators.
+def case_errors(df: DataFrame, model: PathModel, target: str, key: str, folds: int = 10, repeats: int = 1, seed: int = 1) -> DataFrame:
+    """repeat, key, indicator, seen, pls, lm, mean: errors of k-fold predictions of the target's indicators, case by case.
 
-    Training moments are the whole less the fold. Each fold's model, a linear model
-    of all exogenous indicators, and the training mean predict the fold's cases; t and
-    p compare squared losses with the mean's (one-sided).
+    Training moments are the whole less the fold. Each fold's path model, a linear model
+    of all exogenous indicators, and the training mean predict the fold's cases.
     """
     names = model.indicators
     full = df.dropna(subset=names)
@@ -147,34 +146,85 @@ def predict(df: DataFrame, model: PathModel, target: str, key: str, folds: int =
     exogenous = [c for c in model.constructs if not any(b == c.name for _, b in model.paths)]
     xs = [i for c in exogenous for i in c.indicators]
     ys = [names[i] for i in model.block(target)]
-    losses = None
+    whole = moments(full, names)
+    out = None
     for repeat in range(repeats):
-        plan = fold_plan(full, key, folds, seed, repeat)
-        rows = full.select(key, *names).join(plan, key)
+        rows = full.select(key, *names).join(fold_plan(full, key, folds, seed, repeat), key)
         parts = {r["fold"]: unpack(names, r["n"], r["w"], r["sums"], r["products"], shift) for r in moments_by(rows, names, ["fold"], None, shift).collect()}
-        whole = moments(full, names)
         rules = {k: _rules(model, whole.minus(m), target, xs, ys) for k, m in parts.items()}
 
         def score(frames, rules=rules):
             for pdf in frames:
-                out = []
+                held = [pd.DataFrame({"key": [], "indicator": [], "seen": [], "pls": [], "lm": [], "mean": []})]
                 for fold, g in pdf.groupby("fold"):
                     x = g[xs].to_numpy(float)
                     for y in ys:
                         seen = g[y].to_numpy(float)
                         e = [seen - (a + x @ b) for a, b in rules[fold][y]] + [seen - rules[fold][y, "mean"]]
-                        out.append(pd.DataFrame({"indicator": y, "pls": e[0], "lm": e[1], "mean": e[2]}))
-                yield pd.concat(out) if out else pd.DataFrame({"indicator": [], "pls": [], "lm": [], "mean": []})
+                        held.append(pd.DataFrame({"key": g["key"], "indicator": y, "seen": seen, "pls": e[0], "lm": e[1], "mean": e[2]}))
+                yield pd.concat(held[1:] or held)
+
+        part = rows.select(F.col(key).cast("long").alias("key"), "fold", *dict.fromkeys([*xs, *ys])).mapInPandas(score, "key long, indicator string, seen double, pls double, lm double, mean double")
+        part = part.withColumn("repeat", F.lit(repeat))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
-        part = rows.select("fold", *dict.fromkeys([*xs, *ys])).mapInPandas(score, "indicator string, pls double, lm double, mean double")
-        losses = part if losses is None else losses.unionByName(part)
-    d = F.col("pls") * F.col("pls") - F.col("mean") * F.col("mean")
-    t = losses.groupBy("indicator").agg(*[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"rmse_{c}") for c in ("pls", "lm", "mean")], F.avg(F.abs("pls")).alias("mae_pls"), F.avg(d).alias("d"), F.stddev_samp(d).alias("sd"), F.count("*").alias("n"))
+def lower_t(mean: float, sd: float | None, n: int) -> tuple[float | None, float | None]:
+    """t of a mean difference of losses, and its one-sided p (the first loses less); None without spread."""
+    if not sd:
+        return None, None
+    t = mean / (sd / math.sqrt(n))
+    return t, dist.t_cdf(t, n - 1)
+
+
+def predict(df: DataFrame, model: PathModel, target: str, key: str, folds: int = 10, repeats: int = 1, seed: int = 1) -> DataFrame:
+    """indicator, rmse_pls, rmse_lm, rmse_mean, mae_pls, mae_lm, mape_pls, q2, and t and p of the path model's squared losses against the mean's and the linear model's.
+
+    mape_pls leaves out cases whose value is 0. p is one-sided: small where the path model loses less.
+    """
+    e = case_errors(df, model, target, key, folds, repeats, seed)
+    square = lambda c: F.col(c) * F.col(c)
+    by = [F.sqrt(F.avg(square(c))).alias(f"rmse_{c}") for c in ("pls", "lm", "mean")] + [F.avg(F.abs(c)).alias(f"mae_{c}") for c in ("pls", "lm")]
+    by += [f(square("pls") - square(c)).alias(f"{n}_{c}") for c in ("mean", "lm") for n, f in (("d", F.avg), ("sd", F.stddev_samp))]
+    t = e.groupBy("indicator").agg(*by, F.avg(F.abs(F.try_divide("pls", "seen"))).alias("mape_pls"), F.count("*").alias("n"))
     rows = []
     for r in t.collect():
-        stat = r["d"] / (r["sd"] / math.sqrt(r["n"])) if r["sd"] else None
-        rows.append((r["indicator"], r["rmse_pls"], r["rmse_lm"], r["rmse_mean"], r["mae_pls"], 1 - r["rmse_pls"] ** 2 / r["rmse_mean"] ** 2, stat, dist.t_cdf(stat, r["n"] - 1) if stat is not None else None))
-    return df.sparkSession.createDataFrame(rows, "indicator string, rmse_pls double, rmse_lm double, rmse_mean double, mae_pls double, q2 double, t double, p double")
+        tests = [x for c in ("mean", "lm") for x in lower_t(r[f"d_{c}"], r[f"sd_{c}"], r["n"])]
+        rows.append((r["indicator"], r["rmse_pls"], r["rmse_lm"], r["rmse_mean"], r["mae_pls"], r["mae_lm"], r["mape_pls"], 1 - r["rmse_pls"] ** 2 / r["rmse_mean"] ** 2, *tests))
+    columns = ("rmse_pls", "rmse_lm", "rmse_mean", "mae_pls", "mae_lm", "mape_pls", "q2", "t_mean", "p_mean", "t_lm", "p_lm")
+    return df.sparkSession.createDataFrame(rows, "indicator string, " + ", ".join(f"{c} double" for c in columns))
+
+
+def compare_models(df: DataFrame, established: PathModel, alternative: PathModel, target: str, key: str, folds: int = 10, repeats: int = 1, seed: int = 1) -> DataFrame:
+    """statistic, established, alternative, difference, t, p: two models of one target on the same folds.
+
+    loss: mean squared prediction errors of a case over the target's indicators, with a
+    paired test of alternative less established (small p: the alternative loses less);
+    bic and aic of the target's equation, n ln(SSE / n) + p ln n (or 2 p) with p
+    predictors and the intercept; weight: Akaike weights.
+    """
+    models = {"established": established, "alternative": alternative}
+    if len({tuple(m.indicators[i] for i in m.block(target)) for m in models.values()}) > 1:
+        raise ModelError("the target must have the same indicators in both models")
+    losses = [case_errors(df, m, target, key, folds, repeats, seed).groupBy("repeat", "key").agg(F.avg(F.col("pls") * F.col("pls")).alias(n)) for n, m in models.items()]
+    d = F.col("alternative") - F.col("established")
+    r = losses[0].join(losses[1], ["repeat", "key"]).agg(*[F.avg(n).alias(n) for n in models], F.avg(d).alias("d"), F.stddev_samp(d).alias("sd"), F.count("*").alias("n")).first()
+    rows = [("loss", r["established"], r["alternative"], r["d"], *lower_t(r["d"], r["sd"], r["n"]))]
+    size = {}
+    for n, m in models.items():
+        f = pls.estimate(df, m)
+        cases, p = f.moments.n, sum(b == target for _, b in m.paths) + 1
+        fit = cases * math.log((1 - f.r2[m.names.index(target)]) * (cases - 1) / cases)
+        size[n] = {"aic": fit + 2 * p, "bic": fit + p * math.log(cases)}
+    for s in ("aic", "bic"):
+        a, b = (float(size[n][s]) for n in models)
+        rows.append((s, a, b, b - a, None, None))
+    best = min(x["aic"] for x in size.values())
+    share = {n: math.exp(-0.5 * (x["aic"] - best)) for n, x in size.items()}
+    a, b = (v / sum(share.values()) for v in share.values())
+    rows.append(("weight", a, b, b - a, None, None))
+    return df.sparkSession.createDataFrame(rows, "statistic string, established double, alternative double, difference double, t double, p double")
 
 
 def _rules(model: PathModel, m: Moments, target: str, xs: list[str], ys: list[str]) -> dict:

@@ -192,7 +192,7 @@ def test_assessment(rows):
 def test_extensions(rows, spark):
     df, _ = rows
     t = extend.predict(df, MEDIATED, "Y", "id", 5).toPandas()
-    assert (t.q2 > 0).all() and (t.p < 0.05).all()
+    assert (t.q2 > 0).all() and (t.p_mean < 0.05).all()
     fit = extend.gsca(df, MEDIATED).filter("kind = 'path'").toPandas()
     assert np.allclose(fit.estimate, [v for v in by_rows(sample(), MEDIATED)[0].values()], atol=0.1)
     two = df.withColumn("g", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
