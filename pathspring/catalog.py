@@ -432,7 +432,7 @@ def _(spark, d):
 
 @_query("micom")
 def _(spark, d):
-    t = extend.micom(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 60)
+    t = extend.micom(frames.customers(spark, d), order_model(), "c_mktsegment", "AUTOMOBILE", "BUILDING", "o_custkey", 100)
     return _rounded(t, *[c for c, k in t.dtypes if k == "double"])
 
 

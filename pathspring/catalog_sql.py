@@ -281,6 +281,34 @@ def _groups(replicates: int, **options) -> str:
     return f"{t}, d AS MATERIALIZED ({d}) SELECT s.source, s.target, round(any_value(s.first), 6) AS first, round(any_value(s.second), 6) AS second, round(any_value(s.d), 6) AS difference, round((count(*) FILTER (WHERE abs(r.d) >= abs(s.d)) + 1) / (count(*) + 1), 6) AS p FROM d r JOIN d s USING (source, target) WHERE r.k >= 0 AND s.k = -1 GROUP BY s.source, s.target"
 
 
+def _micom(replicates: int = 100) -> str:
+    """Pairs of groups: the compositional correlation on the pooled frame, and means and variances of pooled scores."""
+    statement = _groups(replicates)
+    frame = statement[: statement.index(", al AS MATERIALIZED")]
+    parts, blocks = [], {c.name: c.indicators for c in _M.constructs}
+    for c, block in blocks.items():
+        u, v = ({x: f"{t}.w_{x} / {t}.sd_{x} * p.sd_{x}" for x in block} for t in "ab")
+        form = lambda left, right: sql.total(f"({left[x]}) * ({right[y]}) * {'1.0' if x == y else 'p.' + sql._r(x, y)}" for x in block for y in block)  # noqa: E731, B023
+        mean = sql.total(f"(a.mean_{x} - b.mean_{x}) * p.w_{x} / p.sd_{x}" for x in block)
+        var = lambda t: sql.total(f"p.w_{x} / p.sd_{x} * p.w_{y} / p.sd_{y} * {t}.sd_{x} * {t}.sd_{y} * {'1.0' if x == y else t + '.' + sql._r(x, y)}" for x in block for y in block)  # noqa: E731, B023
+        parts.append(f"SELECT a.k, '{c}' AS construct, abs({form(u, v)} / sqrt({form(u, u)} * {form(v, v)})) AS c, {mean} AS m, ln({var('a')} / {var('b')}) AS v FROM two a JOIN two b ON b.k = a.k - 1, fit p WHERE a.k % 2 <> 0")
+    q = lambda x, p, n: f"quantile_cont({x}, {p}) AS {n}"
+    limits = ", ".join((q("c", 0.05, "bound"), q("m", 0.025, "mean_low"), q("m", 0.975, "mean_high"), q("v", 0.025, "variance_low"), q("v", 0.975, "variance_high")))
+    names = ("compositional", "bound", "mean_difference", "variance_ratio_log", "mean_low", "mean_high", "variance_low", "variance_high")
+    partial = "compositional + 1e-12 >= bound"
+    whole = f"{partial} AND mean_difference BETWEEN mean_low AND mean_high AND variance_ratio_log BETWEEN variance_low AND variance_high"
+    return f"{frame}, t AS MATERIALIZED ({' UNION ALL '.join(parts)}), l AS (SELECT construct, {limits} FROM t WHERE k >= 0 GROUP BY construct), g AS (SELECT construct, c AS compositional, m AS mean_difference, v AS variance_ratio_log, l.* EXCLUDE (construct) FROM t JOIN l USING (construct) WHERE k = -1) SELECT construct, {', '.join(f'round({n}, 6) + 0.0 AS {n}' for n in names)}, CASE WHEN {whole} THEN 'full' WHEN {partial} THEN 'partial' ELSE 'none' END AS invariance FROM g"
+
+
+def _freedman_lane(permutations: int = 99) -> str:
+    """Residuals of CHARGES on VALUE alone, permuted and added back; SIZE is tested."""
+    base = f"{_of(_M, _CUSTOMERS)}, s AS ({sql.scored(_M, 'o', 'f.o_custkey', 'fit')}), e AS (SELECT *, CHARGES - (SELECT c_CHARGES_VALUE FROM fit) * VALUE AS e, row_number() OVER (ORDER BY md5(o_custkey::VARCHAR), o_custkey) - 1 AS pos FROM s)"
+    dealt = "dealt AS (SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY sha256('1:' || rep || ':' || pos), pos) - 1 AS src FROM e, range(%d) r(rep))" % permutations
+    sums = "sums AS (SELECT rep, sum(x.SIZE * y.e) AS u, sum(x.VALUE * y.e) AS v FROM dealt JOIN e x ON x.pos = dealt.pos JOIN e y ON y.pos = src GROUP BY rep)"
+    beta = "((c_CHARGES_VALUE * c_SIZE_VALUE + u / (cases - 1)) - c_SIZE_VALUE * (c_CHARGES_VALUE + v / (cases - 1))) / (1 - c_SIZE_VALUE * c_SIZE_VALUE)"
+    return f"{base}, {dealt}, {sums} SELECT 'SIZE' AS source, 'CHARGES' AS target, round(any_value(b_SIZE_CHARGES), 6) AS estimate, round((count(*) FILTER (WHERE abs({beta}) >= abs(b_SIZE_CHARGES)) + 1) / (count(*) + 1), 6) AS p FROM sums, fit"
+
+
 def _intervals(statistics: dict[str, str], replicates: int, correlated: PathModel | None = None) -> str:
     """Percentile intervals of expressions on correlations."""
     m = correlated or _M
@@ -428,6 +456,8 @@ SQL = {
     "rs_hoc": _higher_boot(),
     "predict_kfold": _predict(),
     "model_compare": _compare(),
+    "micom": _micom(),
+    "rs_freedman_lane": _freedman_lane(),
     "rs_jackknife": _jackknife(),
     "rs_htmt_boot": _htmt_boot(),
     "rs_regression": _regression_boot(),
