@@ -331,6 +331,38 @@ def test_top_k(spark):
     assert topk.top_k(t.limit(0), t).count() == 0
 
 
+def test_top_k_of_large_and_repeated(spark):
+    made = [(i, [float(i * 37 % 11) * 1e5, -float(i % 7) * 3e5, 1e5]) for i in range(60)] + [(7, [1.0, 2.0, 3.0])] * 2
+    t = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(t.filter("vec_id % 20 = 0"), t, k=70).collect()]
+    ints = [(i, [int(256 * x) for x in v]) for i, v in made]
+    want = []
+    for i, q in ints[:60:20]:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ints if j != i)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+    for big in (1e8, 1e17):
+        with pytest.raises(Exception):
+            topk.top_k(t, spark.createDataFrame([(100, [big * 1e3, big, big])], t.schema).unionByName(t.selectExpr("vec_id", "transform(embedding, x -> x * 1e6) as embedding")), k=2).collect()
+
+
+def test_top_k_stops_early_with_proof():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.standard_t(3, (4000, 32)) * 40).astype(np.int64)
+    shard = topk.Shard(np.arange(4000), x)
+    touched = [sum(len(rows) for _, rows, _ in segments) for segments, _ in shard.stages]
+    levels = [[int(np.abs(v[0]).item()) for _, _, v in segments] for segments, _ in shard.stages]
+    assert all(a >= b for flat in levels for a, b in zip(flat, flat[1:])) and sum(touched) < 0.8 * x.size
+    q = x[:50]
+    for floors in (np.full(50, topk.NO_FLOOR), np.sort(q @ x[100:].T, axis=1)[:, -9]):
+        query, vector, score = shard.search(np.arange(50), q, floors, 5)
+        for i in range(50):
+            want = sorted((-int(v), j) for j, v in enumerate(q[i] @ x.T) if j != i)[:5]
+            assert [(-s, v) for v, s in zip(vector[query == i].tolist(), score[query == i].tolist())] == want
+
+
 def test_url_rules(spark):
     urls = [("http://A.Example.ORG/en/12?x", "block", "example.org/en/1"), ("http://a.example.org/en/2", "allow", "org/"), ("http://example.org", None, None), ("http://notexample.org/es/", "allow", "org/"), ("https://x.com/fr/1#top", "allow", "com/fr/"), ("x://y.com/de/", "block", "com/de/"), (None, None, None), ("no scheme", None, None), ("http://", None, None), ("http://org/x", "allow", "org/")]
     t = spark.createDataFrame([(i, u, "h") for i, (u, _, _) in enumerate(urls)], "page_id long, url string, host string")
