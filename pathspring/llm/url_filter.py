@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
+BUCKETS = 8192
 HOST_SALT, PATH_SALT = 17, 1031
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,24 +26,32 @@ RULES = (
     ("block", "com/de/"),
 )
 
-#: The labelled table. (url, 1 to block)
-LABELLED = tuple(
-    (f"https://{host}{path}", label)
-    for label, hosts, paths in (
-        (
-            1,
-            ("casino-win.example.com", "m.casino-win.example.net", "free-pills.example.com", "cheap-pills.example.org", "www.casino-bonus.example.com", "xxx-cams.example.net", "win-prize.example.org", "best-casino.example.net", "blog.free-loans.example.com", "slots-jackpot.example.com", "ads-server.example.com", "adult-chat.example.net", "spam-links.example.org", "bets-online.example.com"),
-            ("/en/19/", "/de/7?utm_source=feed", "/fr/41.html", "/"),
-        ),
-        (
-            0,
-            ("thonth.example.org", "www.tionre.example.net", "blog.erthan.example.com", "m.inghe.example.com", "news.example.org", "library.example.net", "docs.example.com", "university.example.org", "weather.example.net", "m.ththed.example.org"),
-            ("/en/23/", "/de/8?utm_source=feed", "/fr/57.html", "/"),
-        ),
-    )
-    for host in hosts
-    for path in paths
-)
+#: The labelled table, of hosts and of path words. (1 to block)
+_HOSTS = {
+    1: ("casino-win.example.com", "m.casino-win.example.net", "free-pills.example.com", "cheap-pills.example.org", "www.casino-bonus.example.com", "xxx-cams.example.net", "win-prize.example.org", "best-casino.example.net", "blog.free-loans.example.com", "slots-jackpot.example.com", "ads-server.example.com", "adult-chat.example.net", "spam-links.example.org", "bets-online.example.com"),
+    0: ("thonth.example.org", "www.tionre.example.net", "blog.erthan.example.com", "m.inghe.example.com", "news.example.org", "library.example.net", "docs.example.com", "university.example.org", "weather.example.net", "m.ththed.example.org", "museum.example.com", "www.gardening.example.net", "city-council.example.org", "blog.history.example.com"),
+}
+_WORDS = {
+    1: ("casino-bonus", "free-pills", "xxx", "jackpot", "win-a-prize", "cheap-loans", "adult", "online-bets"),
+    0: ("articles", "library", "weather", "manual", "recipes", "history", "council", "lessons"),
+}
+#: The same for both labels, so that only words can tell them apart.
+_PATHS = ("/", "/en/{}/", "/de/{}?utm_source=feed", "/fr/{}.html")
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    """Each host with each path, and each path word on a neutral host; the numbers in paths run through the table and are shared by both labels."""
+    out = []
+    for i, pair in enumerate(zip(_HOSTS[1], _HOSTS[0])):
+        for host, label in zip(pair, (1, 0)):
+            out += [(f"https://{host}{path.format(7 * i + j + 1)}", label) for j, path in enumerate(_PATHS)]
+    for i, pair in enumerate(zip(_WORDS[1], _WORDS[0])):
+        for word, label in zip(pair, (1, 0)):
+            out += [(f"https://{host}.example.org/{word}/{11 * i + 3}", label) for host in ("site", "pages")]
+    return tuple(out)
+
+
+LABELLED = _labelled()
 
 
 def _host_path_py(url: str | None) -> tuple[str, str]:
@@ -64,7 +72,7 @@ def _features_py(url: str | None) -> list[int]:
 
 
 @functools.cache
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 60, rate: float = 0.1, decay: float = 1e-3) -> tuple[int, tuple[int, ...]]:
+def train(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 60, rate: float = 0.1, decay: float = 1e-2) -> tuple[int, tuple[int, ...]]:
     """(bias, weights) in millionths, by stochastic gradient steps in the table's order."""
     rows = [(_features_py(url), y) for url, y in labelled]
     weights, bias = [0.0] * BUCKETS, 0.0
