@@ -50,6 +50,18 @@ def _contract(batches):
         yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
 
 
+def joined(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
+    """left join right by key, where right has a row for each key, with the number of left's rows that have it; these are total at most.
+
+    Rows of a key with very many of them stay in place: such keys are HOT_NODES at most,
+    and their rows of right are broadcast. The others are joined by a shuffle.
+    """
+    hot = max(LEAST_HOT, total // HOT_NODES)
+    top = right.filter(F.col(weight) > hot)
+    rest = left.join(F.broadcast(top.select(*key)), key, "left_anti").join(right.filter(F.col(weight) <= hot).hint("shuffle_merge"), key)
+    return left.join(F.broadcast(top), key).unionByName(rest)
+
+
 def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """Ties neighbours to the smallest of a node and its neighbours: the larger neighbours, or the smaller ones and the node.
 

@@ -8,12 +8,16 @@
    probability (1 - 0.85**6)**28 < 2e-6.
 3. Classes that meet in a band are tied to the smallest of that band bucket; the
    components of these ties are candidate clusters. No bucket is ever enumerated.
-4. Clusters are cut into blocks of ``BLOCK`` classes, and each pair of blocks is one
-   unit of work. A unit estimates similarities from the signatures' equal bits,
-   corrected for chance (1 in 2**BITS), keeps pairs within ``SLACK`` of the
-   threshold, counts the intersections of their sets of real words and returns a
-   spanning forest of the links it finds.
-5. The components of the links, with all members of each class, are the result.
+4. A unit of work is ``BLOCK`` or two times ``BLOCK`` classes of a cluster. It
+   estimates similarities from the signatures' equal bits, corrected for chance (1 in
+   2**BITS), and keeps pairs within ``SLACK`` of the threshold. Signatures travel first;
+   only classes with such a pair send their texts, whose sets of real words confirm it.
+   A unit returns a spanning forest of the links it finds.
+5. A cluster of up to ``BLOCK`` classes is one unit. A larger one is compared with a
+   few of its own classes first, ``STARS`` rounds of it: what links to them is one
+   component, and within that no pair is looked at again. Only the classes left over
+   are compared, in blocks, with each other and with all others.
+6. The components of the links, with all members of each class, are the result.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathspring.llm._graph import Union, components
+from pathspring.llm._graph import Union, components, joined
 from pathspring.llm._store import arrow, written
 from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, sequences, slices
 
@@ -34,6 +38,7 @@ SHINGLE = 5
 BANDS, ROWS = 28, 6
 BITS = 4
 BLOCK = 256
+STARS = 3
 TOGETHER = 1 << 20
 """Shingles up to which a unit's texts are confirmed all together."""
 SLACK = 0.18
@@ -147,80 +152,161 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links_of_unit(ids: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, texts, numerator: int, denominator: int, shingle: int = SHINGLE):
-    """A spanning forest (u, v) of the links among ids; within a block only where the unit holds that block alone.
+class _Unit:
+    """Rows (block, group, node, sig, size, and in the end packed) of one unit of work.
 
-    Pairs of one block are left to the unit of that block.
+    Pairs of one group are linked already. Where a unit has two blocks, pairs of one
+    block are left to that block's own unit.
     """
-    alone = len(np.unique(blocks)) == 1
-    near = estimates(sigs, sigs) >= numerator / denominator - SLACK
-    near &= numerator * np.maximum(sizes[:, None], sizes[None, :]) <= denominator * np.minimum(sizes[:, None], sizes[None, :])
-    near &= np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :]
-    if not alone:
-        near &= blocks[:, None] != blocks[None, :]
-    a, b = np.nonzero(near)
-    if not len(a):
-        return []
-    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    union, out = Union(len(ids)), []
-    if sizes[used].sum() > TOGETHER:  # long texts, two at a time; pairs that links already tie need no look
-        for x, y in zip(a.tolist(), b.tolist()):
-            if union.find(x) != union.find(y):
-                s, t = exact_sets([texts(x), texts(y)], shingle)
-                inter = len(np.intersect1d(s, t, assume_unique=True))
-                if denominator * inter >= numerator * (len(s) + len(t) - inter):
-                    union.join(x, y)
-                    out.append((int(ids[x]), int(ids[y])))
+
+    def __init__(self, rows: list[tuple]):
+        self.block, self.group, self.ids, self.size = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2, 4))
+        self.sig = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
+        self.packed = [r[5] for r in rows] if len(rows[0]) > 5 else None
+
+    def near(self, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be links, by their signatures and sizes."""
+        if len(np.unique(self.ids)) < 2:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        near = estimates(self.sig, self.sig) >= numerator / denominator - SLACK
+        near &= numerator * np.maximum(self.size[:, None], self.size) <= denominator * np.minimum(self.size[:, None], self.size)
+        near &= np.arange(len(self.ids))[:, None] < np.arange(len(self.ids))
+        near &= self.group[:, None] != self.group
+        if len(np.unique(self.block)) > 1:
+            near &= self.block[:, None] != self.block
+        return np.nonzero(near)
+
+    def text(self, i: int) -> str:
+        return zstandard.ZstdDecompressor().decompress(self.packed[i]).decode()
+
+    def links(self, numerator: int, denominator: int, shingle: int) -> list[tuple[int, int]]:
+        """A spanning forest of the links."""
+        a, b = self.near(numerator, denominator)
+        if not len(a):
+            return []
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        union, out = Union(len(self.ids)), []
+        if self.size[used].sum() > TOGETHER:  # long texts, two at a time; pairs that links already tie need no look
+            for x, y in zip(a.tolist(), b.tolist()):
+                if union.find(x) != union.find(y):
+                    s, t = exact_sets([self.text(x), self.text(y)], shingle)
+                    inter = len(np.intersect1d(s, t, assume_unique=True))
+                    if denominator * inter >= numerator * (len(s) + len(t) - inter):
+                        union.join(x, y)
+                        out.append((int(self.ids[x]), int(self.ids[y])))
+            return out
+        sets = exact_sets([self.text(i) for i in used.tolist()], shingle)
+        ua, ub = at[: len(a)], at[len(a) :]
+        size = np.array([len(s) for s in sets])
+        inter = _intersections(sets)[ua, ub]
+        linked = denominator * inter >= numerator * (size[ua] + size[ub] - inter)
+        for x, y in zip(a[linked].tolist(), b[linked].tolist()):
+            if union.join(x, y):
+                out.append((int(self.ids[x]), int(self.ids[y])))
         return out
-    sets = exact_sets([texts(i) for i in used.tolist()], shingle)
-    common = _intersections(sets)
-    ua, ub = at[: len(a)], at[len(a) :]
-    size = np.array([len(s) for s in sets])
-    inter = common[ua, ub]
-    linked = denominator * inter >= numerator * (size[ua] + size[ub] - inter)
-    for x, y in zip(a[linked].tolist(), b[linked].tolist()):
-        if union.join(x, y):
-            out.append((int(ids[x]), int(ids[y])))
-    return out
 
 
-def _confirm(numerator: int, denominator: int, shingle: int):
+_KEY = ("cluster", "i", "j")
+
+
+def _units_of(batches):
+    """(key, rows) of each unit, from batches in order of their units."""
+    key, held = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for c, i, j, *row in zip(*(x.to_pylist() for x in batch.slice(at, 256).columns)):
+                if (c, i, j) != key:
+                    if held:
+                        yield key, held
+                    key, held = (c, i, j), []
+                held.append(tuple(row))
+    if held:
+        yield key, held
+
+
+def _survivors(numerator: int, denominator: int):
+    """The rows of a unit that have a pair near enough."""
+
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        key, held = None, []
+        for key, rows in _units_of(batches):
+            used = np.unique(np.concatenate(_Unit(rows).near(numerator, denominator))).tolist()
+            if used:
+                out = {c: pa.array([key[i]] * len(used), pa.int64()) for i, c in enumerate(_KEY)}
+                out |= {c: pa.array([rows[i][k] for i in used], pa.int64()) for k, c in enumerate(("block", "group", "node"))}
+                yield pa.RecordBatch.from_pydict(out)
 
-        def unit():
-            if len({r[1] for r in held}) < 2:
-                return []
-            texts = [r[4] for r in held]
-            return links_of_unit(np.array([r[1] for r in held]), np.array([r[0] for r in held]), np.array([np.frombuffer(r[2], np.uint8) for r in held]), np.array([r[3] for r in held]), lambda i: unpack.decompress(texts[i]).decode(), numerator, denominator, shingle)
+    return run
 
-        def out(links):
-            return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
+def _confirm(numerator: int, denominator: int, shingle: int):
+    def run(batches):
+        out = lambda links: pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
         found = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for c, i, j, *row in zip(*(x.to_pylist() for x in batch.slice(at, 256).columns)):
-                    if (c, i, j) != key:
-                        found += unit()
-                        key, held = (c, i, j), []
-                    held.append(row)
-                if len(found) > 10_000:
-                    yield out(found)
-                    found = []
-        found += unit()
+        for _, rows in _units_of(batches):
+            found += _Unit(rows).links(numerator, denominator, shingle)
+            if len(found) > 10_000:
+                yield out(found)
+                found = []
         yield out(found)
 
     return run
 
 
-def _pairs_of_blocks(members: DataFrame) -> DataFrame:
-    """Members of clusters with a row for each unit: cluster, i, j, block."""
-    counts = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    t = members.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return t.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+class _Links:
+    """Finds links in units (cluster, i, j, block, group, node)."""
+
+    def __init__(self, classes: DataFrame, full: DataFrame, numerator: int, denominator: int, shingle: int):
+        self.signatures = classes.select("node", "sig", F.col("n").alias("size"))
+        texts = full.select(F.col("doc_id").alias("node"), "h1", "h2", "sig", F.col("n").alias("size"), "packed")
+        self.texts = classes.select("node", "h1", "h2").join(texts, ["node", "h1", "h2"]).drop("h1", "h2")
+        self.near = arrow(_survivors(numerator, denominator), ", ".join(f"{c} long" for c in (*_KEY, "block", "group", "node")))
+        self.confirm = arrow(_confirm(numerator, denominator, shingle), "u long, v long")
+
+    def of(self, units: DataFrame) -> DataFrame:
+        def sorted_units(t: DataFrame, *more: str) -> DataFrame:
+            return t.select(*_KEY, "block", "group", "node", *more).repartition(*_KEY).sortWithinPartitions(*_KEY, "block", "node")
+
+        near = sorted_units(units.join(self.signatures, "node"), "sig", "size").transform(self.near)
+        return written(sorted_units(near.join(self.texts, "node"), "sig", "size", "packed").transform(self.confirm), "links")
+
+
+def _dealt(count: Column) -> Column:
+    """The block of a node among those of count classes."""
+    return F.pmod(F.xxhash64("node"), F.ceil(count / BLOCK))
+
+
+def _blocks(count: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.ceil(count / BLOCK) - 1)
+
+
+def _links_of_large(clusters: DataFrame, links: _Links) -> DataFrame:
+    """Links of clusters (node, cluster, k classes) of more than BLOCK classes."""
+    total = clusters.count()
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("weight"))
+    found, groups = None, clusters.withColumn("group", F.col("node"))
+    for star in range(STARS):
+        by_size = groups.groupBy("cluster", "group").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node")).alias("one"))
+        centres = by_size.groupBy("cluster").agg(F.max(F.struct("n", F.col("one.h").alias("h"), F.col("one.node").alias("node"), "group")).alias("c"))
+        centres = written(centres.join(sizes, "cluster").select("cluster", "weight", F.col("c.node").alias("centre"), F.col("c.group").alias("of")), "centres")
+        others = joined(groups, centres, ["cluster"], "weight", total).filter("group <> of").withColumn("i", _dealt(F.col("k")))
+        rows = others.select("cluster", "i", F.lit(0).cast("long").alias("block"), "group", "node")
+        heads = others.select("cluster", "i", F.lit(1).cast("long").alias("block"), F.col("of").alias("group"), F.col("centre").alias("node")).distinct()
+        new = links.of(rows.unionByName(heads).withColumn("j", F.lit(-1).cast("long")))
+        found = new if found is None else found.unionByName(new)
+        tied = components(found).select("node", F.col("component").alias("group"))
+        groups = written(clusters.join(tied, "node", "left").withColumn("group", F.coalesce("group", "node")), "groups")
+    largest = groups.groupBy("cluster", "group").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("c"))
+    largest = largest.join(sizes, "cluster").select("cluster", "weight", F.col("c.group").alias("main"), F.col("c.n").alias("linked"))
+    t = joined(groups, written(largest, "largest"), ["cluster"], "weight", total).withColumn("left", F.col("k") - F.col("linked"))
+    rest, main = t.filter("group <> main"), t.filter("group = main and left > 0")
+    rest = rest.withColumn("block", _dealt(F.col("left")))
+    main = main.withColumn("block", _dealt(F.col("linked")))
+    other = F.explode(_blocks(F.col("left"))).alias("other")
+    inner = rest.select("cluster", "block", "group", "node", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "group", "node")
+    across = F.lit(-1) - F.col("other")  # blocks of the main component have negative numbers
+    outer = rest.select("cluster", "block", "group", "node", F.explode(_blocks(F.col("linked"))).alias("other")).select("cluster", F.col("block").alias("i"), across.alias("j"), "block", "group", "node")
+    outer = outer.unionByName(main.select("cluster", "block", "group", "node", other).select("cluster", F.col("other").alias("i"), (F.lit(-1) - F.col("block")).alias("j"), (F.lit(-1) - F.col("block")).alias("block"), "group", "node"))
+    return found.unionByName(links.of(inner.unionByName(outer)))
 
 
 def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,20 +324,24 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     prints = written(t.transform(arrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
     full = prints.filter("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "n", F.col("r.doc_id").alias("node"), "r.bands", "copies"), "classes")
+    classes = written(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sig", "copies"), "classes")
+    documents = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
 
     keys = classes.select("node", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("key", "v")
-    ties = keys.join(least, "key").filter("node <> v").select(F.col("node").alias("u"), "v")
+    least = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("weight")).filter("v < most").select("key", "v", "weight")
+    ties = joined(keys, written(least, "shared-keys"), ["key"], "weight", BANDS * documents["classes"]).filter("node <> v").select(F.col("node").alias("u"), "v")
     clusters = written(components(ties).select("node", F.col("component").alias("cluster")), "clusters")
 
-    units = _pairs_of_blocks(clusters).join(classes.select("h1", "h2", "node"), "node")
-    texts = full.select(F.col("doc_id").alias("node"), "h1", "h2", "sig", F.col("n").alias("size"), "packed")
-    work = units.join(texts, ["node", "h1", "h2"]).select("cluster", "i", "j", "block", "node", "sig", "size", "packed")
-    work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    links = work.transform(arrow(_confirm(numerator, denominator, shingle), "u long, v long"))
+    counts = written(clusters.groupBy("cluster").agg(F.count("*").alias("k")), "cluster-sizes")
+    sized = written(joined(clusters, counts, ["cluster"], "k", documents["classes"]), "sized-clusters")
+    confirm = _Links(classes, full, numerator, denominator, shingle)
+    zero = F.lit(0).cast("long")
+    links = confirm.of(sized.filter(F.col("k") <= BLOCK).select("cluster", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.col("node").alias("group"), "node"))
+    large = sized.filter(F.col("k") > BLOCK)
+    if large.limit(1).count():
+        links = links.unionByName(_links_of_large(large, confirm))
 
-    members = full.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).select("doc_id", "n", "node")
+    members = joined(full.select("doc_id", "h1", "h2", "n"), classes.select("h1", "h2", "n", "node", "copies"), ["h1", "h2", "n"], "copies", documents["rows"]).select("doc_id", "n", "node")
     versions = members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
     versions = versions.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v")
     found = components(links.unionByName(versions))
