@@ -9,7 +9,8 @@ the place where the window would start: the length bound (the document is as lon
 as the window) and the positional bound (the window fits in before the start and
 the end) come next, and then the words of that place are compared one by one.
 
-Windows are broadcast while there are at most ``BROADCAST_WINDOWS``; then a
+Windows are broadcast while they are at most ``BROADCAST_WINDOWS`` and their words at
+most ``BROADCAST_BYTES``; then a
 document's words never leave their scan. More windows are joined by shuffles of
 shingle fingerprints, and only candidates meet the documents again.
 """
@@ -26,6 +27,7 @@ from pathspring.llm._store import written
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,9 +42,9 @@ def words(text: Column) -> Column:
 
 
 def _fingerprints(w: Column, k: int) -> Column:
-    """Of the k words from each place on."""
+    """Of the k words from each place on: 63 bits, so never END_OF_DOCUMENT."""
     places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return F.transform(places, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(k)]), 1))
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,7 +94,7 @@ def _same_words() -> Column:
 def _found_in_scan(docs: DataFrame, rarest: DataFrame, k: int) -> DataFrame:
     """doc_id, n and, for each occurrence, start, len, window_id; a row of nulls for each document besides."""
     end = docs.sparkSession.createDataFrame([(None, END_OF_DOCUMENT, None, None, None)], "window_id long, h long, off int, len int, words array<string>")
-    table = rarest.filter((F.col("k") == k) & (F.col("h") != END_OF_DOCUMENT)).select("window_id", "h", "off", "len", "words").unionByName(end)
+    table = rarest.filter(F.col("k") == k).select("window_id", "h", "off", "len", "words").unionByName(end)
     t = docs.select("*", F.concat(_fingerprints(F.col("w"), k), F.array(F.lit(END_OF_DOCUMENT).cast("long"))).alias("h"))
     t = t.select("doc_id", "w", "n", F.posexplode_outer("h").alias("pos", "h")).join(F.broadcast(table), "h")
     t = t.filter(F.col("window_id").isNull() & (F.col("pos") >= F.greatest(F.col("n") - k + 1, F.lit(0))) | F.col("window_id").isNotNull() & _fits() & _same_words())
@@ -114,10 +116,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     """(found, window_items): where windows stand (with a row of nulls for each document), and the items of each window."""
     docs = _documents(docs, id_col, text_col)
     by_item = item_windows(items, window, item_col, item_text_col)
-    windows = by_item.groupBy("words").agg(F.min(F.xxhash64("words")).alias("window_id"))
-    windows, by_item = written(windows, "windows"), by_item
-    n = windows.count()
-    small = n <= broadcast_windows
+    windows = written(by_item.select("words").distinct().withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= broadcast_windows and size["bytes"] <= BROADCAST_BYTES
     rarest = written(_rarest(windows, docs, shingle, small), "rarest")
     lengths = sorted(r["k"] for r in rarest.select("k").distinct().collect()) or [1]
     found = [(_found_in_scan if small else _found_by_shuffle)(docs, rarest, k) for k in lengths]

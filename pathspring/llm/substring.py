@@ -36,6 +36,8 @@ from pathspring.llm._words import SPACED, U64, Words, grams, mix, ranges, slices
 
 WINDOW = 20
 GRAM = 8
+BUCKET_BYTES = 32 << 20
+"""Bytes of text whose runs, windows or places are in a bucket, about: buckets are worked on one by one, and become more with the data."""
 
 # What travels, column by column: runs, places in documents, windows.
 _RUN = (("anchor", np.uint64), ("m1", np.uint64), ("m2", np.uint64), ("doc", np.int64), ("start", np.int32), ("windows", np.int32), ("mixed", np.uint8))
@@ -190,7 +192,7 @@ def _with_texts(docs: DataFrame, places: DataFrame, buckets: int, columns: list[
     rest = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)]
     texts = texts.select(bucket.alias("bucket"), F.lit("text").alias("kind"), F.col("text").alias("blob"), "doc_id", *rest)
     both = places.withColumn("doc_id", F.lit(None).cast("long")).unionByName(texts, allowMissingColumns=True)
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return both.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def _texts_of_bucket(batches, kinds=_PLACE):
@@ -297,14 +299,19 @@ def _match_windows(buckets: int):
     return run
 
 
-def _repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _buckets(docs: DataFrame) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES)
+
+
+def _repeats(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
     """Places of repeated windows, as blobs in their documents' buckets."""
     n = shuffle_partitions(docs.sparkSession)
     known = docs.select("doc_id", "text").filter("doc_id is not null")
-    runs = known.transform(arrow(_find_runs(n, window, gram), _BLOBS)).repartition(n, "bucket").sortWithinPartitions("bucket")
-    places = written(runs.transform(arrow(_match_runs(n), _BLOBS)), "run-places")
-    windows = _with_texts(known, places, n, []).transform(arrow(_open_windows(n, window), _BLOBS))
-    windows = windows.repartition(n, "bucket").sortWithinPartitions("bucket").transform(arrow(_match_windows(n), _BLOBS))
+    runs = known.transform(arrow(_find_runs(buckets, window, gram), _BLOBS)).repartition(n, "bucket").sortWithinPartitions("bucket")
+    places = written(runs.transform(arrow(_match_runs(buckets), _BLOBS)), "run-places")
+    windows = _with_texts(known, places, buckets, []).transform(arrow(_open_windows(buckets, window), _BLOBS))
+    windows = windows.repartition(n, "bucket").sortWithinPartitions("bucket").transform(arrow(_match_windows(buckets), _BLOBS))
     return places.unionByName(windows)
 
 
@@ -352,8 +359,9 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(w.counts - kept, pa.int64()), "kept_sha256": [hashlib.sha256(_joined(data, w, keep, i)).hexdigest() for i in range(len(texts))]})
 
     t = _prepared(docs, id_col, text_col)
-    places = _repeats(t, window, gram)
-    return _with_texts(t, places, shuffle_partitions(docs.sparkSession), []).transform(arrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    buckets = _buckets(t)
+    places = _repeats(t, window, gram, buckets)
+    return _with_texts(t, places, buckets, []).transform(arrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,7 +370,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     A text that loses nothing stays as it is, null included; of the others the kept
     words stay, one space between. Cases are as in digests().
     """
-    places = _repeats(_prepared(docs, id_col, text_col), window, gram)
+    buckets = _buckets(_prepared(docs, id_col, text_col))
+    places = _repeats(_prepared(docs, id_col, text_col), window, gram, buckets)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     schema = docs.select(id_col, text_col, *others).schema
 
@@ -377,7 +386,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(out, pa.string()), *(rows.column(f"x{i}") for i in range(len(others)))], names=[f.name for f in schema.fields])
 
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
-    out = _with_texts(t, places, shuffle_partitions(docs.sparkSession), others).transform(arrow(run, schema))
+    out = _with_texts(t, places, buckets, others).transform(arrow(run, schema))
     return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -52,6 +52,26 @@ def test_stages_on_odd_rows(spark):
     assert kept.count() == 3
 
 
+def test_stages_on_repeated_rows_and_other_columns(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    made = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "b", 1), (3, " ".join(f"other{i}" for i in range(40)), "en", "b", 1), (3, "short", "en", None, 5), (None, text, "en", "a", 1)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'x' as key", "'x' as row", "'x' as bucket", "'x' as kept", "'x' as perplexity", "'x' as size", "'x' as w", "'x' as c0")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, SF), "stage")
+        assert kept.columns == docs.columns and kept.filter("key <> 'x' or c0 <> 'x'").count() == 0
+    assert sorted(pairs(kept), key=str) == sorted([(1, text), (1, text), *pairs(docs.filter("doc_id = 3")), (None, text)], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() == 5
+
+
+def test_stages_on_empty_tables(spark):
+    kept = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = written(stage(spark, kept, SF), "empty")
+        assert kept.count() == 0
+
+
 def test_leaks_without_an_id_are_removed(spark):
     passage = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(None, passage, "en", "a", 1), (None, "clean words", "en", "a", 1), (1, passage, "en", "a", 1), (2, "clean", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
