@@ -12,6 +12,8 @@ from pathspring.llm._store import arrow, written
 MOST_ROUNDS = 60
 HOT_NODES = 100_000
 """Nodes of very many edges are broadcast: as many at most, about 2 MB."""
+FEW_EDGES = 200_000
+"""Edges (after a first contraction in place) that one task settles: 3 MB. More are settled step by step in all tasks."""
 LEAST_HOT = 64
 """A node with no more edges than that is not one of them."""
 
@@ -37,17 +39,25 @@ class Union:
         return True
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """The edges as stars around the smallest node of what they connect."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    union = Union(len(nodes))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        union.join(a, b)
+    root = np.array([union.find(i) for i in range(len(nodes))], dtype=np.int64)
+    tied = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
+
+
 def _contract(batches):
-    """Each Arrow batch of edges becomes stars around the smallest node of what it connects."""
     for batch in batches:
-        u, v = (batch.column(c).to_numpy() for c in ("u", "v"))
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        union = Union(len(nodes))
-        for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
-            union.join(a, b)
-        root = np.array([union.find(i) for i in range(len(nodes))], dtype=np.int64)
-        tied = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[tied]), "v": pa.array(nodes[root[tied]])})
+        yield _stars(*(batch.column(c).to_numpy() for c in ("u", "v")))
+
+
+def _contract_all(batches):
+    held = [tuple(batch.column(c).to_numpy() for c in ("u", "v")) for batch in batches]
+    yield _stars(*(np.concatenate(x) for x in zip(*held, (np.zeros(0, dtype=np.int64),) * 2)))
 
 
 def joined(left: DataFrame, right: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
@@ -71,7 +81,7 @@ def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-    least = written(least.select("u", F.least("u", "m").alias("m"), "k"), "least")
+    least = least.select("u", F.least("u", "m").alias("m"), "k")
     largest = F.broadcast(least.filter(F.col("k") > hot).select("u", F.col("m").alias("of")))
     rows = (both.filter("v > u") if large else both).join(largest, "u", "left")
     few = rows.filter("of is null").drop("of").join(least.filter(F.col("k") <= hot).select("u", "m").hint("shuffle_merge"), "u")
@@ -85,7 +95,7 @@ def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component for every node of the edges (columns u and v, long): the smallest node that it is connected with.
 
-    Large-star and small-star steps alternate until the edges stay the same; then
+    Large-star and small-star steps alternate (while there are many edges) until the edges stay the same; then
     each edge ties a node to its component. A step finds each node's smallest
     neighbour, combined in place first, and joins it with the node's edges; the edges
     of hot nodes do not move for that. Self-loops and repeated
@@ -99,6 +109,9 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now["n"]:
             break
         before = now
+        if now["n"] <= FEW_EDGES:
+            e = written(e.repartition(1).transform(arrow(_contract_all, "u long, v long")), "edges")
+            break
         hot = max(LEAST_HOT, 2 * now["n"] // HOT_NODES)  # nodes with more are 2 n / hot at most
         e = written(_star(_star(e, True, hot), False, hot), "edges")
     else:

@@ -255,10 +255,9 @@ def _confirm(numerator: int, denominator: int, shingle: int):
 class _Links:
     """Finds links in units (cluster, i, j, block, group, node)."""
 
-    def __init__(self, classes: DataFrame, full: DataFrame, numerator: int, denominator: int, shingle: int):
-        self.signatures = classes.select("node", "sig", F.col("n").alias("size"))
-        texts = full.select(F.col("doc_id").alias("node"), "h1", "h2", "sig", F.col("n").alias("size"), "packed")
-        self.texts = classes.select("node", "h1", "h2").join(texts, ["node", "h1", "h2"]).drop("h1", "h2")
+    def __init__(self, candidates: DataFrame, numerator: int, denominator: int, shingle: int):
+        """candidates: node, sig, size, packed of all classes in clusters."""
+        self.signatures, self.texts = candidates.select("node", "sig", "size"), candidates
         self.near = arrow(_survivors(numerator, denominator), ", ".join(f"{c} long" for c in (*_KEY, "block", "group", "node")))
         self.confirm = arrow(_confirm(numerator, denominator, shingle), "u long, v long")
 
@@ -334,7 +333,10 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
 
     counts = written(clusters.groupBy("cluster").agg(F.count("*").alias("k")), "cluster-sizes")
     sized = written(joined(clusters, counts, ["cluster"], "k", documents["classes"]), "sized-clusters")
-    confirm = _Links(classes, full, numerator, denominator, shingle)
+    texts = full.select(F.col("doc_id").alias("node"), "h1", "h2", "sig", F.col("n").alias("size"), "packed")
+    chosen = clusters.select("node").join(classes.select("node", "h1", "h2"), "node")
+    candidates = written(chosen.join(texts, ["node", "h1", "h2"]).drop("h1", "h2"), "candidates")
+    confirm = _Links(candidates, numerator, denominator, shingle)
     zero = F.lit(0).cast("long")
     links = confirm.of(sized.filter(F.col("k") <= BLOCK).select("cluster", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.col("node").alias("group"), "node"))
     large = sized.filter(F.col("k") > BLOCK)

@@ -103,9 +103,13 @@ def test_long_texts_are_confirmed_two_at_a_time(spark, monkeypatch):
     assert rows(near_dup.link_documents(frame(spark, pairs), 85, 100), "n_shingles", "component_id") == want
 
 
-def test_components_with_hot_nodes(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_with_hot_nodes(spark, monkeypatch, few):
+    from pathspring.llm import _graph
     from pathspring.llm._graph import components
 
+    monkeypatch.setattr(_graph, "FEW_EDGES", few)
+
     rng = random.Random(8)
     edges = [(0, i) for i in range(1, 400)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5, 2000), (2000, 2001), (7, 7)]
     up = {}
