@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathspring.llm._graph import Union, components, joined
-from pathspring.llm._store import arrow, written
+from pathspring.llm._store import arrow, discard, written
 from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, sequences, slices
 
 SHINGLE = 5
@@ -308,6 +308,17 @@ def _links_of_large(clusters: DataFrame, links: _Links) -> DataFrame:
     return found.unionByName(links.of(inner.unionByName(outer)))
 
 
+def _members(full: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """doc_id, n, node for each row."""
+    return joined(full.select("doc_id", "h1", "h2", "n"), classes.select("h1", "h2", "n", "node", "copies"), ["h1", "h2", "n"], "copies", rows).select("doc_id", "n", "node")
+
+
+def _versions(full: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """Ties of the classes that rows of one doc_id are in."""
+    t = _members(full, classes, rows).groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
+    return t.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v")
+
+
 def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each distinct doc_id.
 
@@ -343,10 +354,10 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     if large.limit(1).count():
         links = links.unionByName(_links_of_large(large, confirm))
 
-    members = joined(full.select("doc_id", "h1", "h2", "n"), classes.select("h1", "h2", "n", "node", "copies"), ["h1", "h2", "n"], "copies", documents["rows"]).select("doc_id", "n", "node")
-    versions = members.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
-    versions = versions.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).filter("u <> v")
-    found = components(links.unionByName(versions))
+    found = components(links.unionByName(_versions(full, classes, documents["rows"])))  # written
+    discard(candidates)
+
+    members = _members(full, classes, documents["rows"])
     members = members.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     empty = prints.filter("n = 0 and doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("component"))
     rows = members.unionByName(empty).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
