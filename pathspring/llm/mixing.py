@@ -35,7 +35,7 @@ MOST = 3
 """How often a source's words may be read on average, and a document's at most."""
 BUCKETS = 1024
 """Hash buckets of documents within a source, for prefix sums."""
-PART = 65536
+PART = 2048
 """Blocks in a hash range of a permutation, about."""
 
 WORD = r"[^\x20\x09-\x0D]+"
