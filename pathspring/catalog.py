@@ -14,7 +14,7 @@ from pathspring.plans import frames
 from pathspring import catalog_sql
 from pathspring.plans.frames import ORDERS_SQL, chain_model, order_model, orders, table, wide_model
 from pathspring.plans.model import model
-from pathspring.sources import tables
+from pathspring.sources import exports, tables
 
 FLAGSHIP = "pls_pm"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,44 @@ def _(spark, d):
     return _rounded(tables.compare(one, other, ["source", "target"]), "difference")
 
 
+@_query("saved_run_compare")
+def _(spark, d):
+    paths, data = [], tables.fingerprint(table(spark, d, "lineitem")).first()["digest"]
+    for scheme in ("path", "factor"):
+        paths.append(tables.scratch(spark, f"run-{scheme}"))
+        run = pls.tidy(spark, _fit(spark, d, scheme=scheme)).filter("kind = 'path'").select("source", "target", "estimate")
+        tables.archive(_rounded(run, "estimate"), paths[-1], {"model": repr(order_model()), "data": data, "scheme": scheme})
+    return _rounded(tables.compare_runs(spark, *paths, ["source", "target"]), "difference")
+
+
+_QUOTED = "CASE WHEN contains(p_name, ',') OR contains(p_name, chr(34)) THEN chr(34) || replace(p_name, chr(34), chr(34) || chr(34)) || chr(34) ELSE p_name END"
+_ESCAPED = "replace(replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@_query("export_tables", f"""WITH t AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_name || CASE WHEN p_size > 40 THEN ', "large" <' || p_size || '>' ELSE '' END END AS p_name FROM part)
+SELECT 'csv' AS format, p_partkey || ',' || coalesce({_QUOTED}, '') AS line FROM t
+UNION ALL SELECT 'html', '<tr><td>' || p_partkey || '</td><td>' || coalesce({_ESCAPED}, '') || '</td></tr>' FROM t""")
+def _(spark, d):
+    large = F.when(F.col("p_size") > 40, F.concat(F.lit(', "large" <'), F.col("p_size").cast("string"), F.lit(">"))).otherwise("")
+    t = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.concat("p_name", large)).alias("p_name"))
+    csv, html = (f(t).select(F.lit(n).alias("format"), "line") for n, f in (("csv", exports.csv_lines), ("html", exports.html_rows)))
+    return csv.unionByName(html)
+
+
+@_query("src_arrow", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def _(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    path = tables.scratch(spark, "orders-arrow")
+    exports.arrow_streams(t).write.parquet(path)
+    return exports.from_arrow_streams(spark.read.parquet(path), t.schema)
+
+
+@_query("page_ui", "SELECT size::INT AS size, rows, pages, least(7, pages) AS page, least((least(7, pages) - 1) * size + 1, rows) AS first, least(least(7, pages) * size, rows) AS last FROM (SELECT size, rows, greatest(1, (rows + size - 1) // size) AS pages FROM (SELECT count(*) AS rows FROM customer), (VALUES (50), (100), (250)) v(size))")
+def _(spark, d):
+    one, two, three = (exports.page_window(table(spark, d, "customer"), 7, size) for size in exports.PAGE_SIZES)
+    return one.unionByName(two).unionByName(three)
+
+
 # Statistics
 
 
@@ -341,12 +379,24 @@ def _(spark, d):
     return _rounded(regression.nca_peers(orders(spark, d), "n", "gross"), "y").withColumn("y", F.round("y", 4))
 
 
-@_query("nca", f"""WITH {ORDERS_SQL}, t AS (SELECT n AS x, max(gross) AS y FROM f GROUP BY n), b AS (SELECT x, y, max(y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t
+_PEERS_SQL = f"""{ORDERS_SQL}, t AS (SELECT n AS x, max(gross) AS y FROM f GROUP BY n), b AS (SELECT x, y, max(y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t
 ), s AS (SELECT min(n) AS x0, max(n) AS x1, min(gross) AS y0, max(gross) AS y1 FROM f
-), k AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS nx FROM b WHERE p IS NULL OR y > p)
-SELECT 'ce_fdh' AS ceiling, round(sum((coalesce(nx, x1) - x) * (y1 - y)) / max((x1 - x0) * (y1 - y0)), 6) AS effect FROM k, s""")
+), k AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS nx FROM b WHERE p IS NULL OR y > p
+), l AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut FROM k)"""
+
+
+@_query("nca", f"""WITH {_PEERS_SQL}, e AS (SELECT *, least(greatest((y0 - cut) / slope, x0), x1) AS a, least(greatest((y1 - cut) / slope, x0), x1) AS b FROM l, s)
+SELECT 'ce_fdh' AS ceiling, round(sum((coalesce(nx, x1) - x) * (y1 - y)) / max((x1 - x0) * (y1 - y0)), 6) AS effect FROM k, s
+UNION ALL SELECT 'cr_fdh', round(((a - x0) * (y1 - y0) + (y1 - cut) * (b - a) - slope * (b * b - a * a) / 2) / ((x1 - x0) * (y1 - y0)), 6) FROM e""")
+def _(spark, d):
+    return regression.nca(orders(spark, d), "n", "gross").select("ceiling", F.round("effect", 6).alias("effect"))
+
+
+@_query("nca_bottlenecks", f"""WITH {_PEERS_SQL}, w AS (SELECT level::INT AS level, y0 + level / 100 * (y1 - y0) AS want, s.*, l.* FROM range(10, 100, 10) r(level), s, l
+), q AS (SELECT 'ce_fdh' AS ceiling, level, x0, x1, (SELECT min(x) FROM k WHERE y >= want) AS need FROM w UNION ALL SELECT 'cr_fdh', level, x0, x1, (want - cut) / slope FROM w)
+SELECT ceiling, level, CASE WHEN need > x0 AND need <= x1 THEN round((need - x0) / (x1 - x0) * 100, 6) END AS required, CASE WHEN need <= x0 THEN 'not_necessary' WHEN need > x1 THEN 'not_attainable' ELSE 'required' END AS status FROM q""")
 def _(spark, d):
-    return regression.nca(orders(spark, d), "n", "gross").filter("ceiling = 'ce_fdh'").select("ceiling", F.round("effect", 6).alias("effect"))
+    return _rounded(regression.nca_bottlenecks(orders(spark, d), "n", "gross"), "required")
 
 
 # Resampling
@@ -612,6 +662,19 @@ def _(spark, d):
     return _rounded(inference.intervals(t, 100), "value", "se", "low", "high")
 
 
+@_query("rs_process")
+def _(spark, d):
+    effects = inference.effects_of({"n": ["q"], "gross": ["q", "n"]})
+    t = inference.replicated(frames.customers(spark, d), ["q", "n", "gross"], "o_custkey", 200, effects)
+    return _rounded(inference.intervals(t, 200), "value", "se", "low", "high")
+
+
+@_query("rs_studentized")
+def _(spark, d):
+    t = resample.studentized(frames.customers(spark, d), chain_model(), "o_custkey", 39, 19)
+    return _rounded(t.filter("kind in ('path', 'indirect')"), "estimate", "se", "low", "high")
+
+
 @_query("rs_mediation")
 def _(spark, d):
     ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)

@@ -333,6 +333,28 @@ def _regression_boot() -> str:
     return _intervals({"q": f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", "n": f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"}, 100, m)
 
 
+def _process_boot() -> str:
+    m = model({"A": ["q", "n", "gross"]}, [])
+    r, s, t = sql._r("q", "n"), sql._r("q", "gross"), sql._r("n", "gross")
+    first = f"{r} * sd_n / sd_q"
+    direct, second = f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"
+    whole = {"q > n": first, "q > gross": direct, "n > gross": second, "q > n > gross": f"{first} * {second}", "total q > gross": f"{direct} + {first} * {second}"}
+    return _intervals(whole, 200, m)
+
+
+def _studentized(replicates: int = 39, inner: int = 19) -> str:
+    m, kinds = chain_model(), ("path", "indirect")
+    hit = lambda text: f"('0x' || substr(sha256({text}), 1, 13))::BIGINT % (SELECT count(*) FROM pos)"
+    first, then = hit("'1:inner:' || rep || ':' || sub || ':' || i.pos"), hit("'1:' || rep || ':' || drawn")
+    draws = f"SELECT rep, sub, {first} AS drawn FROM range({replicates}) a(rep), range({inner}) b(sub), pos i"
+    nest = f"nest AS (SELECT rep * {inner} + sub AS k, {then} AS place, count(*) AS times FROM ({draws}) GROUP BY ALL), nb AS MATERIALIZED (SELECT nest.k, times, pos.* EXCLUDE (pos) FROM nest JOIN pos ON pos.pos = place)"
+    own = f"{sql.fitted(m, 'nb', 'own', weight='times')}, al2 AS MATERIALIZED ({_aligned(m, 'own')}), t2 AS ({_long(m, 'al2', kinds)}), sp AS (SELECT k // {inner} AS k, kind, source, target, stddev_samp(estimate) AS own FROM t2 GROUP BY ALL)"
+    z = "(t.estimate - ref.estimate) / own"
+    last = f"SELECT kind, source, target, any_value(ref.estimate) AS estimate, stddev_samp(t.estimate) AS se, quantile_cont({z}, 0.025) AS z0, quantile_cont({z}, 0.975) AS z1, count(*) AS usable FROM t JOIN ref USING (kind, source, target) JOIN sp USING (k, kind, source, target) GROUP BY kind, source, target"
+    columns = (("se", "se"), ("low", "estimate - z1 * se"), ("high", "estimate - z0 * se"))
+    return f"{_bootstrap(m, replicates, kinds)}, {nest}, {own} SELECT kind, source, target, round(estimate, 6) AS estimate, {_shown(columns, replicates)} FROM ({last})"
+
+
 def _second_stage(m: PathModel, replicates: int, derived: dict[str, str], after: str, statistics: dict[str, str]) -> str:
     """Intervals of expressions on the second stage, of all replicates and (k = -1) the data; derived: columns on scores (u), after: CTEs with a table z."""
     both = "b2 AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT -1 AS k, 1 AS times, * FROM c)"
@@ -420,6 +442,7 @@ _PATHS = ("path",)
 
 SQL = {
     "result_compare": f"{_BASE}, {_FACTOR}, a AS ({sql.tidy(_M, 'fit', kinds=_PATHS)}), b AS ({sql.tidy(_M, 'other', kinds=_PATHS)}) SELECT a.source, a.target, a.estimate AS left, b.estimate AS right, round(b.estimate - a.estimate, 6) + 0.0 AS difference, 'both' AS status FROM a JOIN b USING (source, target)",
+    "saved_run_compare": f"{_BASE}, {_FACTOR}, a AS ({sql.tidy(_M, 'fit', kinds=_PATHS)}), b AS ({sql.tidy(_M, 'other', kinds=_PATHS)}) SELECT a.source, a.target, a.estimate AS left, b.estimate AS right, round(b.estimate - a.estimate, 6) + 0.0 AS difference, 'both' AS status FROM a JOIN b USING (source, target)",
     "src_matrix": f"WITH {ORDERS_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS i, '{b}' AS j, round(corr({a}, {b}), 6) AS r FROM f" for a, b in (("q", "n"), ("q", "gross"), ("n", "gross"))),
     "pls_pm": f"{_BASE} {sql.tidy(_M)}",
     "pls_factor": f"{_of(_M, scheme='factor')} {sql.tidy(_M)}",
@@ -461,6 +484,8 @@ SQL = {
     "rs_jackknife": _jackknife(),
     "rs_htmt_boot": _htmt_boot(),
     "rs_regression": _regression_boot(),
+    "rs_process": _process_boot(),
+    "rs_studentized": _studentized(),
     "mga_permutation": _groups(100),
     "rs_perm_plsc": _groups(100, consistent=True),
     "posthoc_n": _posthoc(),

@@ -60,6 +60,34 @@ def slopes_of(y: str, xs: list[str]) -> Callable[[Moments], dict[str, float]]:
     return statistic
 
 
+def effects_of(equations: dict[str, list[str]]) -> Callable[[Moments], dict[str, float]]:
+    """Slopes of a path analysis of observed variables (outcome: its predictors), the product along each longer route, and total effects where there are several routes."""
+    following: dict[str, list[str]] = {}
+    for y, xs in equations.items():
+        for x in xs:
+            following.setdefault(x, []).append(y)
+
+    def routes(at: tuple[str, ...]):
+        for y in following.get(at[-1], []):
+            if y in at:
+                raise ModelError("the equations must not form a circle")
+            yield (*at, y)
+            yield from routes((*at, y))
+
+    every = [r for x in following for r in routes((x,))]
+
+    def statistic(m: Moments) -> dict[str, float]:
+        slope = {(x, y): b for y, xs in equations.items() for x, b in slopes_of(y, xs)(m).items()}
+        out, ends = {}, {}
+        for r in every:
+            value = math.prod(slope[step] for step in zip(r, r[1:]))
+            out[" > ".join(r)] = value
+            ends.setdefault((r[0], r[-1]), []).append(value)
+        return out | {f"total {x} > {y}": sum(v) for (x, y), v in ends.items() if len(v) > 1}
+
+    return statistic
+
+
 def freedman_lane(df: DataFrame, model: PathModel, source: str, target: str, key: str, permutations: int = 199, seed: int = 1) -> DataFrame:
     """source, target, estimate, p: residuals of the model without the path are permuted and added back; p = (extreme + 1) / (permutations + 1).
 

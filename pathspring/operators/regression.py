@@ -130,20 +130,54 @@ def nca_peers(df: DataFrame, x: str, y: str) -> DataFrame:
     return top.withColumn("before", before).filter(F.col("before").isNull() | (F.col("y") > F.col("before"))).select("x", "y")
 
 
+def _ceiling_line(peers: list[tuple[float, float]]) -> tuple[float, float] | None:
+    """(slope, intercept) of the line through the peers, CR-FDH; None with fewer than two."""
+    if len(peers) < 2:
+        return None
+    px, py = np.array(peers).T
+    slope = float(((px - px.mean()) * (py - py.mean())).sum() / ((px - px.mean()) ** 2).sum())
+    return slope, float(py.mean() - slope * px.mean())
+
+
+def _ceilings(df: DataFrame, x: str, y: str):
+    """The observed bounds and the peers, which are at most one for each level of y that sets a record."""
+    b = df.dropna(subset=[x, y]).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if b["x0"] is None:
+        raise ValueError("no complete case")
+    return [float(v) for v in b], [(r["x"], r["y"]) for r in nca_peers(df, x, y).orderBy("x").collect()]
+
+
 def nca(df: DataFrame, x: str, y: str) -> DataFrame:
     """ceiling, area, scope, effect for CE-FDH and CR-FDH: the empty zone above the data's steps, and above the line through their peers."""
-    b = df.dropna(subset=[x, y]).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    x0, x1, y0, y1 = (float(v) for v in b)
-    peers = [(r["x"], r["y"]) for r in nca_peers(df, x, y).orderBy("x").collect()]
+    (x0, x1, y0, y1), peers = _ceilings(df, x, y)
     scope = (x1 - x0) * (y1 - y0)
     area = sum(((peers[i + 1][0] if i + 1 < len(peers) else x1) - px) * (y1 - py) for i, (px, py) in enumerate(peers))
     rows = [("ce_fdh", area, scope, area / scope if scope else None)]
-    if len(peers) > 1 and scope:
-        px, py = np.array(peers).T
-        slope = float(((px - px.mean()) * (py - py.mean())).sum() / ((px - px.mean()) ** 2).sum())
-        cut = float(py.mean() - slope * px.mean())
-        at = np.unique(np.clip([x0, x1, *((v - cut) / slope for v in (y0, y1) if slope)], x0, x1))
+    line = _ceiling_line(peers)
+    if line and scope:
+        slope, cut = line
+        at = np.unique(np.clip([x0, x1, *((v - cut) / slope for v in (y0, y1))], x0, x1))
         gap = y1 - np.clip(cut + slope * at, y0, y1)
         zone = float(((gap[1:] + gap[:-1]) / 2 * np.diff(at)).sum())
         rows.append(("cr_fdh", zone, scope, zone / scope))
     return df.sparkSession.createDataFrame(rows, "ceiling string, area double, scope double, effect double")
+
+
+def nca_bottlenecks(df: DataFrame, x: str, y: str, levels: tuple[int, ...] = tuple(range(10, 100, 10))) -> DataFrame:
+    """ceiling, level, required, status: the least x, in percent of its range, that each level of y (percent of its range) needs.
+
+    status: required; not_necessary where the lowest x suffices; not_attainable where
+    the ceiling line reaches the level beyond the highest x. Only the first has a number.
+    """
+    (x0, x1, y0, y1), peers = _ceilings(df, x, y)
+    if x1 <= x0 or y1 <= y0:
+        raise ValueError("both variables must vary")
+    line, rows = _ceiling_line(peers), []
+    for level in levels:
+        want = y0 + level / 100 * (y1 - y0)
+        needs = [("ce_fdh", next((px for px, py in peers if py >= want), x1))]
+        needs += [("cr_fdh", (want - line[1]) / line[0])] if line else []
+        for ceiling, need in needs:
+            status = "not_necessary" if need <= x0 else "not_attainable" if need > x1 else "required"
+            rows.append((ceiling, level, (need - x0) / (x1 - x0) * 100 if status == "required" else None, status))
+    return df.sparkSession.createDataFrame(rows, "ceiling string, level int, required double, status string")

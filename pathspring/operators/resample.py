@@ -149,6 +149,40 @@ def summary(estimates: DataFrame, ref: DataFrame, replicates: int, level: float
     return t.select("kind", "source", "target", "estimate", show(F.col("mean"), "mean"), show(F.col("mean") - F.col("estimate"), "bias"), show(F.col("se"), "se"), show(F.col("low"), "low"), show(F.col("high"), "high"), show(F.col("t"), "t"), show(normal_p(F.coalesce("t", F.lit(0.0)), tail), "p"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
 
 
+def nested_plan(spark, n: int, replicates: int, inner: int, seed: int = 1) -> DataFrame:
+    """rep, pos, times for rep = replicate * inner + inner replicate: n draws with replacement from the draws of each replicate of bootstrap_plan."""
+    t = spark.range(n * replicates * inner).select(F.floor(F.col("id") / n).alias("rep"), F.pmod("id", F.lit(n)).alias("i"))
+    outer, sub = F.floor(F.col("rep") / inner), F.pmod("rep", F.lit(inner))
+    drawn = F.pmod(draw(seed, F.lit("inner"), outer, sub, F.col("i")), F.lit(n))
+    return t.select("rep", outer.alias("outer"), drawn.alias("drawn")).select("rep", F.pmod(draw(seed, F.col("outer"), F.col("drawn")), F.lit(n)).alias("pos")).groupBy("rep", "pos").agg(F.count("*").alias("times"))
+
+
+def studentized(df: DataFrame, model: PathModel, key: str, replicates: int = 999, inner: int = 99, seed: int = 1, level: float = 0.95, **options) -> DataFrame:
+    """kind, source, target, estimate, se, low, high, usable, status: bootstrap-t intervals.
+
+    A replicate's distance from the estimate is divided by the standard error of its own
+    inner replicates; quantiles (type 7) of these, times the outer standard error, are
+    taken from the estimate. A replicate counts if nine in ten of its inner ones are
+    usable and vary; bounds need nine in ten replicates. Work grows with rows times
+    replicates times inner replicates, in one aggregate by key.
+    """
+    ref, t = bootstrap(df, model, key, replicates, seed, **options)
+    full = df.dropna(subset=model.indicators)
+    shift = shift_of(full, model.indicators)
+    rows = positioned(full.select(key, *model.indicators), key)
+    drawn = nested_plan(df.sparkSession, ref.moments.n, replicates, inner, seed).join(rows, "pos")
+    within = refit(moments_by(drawn, model.indicators, ["rep"], "times", shift), ref, shift, options)
+    names, a = ["kind", "source", "target"], (1 - level) / 2
+    spread = within.filter("kind <> 'failed'").groupBy(F.floor(F.col("rep") / inner).alias("rep"), *names).agg(F.stddev_samp("estimate").alias("own"), F.count("*").alias("n"))
+    spread = spread.filter((F.col("n") >= max(2, math.ceil(0.9 * inner))) & (F.col("own") > 1e-12)).drop("n")
+    known = df.sparkSession.createDataFrame([r[1:5] for r in _rows(0, ref)], "kind string, source string, target string, reference double")
+    each = t.filter("kind <> 'failed'").drop("status").join(F.broadcast(known), names).join(spread, ["rep", *names], "left")
+    z = (F.col("estimate") - F.col("reference")) / F.col("own")
+    g = each.groupBy(*names).agg(F.first("reference").alias("estimate"), F.stddev_samp("estimate").alias("se"), F.percentile(z, F.lit(a)).alias("z0"), F.percentile(z, F.lit(1 - a)).alias("z1"), F.count("own").alias("usable"))
+    ok = F.col("usable") >= max(2, math.ceil(0.9 * replicates))
+    return g.select(*names, "estimate", F.when(ok, F.col("se")).alias("se"), F.when(ok, F.col("estimate") - F.col("z1") * F.col("se")).alias("low"), F.when(ok, F.col("estimate") - F.col("z0") * F.col("se")).alias("high"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
+
+
 def jackknife(df: DataFrame, ref: Fit, key: str, **options) -> DataFrame:
     """Estimates without each row in turn: the whole moments less the row's, no join."""
     model, whole = ref.model, ref.moments

@@ -98,9 +98,21 @@ def compare(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str =
     return t.select(*keys, "left", "right", (F.col("right") - F.col("left")).alias("difference"), F.when(F.col("_l") & F.col("_r"), "both").when(F.col("_l"), "left_only").otherwise("right_only").alias("status"))
 
 
+def compare_runs(spark: SparkSession, left: str, right: str, keys: Sequence[str], same: Sequence[str] = ("model", "data"), value: str = "estimate") -> DataFrame:
+    """compare() of two archived results whose manifests agree on what must be the same; others are refused."""
+    (a, one), (b, two) = reopen(spark, left), reopen(spark, right)
+    for k in same:
+        if k not in one or one[k] != two.get(k):
+            raise ImportFailure(f"the runs differ in {k}")
+    return compare(a, b, keys, value)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a local one where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/pathspring/{uuid.uuid4().hex}-{name}"
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, a folder of this machine, for a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or 'file://' + tempfile.gettempdir()).rstrip('/')}/pathspring/{uuid.uuid4().hex}-{name}"
 
 
 def archive(df: DataFrame, path: str, manifest: dict) -> None:

@@ -1,16 +1,20 @@
 """Inference by replicates, rounds and segments, against plain NumPy on the same rows."""
 
+import csv
 import hashlib
+import io
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pathspring.functions import dist
-from pathspring.operators import assess, extend, inference, pls, resample
-from pathspring.operators.moments import moments
+from pathspring.operators import assess, extend, inference, pls, regression, resample
+from pathspring.operators.moments import Moments, moments
 from pathspring.plans.model import ModelError
+from pathspring.sources import exports, tables
 from tests.test_core import MEDIATED, by_rows, sample
 
 
@@ -156,3 +160,93 @@ def test_ceilings_of_permuted_rows(rows):
         source = {p: i for i, p in enumerate(order(range(300), lambda v: f"1:{rep}:{v}"))}
         extreme += effect(px, np.array([py[source[i]] for i in range(300)])) >= r["effect"]
     assert r["p"] == pytest.approx((extreme + 1) / 20)
+
+
+def test_bootstrap_t_is_that_of_plain_draws(rows, spark):
+    df, pdf = rows
+    replicates, inner, n = 8, 6, len(pdf)
+    hit = lambda *parts: int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) % n
+    plan = {}
+    for rep in range(replicates):
+        outer = [hit(1, rep, i) for i in range(n)]
+        for sub in range(inner):
+            for i in range(n):
+                k = (rep * inner + sub, outer[hit(1, "inner", rep, sub, i)])
+                plan[k] = plan.get(k, 0) + 1
+    assert {(r["rep"], r["pos"]): r["times"] for r in resample.nested_plan(spark, n, replicates, inner).collect()} == plan
+    ref, outer = resample.bootstrap(df, MEDIATED, "id", replicates)
+    place = {r["pos"]: r["id"] for r in resample.positioned(df.select("id"), "id").collect()}
+    by_id = pdf.set_index("id")
+    x, y = MEDIATED.paths[0]
+    at = tuple(MEDIATED.names.index(c) for c in (x, y))
+    own = [[] for _ in range(replicates)]
+    for k in range(replicates * inner):
+        ids = [place[p] for (rep, p), times in plan.items() if rep == k for _ in range(times)]
+        some = by_id.loc[ids].reset_index()
+        own[k // inner].append(resample.aligned(ref, pls.fit(MEDIATED, of_rows(some, MEDIATED.indicators))).paths[at])
+    mine = outer.filter((F.col("kind") == "path") & (F.col("source") == x) & (F.col("target") == y)).orderBy("rep").toPandas()["estimate"].to_numpy()
+    z = (mine - ref.paths[at]) / np.std(own, axis=1, ddof=1)
+    got = resample.studentized(df, MEDIATED, "id", replicates, inner).filter((F.col("kind") == "path") & (F.col("source") == x) & (F.col("target") == y)).first()
+    low, high = (ref.paths[at] - np.quantile(z, q) * mine.std(ddof=1) for q in (0.975, 0.025))
+    assert (got["low"], got["high"], got["usable"], got["status"]) == (pytest.approx(low, rel=1e-5), pytest.approx(high, rel=1e-5), replicates, "ok")
+
+
+def of_rows(pdf, columns):
+    x = pdf[columns].to_numpy(float)
+    d = x - x.mean(0)
+    return Moments(tuple(columns), len(x), float(len(x)), x.mean(0), d.T @ d)
+
+
+def test_effects_along_routes():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=80)
+    b = 0.5 * a + rng.normal(size=80)
+    c = 0.3 * a - 0.4 * b + rng.normal(size=80)
+    m = of_rows(pd.DataFrame({"a": a, "b": b, "c": c}), ["a", "b", "c"])
+    got = inference.effects_of({"b": ["a"], "c": ["a", "b"]})(m)
+    ab = np.polyfit(a, b, 1)[0]
+    ac, bc = np.linalg.lstsq(np.column_stack([a, b, np.ones(80)]), c, rcond=None)[0][:2]
+    assert got == pytest.approx({"a > b": ab, "a > c": ac, "b > c": bc, "a > b > c": ab * bc, "total a > c": ac + ab * bc})
+    assert got["total a > c"] == pytest.approx(np.polyfit(a, c, 1)[0])
+    with pytest.raises(ModelError):
+        inference.effects_of({"b": ["a"], "a": ["b"]})
+
+
+def test_bottlenecks(spark):
+    t = spark.createDataFrame([(0.0, 2.0), (2.0, 5.0), (5.0, 4.0), (8.0, 10.0), (10.0, 0.0), (None, 99.0)], "x double, y double")
+    got = {(r["ceiling"], r["level"]): (r["required"], r["status"]) for r in regression.nca_bottlenecks(t, "x", "y", (10, 20, 50, 60, 90)).collect()}
+    assert got["ce_fdh", 20] == (None, "not_necessary") and got["ce_fdh", 50] == (20.0, "required") and got["ce_fdh", 60] == (80.0, "required")
+    slope, cut = np.polyfit([0, 2, 8], [2, 5, 10], 1)
+    assert got["cr_fdh", 10] == (None, "not_necessary") and got["cr_fdh", 90] == (pytest.approx((9 - cut) / slope * 10), "required")
+    steep = spark.createDataFrame([(0.0, 0.0), (2.0, 1.0), (3.0, 10.0)], "x double, y double")
+    assert {(r["ceiling"], r["required"], r["status"]) for r in regression.nca_bottlenecks(steep, "x", "y", (100,)).collect()} == {("ce_fdh", 100.0, "required"), ("cr_fdh", None, "not_attainable")}
+    with pytest.raises(ValueError):
+        regression.nca_bottlenecks(t.filter("x = 0"), "x", "y")
+    with pytest.raises(ValueError):
+        regression.nca_bottlenecks(t.filter("x is null"), "x", "y")
+
+
+def test_exports(spark, tmp_path):
+    t = spark.createDataFrame([(1, 'a,"b"', 0.5), (2, None, None), (3, "<x> & 'y'", 1.0), (3, "two\nlines", 1.0)], "id long, name string, v double")
+    lines = [r["line"] for r in exports.csv_lines(t).collect()]
+    assert lines == ['1,"a,""b""",0.5', "2,,", "3,<x> & 'y',1.0", '3,"two\nlines",1.0']
+    assert [next(csv.reader(io.StringIO(x)))[0] for x in lines] == ["1", "2", "3", "3"]
+    assert exports.html_rows(t).collect()[2]["line"] == "<tr><td>3</td><td>&lt;x&gt; &amp; &#39;y&#39;</td><td>1.0</td></tr>"
+    back = exports.from_arrow_streams(exports.arrow_streams(t), t.schema)
+    assert back.schema == t.schema and sorted(back.collect(), key=repr) == sorted(t.collect(), key=repr)
+    assert exports.from_arrow_streams(exports.arrow_streams(t.limit(0)), t.schema).collect() == []
+    window = lambda df, page: tuple(exports.page_window(df, page).first())
+    assert window(spark.range(120), 3) == window(spark.range(120), 9) == (50, 120, 3, 3, 101, 120)
+    assert window(spark.range(0), 1) == (50, 0, 1, 1, 0, 0) and window(spark.range(50), -1) == (50, 50, 1, 1, 1, 50)
+    with pytest.raises(ValueError):
+        exports.page_window(t, 1, 60)
+
+
+def test_saved_runs_must_agree(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source string, estimate double")
+    for name, manifest in (("one", {"model": "m", "data": "d"}), ("two", {"model": "m", "data": "d"}), ("other", {"model": "m", "data": "e"})):
+        tables.archive(rows.withColumn("estimate", F.col("estimate") * (2 if name == "two" else 1)), f"file://{tmp_path}/{name}", manifest)
+    got = tables.compare_runs(spark, f"file://{tmp_path}/one", f"file://{tmp_path}/two", ["source"]).collect()
+    assert {(r["source"], r["difference"], r["status"]) for r in got} == {("a", 1.0, "both"), ("b", 2.0, "both")}
+    with pytest.raises(tables.ImportFailure):
+        tables.compare_runs(spark, f"file://{tmp_path}/one", f"file://{tmp_path}/other", ["source"])
