@@ -675,6 +675,18 @@ def _(spark, d):
     return _rounded(t.filter("kind in ('path', 'indirect')"), "estimate", "se", "low", "high")
 
 
+@_query("rs_regression_tests")
+def _(spark, d):
+    t = inference.replicated(frames.customers(spark, d), ["q", "n", "gross"], "o_custkey", 100, inference.slopes_of("gross", ["q", "n"]))
+    return _rounded(inference.zero_null(t, 100), "value", "p")
+
+
+@_query("rs_regression_bca")
+def _(spark, d):
+    t, columns, slopes = frames.customers(spark, d), ["q", "n", "gross"], inference.slopes_of("gross", ["q", "n"])
+    return _rounded(inference.bca_intervals(inference.replicated(t, columns, "o_custkey", 100, slopes), inference.jackknifed(t, columns, "o_custkey", slopes)), "low", "high")
+
+
 @_query("rs_mediation")
 def _(spark, d):
     ref, t = resample.bootstrap(frames.customers(spark, d), order_model(), "o_custkey", 200)
@@ -815,6 +827,54 @@ def _(spark, d):
     return _rounded(inference.intervals(t, 40), "value", "se", "low", "high")
 
 
+def _charges(spark, d):
+    """Customers' totals in units that suit the factor VALUE, and its model with a statistic of moments: loadings and their errors."""
+    t = frames.customers(spark, d)
+    m = model({"VALUE": ["gross", "mx", "disc", "tax"]}, [])
+
+    def statistic(x):
+        rows = [r for r in sem.table(sem.estimate(m, x)) if r[0] == "loading"]
+        return {r[2]: r[3] for r in rows} | {r[2] + inference.ERROR: r[4] for r in rows}
+
+    return t.select("o_custkey", *[(F.col(c) / s).alias(c) for c, s in (("gross", 100_000), ("mx", 10_000), ("disc", 10_000), ("tax", 10_000))]), m, statistic
+
+
+@_query("rs_cbsem_stud")
+def _(spark, d):
+    t, m, statistic = _charges(spark, d)
+    return _rounded(inference.bootstrap_t(inference.replicated(t, m.indicators, "o_custkey", 100, statistic), 100), "value", "se", "low", "high")
+
+
+@_query("rs_cbsem_tests")
+def _(spark, d):
+    t, m, statistic = _charges(spark, d)
+    r = inference.replicated(t, m.indicators, "o_custkey", 100, statistic).filter(~F.col("name").endswith(inference.ERROR))
+    return _rounded(inference.zero_null(r, 100), "value", "p")
+
+
+@_query("rs_cbsem_bca")
+def _(spark, d):
+    t, m, statistic = _charges(spark, d)
+    r, j = (x.filter(~F.col("name").endswith(inference.ERROR)) for x in (inference.replicated(t, m.indicators, "o_custkey", 100, statistic), inference.jackknifed(t, m.indicators, "o_custkey", statistic)))
+    return _rounded(inference.bca_intervals(r, j), "low", "high")
+
+
+@_query("cfa_mean", f"""WITH {ORDERS_SQL}, v AS (SELECT 'q' AS indicator, q / 50 AS v FROM f UNION ALL SELECT 'n', n FROM f UNION ALL SELECT 'gross', gross / 10000 FROM f UNION ALL SELECT 'mx', mx / 10000 FROM f UNION ALL SELECT 'disc', disc / 1000 FROM f)
+SELECT indicator, round(avg(v), 4) AS intercept, round(sqrt(var_pop(v) / count(*)), 4) AS se FROM v GROUP BY indicator""")
+def _(spark, d):
+    m = _factors()
+    x = moments(_scaled(spark, d), m.indicators)
+    t = _rows(spark, sem.mean_structure(sem.estimate(m, x), x), "indicator string, intercept double, se double, z double")
+    return t.select("indicator", F.round("intercept", 4).alias("intercept"), F.round("se", 4).alias("se"))
+
+
+@_query("sem_prod_ind", f"""WITH {ORDERS_SQL}, c AS (SELECT l_orderkey, (q - avg(q) OVER ()) AS q, n - avg(n) OVER () AS n, disc - avg(disc) OVER () AS disc FROM f)
+SELECT l_orderkey, round(q * disc - avg(q * disc) OVER (), 2) + 0.0 AS q_by_disc, round(n * disc - avg(n * disc) OVER (), 2) + 0.0 AS n_by_disc FROM c""")
+def _(spark, d):
+    t, names = sem.product_indicators(orders(spark, d), ["q", "n"], ["disc"])
+    return t.select("l_orderkey", *[(F.round(c, 2) + F.lit(0.0)).alias(c) for c in names])
+
+
 def _keyed(spark, d):
     t = orders(spark, d)
     return t.select("l_orderkey", (F.col("q") / 50).alias("q"), "n", *[(F.col(c) / 10_000).alias(c) for c in ("gross", "mx")], (F.col("disc") / 1000).alias("disc"))

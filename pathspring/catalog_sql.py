@@ -309,13 +309,17 @@ def _freedman_lane(permutations: int = 99) -> str:
     return f"{base}, {dealt}, {sums} SELECT 'SIZE' AS source, 'CHARGES' AS target, round(any_value(b_SIZE_CHARGES), 6) AS estimate, round((count(*) FILTER (WHERE abs({beta}) >= abs(b_SIZE_CHARGES)) + 1) / (count(*) + 1), 6) AS p FROM sums, fit"
 
 
+def _replicates(statistics: dict[str, str], replicates: int, m: PathModel) -> str:
+    """CTEs t (k, name, value by replicate) and ref of expressions on correlations."""
+    frame = f"{_drawn(_CUSTOMERS, replicates)}, seen AS MATERIALIZED ({sql.correlations(m, 'o')}), boot AS MATERIALIZED ({sql.correlations(m, 'b', 'times')})"
+    t, ref = (" UNION ALL ".join(f"SELECT k, '{n}' AS name, ({e})::DOUBLE AS value FROM {of}" for n, e in statistics.items()) for of in ("boot", "seen"))
+    return f"{frame}, t AS ({t}), ref AS ({ref})"
+
+
 def _intervals(statistics: dict[str, str], replicates: int, correlated: PathModel | None = None) -> str:
     """Percentile intervals of expressions on correlations."""
-    m = correlated or _M
-    frame = f"{_drawn(_CUSTOMERS, replicates)}, seen AS MATERIALIZED ({sql.correlations(m, 'o')}), boot AS MATERIALIZED ({sql.correlations(m, 'b', 'times')})"
-    t, ref = (" UNION ALL ".join(f"SELECT '{n}' AS name, ({e})::DOUBLE AS value FROM {of}" for n, e in statistics.items()) for of in ("boot", "seen"))
     inner = "SELECT name, any_value(ref.value) AS value, stddev_samp(t.value) AS se, quantile_cont(t.value, 0.025) AS low, quantile_cont(t.value, 0.975) AS high, count(*) AS usable FROM t JOIN ref USING (name) GROUP BY name"
-    return f"{frame}, t AS ({t}), ref AS ({ref}) SELECT name, round(value, 6) AS value, {_shown((('se', 'se'), ('low', 'low'), ('high', 'high')), replicates)} FROM ({inner})"
+    return f"{_replicates(statistics, replicates, correlated or _M)} SELECT name, round(value, 6) AS value, {_shown((('se', 'se'), ('low', 'low'), ('high', 'high')), replicates)} FROM ({inner})"
 
 
 def _htmt_boot() -> str:
@@ -327,19 +331,55 @@ def _htmt_boot() -> str:
     return _intervals(out, 100)
 
 
-def _regression_boot() -> str:
-    m = model({"A": ["q", "n", "gross"]}, [])
+_SLOPED = model({"A": ["q", "n", "gross"]}, [])
+
+
+def _slopes() -> dict[str, str]:
+    """Slopes of gross on q and n."""
     r, s, t = sql._r("q", "n"), sql._r("q", "gross"), sql._r("n", "gross")
-    return _intervals({"q": f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", "n": f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"}, 100, m)
+    return {"q": f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", "n": f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"}
+
+
+def _regression_boot() -> str:
+    return _intervals(_slopes(), 100, _SLOPED)
+
+
+def _regression_tests() -> str:
+    p = "(count(*) FILTER (WHERE abs(t.value - ref.value) >= abs(ref.value)) + 1) / (count(*) + 1)"
+    return f"{_replicates(_slopes(), 100, _SLOPED)} SELECT name, round(any_value(ref.value), 6) AS value, round({p}, 6) AS p, count(*) AS usable, 'ok' AS status FROM t JOIN ref USING (name) GROUP BY name"
+
+
+def _bca(keys: str, value: str) -> str:
+    """CTEs that lead from t, ref and tj (the jackknife's rows) to bounded: keys, low, high. The normal quantile of the share below is found by halving."""
+    cdf = lambda z: f"(SELECT CASE WHEN zz < 0 THEN p / 2 ELSE 1 - p / 2 END FROM (SELECT {z} AS zz, {normal_p(z)} AS p))"
+    mid = "(lo + hi) / 2"
+    share = f"share AS MATERIALIZED (SELECT {keys}, count(*) AS b, avg(CASE WHEN abs(t.{value} - ref.{value}) <= 1e-14 THEN 0.5 WHEN t.{value} < ref.{value} THEN 1.0 ELSE 0.0 END) AS below, list_sort(list(t.{value})) AS sorted FROM t JOIN ref USING ({keys}) GROUP BY {keys})"
+    half = f"half AS (SELECT {keys}, least(greatest(below, 0.5 / b), 1 - 0.5 / b) AS below, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS i FROM share UNION ALL SELECT {keys}, below, CASE WHEN {cdf(mid)} < below THEN {mid} ELSE lo END, CASE WHEN {cdf(mid)} < below THEN hi ELSE {mid} END, i + 1 FROM half WHERE i < 55)"
+    centred = f"SELECT *, {value} - avg({value}) OVER (PARTITION BY {keys}) AS dev FROM tj"
+    skew = f"skew AS (SELECT {keys}, -sum(pow(dev, 3)) / (6 * pow(sum(dev * dev), 1.5)) AS acc FROM ({centred}) GROUP BY {keys})"
+    level = lambda z: cdf(f"z0 + (z0 + {z}) / (1 - acc * (z0 + {z}))")
+    at = lambda p: f"sorted[floor((b - 1) * {p})::INT + 1] + ((b - 1) * {p} - floor((b - 1) * {p})) * (sorted[least(floor((b - 1) * {p})::INT + 2, b)] - sorted[floor((b - 1) * {p})::INT + 1])"
+    levels = f"levels AS (SELECT {keys}, b, sorted, {level('-1.959963984540054')} AS p0, {level('1.959963984540054')} AS p1 FROM (SELECT *, (lo + hi) / 2 AS z0 FROM half WHERE i = 55) JOIN skew USING ({keys}) JOIN share USING ({keys}))"
+    return f"{share}, {half}, {skew}, {levels}, bounded AS (SELECT {keys}, round({at('p0')}, 6) AS low, round({at('p1')}, 6) AS high FROM levels)"
+
+
+_LEFT_OUT = "bj AS (SELECT x.o_custkey AS k, y.* FROM c x JOIN c y ON x.o_custkey <> y.o_custkey)"
+
+
+def _path_bca() -> str:
+    jack = f"{_LEFT_OUT}, {sql.fitted(_M, 'bj', 'jack')}, alj AS MATERIALIZED ({_aligned(_M, 'jack')}), tj AS ({_long(_M, 'alj', ('path',))})"
+    return f"{_bootstrap(_M, 200, ('path',))}, {jack}, {_bca('kind, source, target', 'estimate')} SELECT * FROM bounded"
+
+
+def _regression_bca() -> str:
+    tj = " UNION ALL ".join(f"SELECT '{n}' AS name, ({e})::DOUBLE AS value FROM left_out" for n, e in _slopes().items())
+    return f"{_replicates(_slopes(), 100, _SLOPED)}, {_LEFT_OUT}, left_out AS MATERIALIZED ({sql.correlations(_SLOPED, 'bj')}), tj AS ({tj}), {_bca('name', 'value')} SELECT * FROM bounded"
 
 
 def _process_boot() -> str:
-    m = model({"A": ["q", "n", "gross"]}, [])
-    r, s, t = sql._r("q", "n"), sql._r("q", "gross"), sql._r("n", "gross")
-    first = f"{r} * sd_n / sd_q"
-    direct, second = f"({s} - {r} * {t}) / (1 - {r} * {r}) * sd_gross / sd_q", f"({t} - {r} * {s}) / (1 - {r} * {r}) * sd_gross / sd_n"
-    whole = {"q > n": first, "q > gross": direct, "n > gross": second, "q > n > gross": f"{first} * {second}", "total q > gross": f"{direct} + {first} * {second}"}
-    return _intervals(whole, 200, m)
+    slope, first = _slopes(), f"{sql._r('q', 'n')} * sd_n / sd_q"
+    whole = {"q > n": first, "q > gross": slope["q"], "n > gross": slope["n"], "q > n > gross": f"{first} * {slope['n']}", "total q > gross": f"{slope['q']} + {first} * {slope['n']}"}
+    return _intervals(whole, 200, _SLOPED)
 
 
 def _studentized(replicates: int = 39, inner: int = 19) -> str:
@@ -484,6 +524,9 @@ SQL = {
     "rs_jackknife": _jackknife(),
     "rs_htmt_boot": _htmt_boot(),
     "rs_regression": _regression_boot(),
+    "rs_regression_tests": _regression_tests(),
+    "rs_regression_bca": _regression_bca(),
+    "rs_bca": _path_bca(),
     "rs_process": _process_boot(),
     "rs_studentized": _studentized(),
     "mga_permutation": _groups(100),

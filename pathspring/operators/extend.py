@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathspring.functions import dist
-from pathspring.operators import pls
+from pathspring.operators import assess, pls
 from pathspring.operators.moments import Moments, moments, moments_by, shift_of, unpack
 from pathspring.operators.resample import fold_plan, shuffled
 from pathspring.plans.model import Construct, ModelError, PathModel
@@ -257,6 +257,8 @@ def _rules(model: PathModel, m: Moments, target: str, xs: list[str], ys: list[st
 def gsca(df: DataFrame, model: PathModel, tolerance: float = 1e-9, most: int = 2000) -> DataFrame:
     """kind, source, target, estimate: components that minimise measurement and structural residuals together.
 
+    Fit: FIT, AFIT (FIT for the number of weights, loadings and paths), and GFI and SRMR
+    of the indicators' correlations against those that loadings and paths imply.
     Alternating least squares on correlations: loadings and paths given weights,
     then each component's weights given the others, scaled to unit variance.
     """
@@ -315,7 +317,16 @@ def gsca(df: DataFrame, model: PathModel, tolerance: float = 1e-9, most: int = 2
         before = now
     measured = sum(len(c.indicators) for c in model.constructs if c.mode == "A")
     terms = measured + int(sum(a[:, j].any() for j in range(k)))
-    rows = [("fit", "model", "FIT", 1 - now / terms)]
+    load, b = regressions()
+    own = np.zeros((p, k))
+    for j, con in enumerate(model.constructs):
+        own[model.block(con.name), j] = (r @ w)[model.block(con.name), j]
+    _, r2 = pls.structural(model, w.T @ r @ w)
+    implied = assess.implied_indicators(pls.Fit(model, m, r, w, w.T @ r @ w, own, b, r2, 0, np.ones(k)), True)
+    free = p + measured + len(model.paths)
+    fit, low = 1 - now / terms, np.tril_indices(p, -1)
+    stats = {"FIT": fit, "AFIT": 1 - (1 - fit) * m.n * p / (m.n * p - free), "GFI": 1 - ((r - implied) ** 2).sum() / (r**2).sum(), "SRMR": math.sqrt(((r - implied)[low] ** 2).mean())}
+    rows = [("fit", "model", x, float(v)) for x, v in stats.items()]
     rows += [("path", x, y, float(b[names.index(x), names.index(y)])) for x, y in model.paths]
     for j, con in enumerate(model.constructs):
         for i, x in zip(model.block(con.name), con.indicators):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pathspring.functions import dist
 from pathspring.operators import assess, pls, regression
 from pathspring.operators.moments import Moments, moments, moments_by, shift_of, unpack
-from pathspring.operators.resample import bootstrap_plan, positioned, shuffled
+from pathspring.operators.resample import bca_table, bootstrap_plan, positioned, shuffled
 from pathspring.plans.model import ModelError, PathModel
 
 
@@ -48,6 +48,59 @@ def intervals(t: DataFrame, replicates: int, level: float = 0.95) -> DataFrame:
     return g.select("name", "value", *[F.when(ok, F.col(c)).alias(c) for c in ("se", "low", "high")], "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
 
 
+def jackknifed(df: DataFrame, columns: list[str], key: str, statistic: Callable[[Moments], dict[str, float]]) -> DataFrame:
+    """key, name, value: a statistic of the moments without each row in turn, which are the whole less the row's."""
+    full, names = df.dropna(subset=columns), tuple(columns)
+    whole = moments(full, columns)
+
+    def solve(frames):
+        for pdf in frames:
+            out = []
+            for left_out, *x in pdf.itertuples(index=False):
+                one = Moments(names, 1, 1.0, np.asarray(x, dtype=float), np.zeros((len(names),) * 2))
+                try:
+                    out += [(str(left_out), k, float(v)) for k, v in statistic(whole.minus(one)).items()]
+                except (ModelError, ValueError, np.linalg.LinAlgError):
+                    continue
+            yield pd.DataFrame(out, columns=["key", "name", "value"])
+
+    return full.select(key, *[F.col(c).cast("double") for c in columns]).mapInPandas(solve, "key string, name string, value double")
+
+
+def bca_intervals(t: DataFrame, jack: DataFrame, level: float = 0.95) -> DataFrame:
+    """name, low, high: bias-corrected and accelerated bounds of replicated() with jackknifed(); null where nothing varies."""
+    tidy = lambda d: d.select(F.lit("value").alias("kind"), F.col("name").alias("source"), F.lit("").alias("target"), F.col("value").alias("estimate"))
+    return bca_table(tidy(t.filter("rep >= 0")), tidy(jack), tidy(t.filter("rep = -1")), level).select(F.col("source").alias("name"), "low", "high")
+
+
+def zero_null(t: DataFrame, replicates: int) -> DataFrame:
+    """name, value, p, usable, status: replicated() moved to zero, p = (as far from zero as the estimate + 1) / (usable + 1)."""
+    seen = t.filter("rep = -1").select("name", F.col("value").alias("seen"))
+    far = F.abs(F.col("value") - F.col("seen")) >= F.abs(F.col("seen"))
+    g = t.filter("rep >= 0").join(F.broadcast(seen), "name").groupBy("name").agg(F.first("seen").alias("value"), ((F.count_if(far) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("usable"))
+    ok = F.col("usable") >= max(2, math.ceil(0.9 * replicates))
+    return g.select("name", "value", F.when(ok, F.col("p")).alias("p"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
+
+
+ERROR = " se"
+
+
+def bootstrap_t(t: DataFrame, replicates: int, level: float = 0.95) -> DataFrame:
+    """name, value, se, low, high, usable, status: bounds from replicates' distances over their own analytic errors.
+
+    t is replicated() of a statistic that gives, beside each name, its standard error
+    under the name followed by " se"; quantiles are those of type 7.
+    """
+    a, name = (1 - level) / 2, F.regexp_replace("name", f"{ERROR}$", "")
+    own = t.filter(F.col("name").endswith(ERROR)).select("rep", name.alias("name"), F.col("value").alias("se"))
+    both = t.join(own, ["rep", "name"]).filter(F.col("se") > 0)
+    seen = both.filter("rep = -1").select("name", F.col("value").alias("v"), F.col("se").alias("s"))
+    z = (F.col("value") - F.col("v")) / F.col("se")
+    g = both.filter("rep >= 0").join(F.broadcast(seen), "name").groupBy("name").agg(F.first("v").alias("value"), F.first("s").alias("se"), F.percentile(z, F.lit(a)).alias("z0"), F.percentile(z, F.lit(1 - a)).alias("z1"), F.count("*").alias("usable"))
+    ok = F.col("usable") >= max(2, math.ceil(0.9 * replicates))
+    return g.select("name", "value", "se", F.when(ok, F.col("value") - F.col("z1") * F.col("se")).alias("low"), F.when(ok, F.col("value") - F.col("z0") * F.col("se")).alias("high"), "usable", F.when(ok, "ok").otherwise("too_few_usable").alias("status"))
+
+
 def htmt_of(model: PathModel) -> Callable[[Moments], dict[str, float]]:
     return lambda m: {f"{a}~{b}": v for a, b, v, _ in assess.htmt(pls.fit(model, m)) if v is not None}
 

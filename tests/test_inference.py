@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathspring.functions import dist
-from pathspring.operators import assess, extend, inference, pls, regression, resample
+from pathspring.operators import assess, extend, inference, pls, regression, resample, sem
 from pathspring.operators.moments import Moments, moments
-from pathspring.plans.model import ModelError
+from pathspring.plans.model import ModelError, model
 from pathspring.sources import exports, tables
 from tests.test_core import MEDIATED, by_rows, sample
 
@@ -250,3 +250,159 @@ def test_saved_runs_must_agree(spark, tmp_path):
     assert {(r["source"], r["difference"], r["status"]) for r in got} == {("a", 1.0, "both"), ("b", 2.0, "both")}
     with pytest.raises(tables.ImportFailure):
         tables.compare_runs(spark, f"file://{tmp_path}/one", f"file://{tmp_path}/other", ["source"])
+
+
+def test_left_out_rows_and_analytic_errors(rows):
+    df, pdf = rows
+    columns, slope = ["x1", "x2", "y1"], inference.slopes_of("y1", ["x1", "x2"])
+
+    def ols(x):
+        m = np.column_stack([np.ones(len(x)), x[:, :2]])
+        b = np.linalg.lstsq(m, x[:, 2], rcond=None)[0]
+        s2 = ((x[:, 2] - m @ b) ** 2).sum() / (len(x) - 3)
+        return b[1], math.sqrt(s2 * np.linalg.inv(m.T @ m)[1, 1])
+
+    def statistic(m):
+        s, n = m.of(columns).cov(), m.weight
+        b = np.linalg.solve(s[:2, :2], s[:2, 2])
+        s2 = (s[2, 2] - b @ s[:2, 2]) * (n - 1) / (n - 3)
+        return {"x1": b[0], "x1 se": math.sqrt(s2 * np.linalg.inv(s[:2, :2] * (n - 1))[0, 0])}
+
+    jack = {int(r["key"]): r["value"] for r in inference.jackknifed(df, columns, "id", slope).filter("name = 'x1'").collect()}
+    x = pdf[columns].to_numpy()
+    assert len(jack) == len(x) and jack[17] == pytest.approx(ols(np.delete(x, 17, 0))[0], rel=1e-9)
+    t = inference.replicated(df, columns, "id", 40, statistic)
+    place = {r["pos"]: r["id"] for r in resample.positioned(df.select("id"), "id").collect()}
+    plan = resample.bootstrap_plan(df.sparkSession, len(x), 40).toPandas()
+    each = []
+    for rep in range(40):
+        p = plan[plan.rep == rep]
+        each.append(ols(np.repeat(x[[place[i] for i in p.pos]], p.times, axis=0)))
+    each, (b, se) = np.array(each), ols(x)
+    z = (each[:, 0] - b) / each[:, 1]
+    got = inference.bootstrap_t(t, 40).first()
+    assert (got["name"], got["value"], got["se"], got["usable"]) == ("x1", pytest.approx(b), pytest.approx(se), 40)
+    assert (got["low"], got["high"]) == (pytest.approx(b - np.quantile(z, 0.975) * se, rel=1e-6), pytest.approx(b - np.quantile(z, 0.025) * se, rel=1e-6))
+    null = inference.zero_null(t.filter("name = 'x1'"), 40).first()
+    assert null["p"] == pytest.approx(((abs(each[:, 0] - b) >= abs(b)).sum() + 1) / 41)
+
+
+def discrepancy(s, sigma):
+    return np.linalg.slogdet(sigma)[1] + np.trace(np.linalg.solve(sigma, s)) - np.linalg.slogdet(s)[1] - len(s)
+
+
+TWO = model({"X": ["x1", "x2", "x3"], "Y": ["y1", "y2", "y3"]}, [("X", "Y")])
+
+
+def sigma_of(v, cross):
+    """Two factors with markers; cross is the loading of y2 on X."""
+    l2, l3, m2, m3, b, px, py, *theta = v
+    load = np.array([[1, 0], [l2, 0], [l3, 0], [0, 1], [cross, m2], [0, m3]])
+    a = np.array([[px, b * px], [b * px, b * b * px + py]])
+    return load @ a @ load.T + np.diag(theta)
+
+
+def test_score_statistic_from_differences(rows):
+    _, pdf = rows
+    m = of_rows(pdf, TWO.indicators)
+    f = sem.estimate(TWO, m)
+    v = np.array([*f.estimates, 0.0])
+    assert np.allclose(sigma_of(v[:-1], 0.0), f.sigma, atol=1e-9)
+    value = lambda s: lambda x: discrepancy(s, sigma_of(x[:-1], x[-1]))
+    h, eye = 1e-4, np.eye(len(v))
+    grad = np.array([(value(f.s)(v + h * e) - value(f.s)(v - h * e)) / (2 * h) for e in eye])
+    assert np.abs(grad[:-1]).max() < 1e-5
+    at = value(f.sigma)  # at its own covariances the second derivatives are twice the expected information
+    info = np.array([[(at(v + h * (a + b)) - at(v + h * (a - b)) - at(v - h * (a - b)) + at(v - h * (a + b))) / (4 * h * h) for b in eye] for a in eye]) * f.n / 2
+    score = -grad * f.n / 2
+    want = score[-1] ** 2 / (info[-1, -1] - info[-1, :-1] @ np.linalg.solve(info[:-1, :-1], info[:-1, -1]))
+    stat, p = sem.score_test(f, sem.Parameter("loading", 4, 0))
+    assert stat == pytest.approx(want, rel=1e-3) and 0 <= p <= 1
+    d = np.sqrt(np.diag(f.s))
+    seen = {frozenset(x[:2]): x[2] for x in sem.modification_screen(f)}
+    assert len(seen) == 15 and seen[frozenset(("x1", "y2"))] == pytest.approx(f.n * ((f.s - f.sigma)[0, 4] / (d[0] * d[4])) ** 2)
+
+
+def test_groups_with_equal_loadings(rows):
+    _, pdf = rows
+    whole = of_rows(pdf, TWO.indicators)
+    one = sem.estimate(TWO, whole)
+    chi0, df0, chi1, df1 = sem.two_groups(TWO, whole, whole)
+    assert chi0 == pytest.approx(2 * one.n * one.f) and chi1 == pytest.approx(chi0, abs=1e-6) and (df0, df1) == (16, 20)
+    other = pdf.assign(y3=pdf.y3 * 2)
+    chi0, _, chi1, _ = sem.two_groups(TWO, whole, of_rows(other, TWO.indicators))
+    assert chi0 == pytest.approx(2 * one.n * one.f, rel=1e-6) and chi1 > chi0 + 10
+
+
+def test_intercepts(rows):
+    _, pdf = rows
+    m = of_rows(pdf, TWO.indicators)
+    f = sem.estimate(TWO, m)
+    got = {x: (a, e) for x, a, e, _ in sem.mean_structure(f, m)}
+    assert got["x2"] == (pytest.approx(pdf.x2.mean()), pytest.approx(pdf.x2.std(ddof=0) / math.sqrt(len(pdf)), rel=1e-6))
+    same = sem.fixed_intercepts(TWO, m, dict(zip(m.names, m.mean)))
+    assert same.f == pytest.approx(f.f, abs=1e-10)
+    moved = sem.fixed_intercepts(TWO, m, {x: v + 0.3 * (x == "x2") for x, v in zip(m.names, m.mean)})
+    d = np.array([-0.3 * (x == "x2") for x in m.names])
+    full = lambda g: np.linalg.slogdet(g.sigma)[1] + np.trace(np.linalg.solve(g.sigma, f.s)) + d @ np.linalg.solve(g.sigma, d)
+    assert full(moved) < full(f)
+    with pytest.raises(ModelError):
+        sem.fixed_intercepts(TWO, m, {"x1": 0.0})
+
+
+def test_products_of_indicators(spark):
+    rng = np.random.default_rng(8)
+    n = 4000
+    x, z = rng.standard_normal((2, n))
+    y = 0.4 * x + 0.3 * z + 0.35 * x * z + 0.6 * rng.standard_normal(n)
+    pdf = pd.DataFrame({f"{k}{i}": f + 0.4 * rng.standard_normal(n) for k, f in (("x", x), ("z", z), ("y", y)) for i in (1, 2)})
+    df, names = sem.product_indicators(spark.createDataFrame(pdf), ["x1", "x2"], ["z1", "z2"])
+    got = df.toPandas()
+    c = pdf - pdf.mean()
+    assert names == ["x1_by_z1", "x1_by_z2", "x2_by_z1", "x2_by_z2"] and np.allclose(got["x2_by_z1"].sort_values(), (c.x2 * c.z1 - (c.x2 * c.z1).mean()).sort_values())
+    m = model({"X": ["x1", "x2"], "Z": ["z1", "z2"], "XZ": names, "Y": ["y1", "y2"]}, [("X", "Y"), ("Z", "Y"), ("XZ", "Y")])
+    f = sem.estimate(m, of_rows(got, m.indicators), sem.parameters(m) + sem.shared_errors(["x1", "x2"], ["z1", "z2"], m))
+    paths = {r[2]: r[3] for r in sem.table(f) if r[0] == "path"}
+    assert paths == pytest.approx({"X": 0.4, "Z": 0.3, "XZ": 0.35}, abs=0.06)
+    plain, _ = sem.product_indicators(spark.createDataFrame(pdf), ["x1"], ["z1"], "none")
+    assert np.allclose(plain.toPandas()["x1_by_z1"].sort_values(), (pdf.x1 * pdf.z1).sort_values())
+    with pytest.raises(ModelError):
+        sem.product_indicators(df, ["x1"], ["z1"])
+
+
+def test_components_are_a_minimum(rows):
+    df, pdf = rows
+    t = {(r["kind"], r["source"], r["target"]): r["estimate"] for r in extend.gsca(df, MEDIATED).collect()}
+    z = ((pdf[MEDIATED.indicators] - pdf[MEDIATED.indicators].mean()) / pdf[MEDIATED.indicators].std(ddof=0)).to_numpy()
+    names = MEDIATED.names
+    w = np.array([[t.get(("weight", c, x), 0.0) for c in names] for x in MEDIATED.indicators])
+
+    def loss(w):
+        s = z @ w
+        s = s / np.sqrt((s**2).mean(0))
+        out = 0.0
+        for j, c in enumerate(names):
+            load = z[:, MEDIATED.block(c)].T @ s[:, j] / len(z)
+            out += ((z[:, MEDIATED.block(c)] - np.outer(s[:, j], load)) ** 2).sum()
+            before = [names.index(a) for a, b in MEDIATED.paths if b == c]
+            if before:
+                out += ((s[:, j] - s[:, before] @ np.linalg.lstsq(s[:, before], s[:, j], rcond=None)[0]) ** 2).sum()
+        return out / len(z)
+
+    least = loss(w)
+    assert t["fit", "model", "FIT"] == pytest.approx(1 - least / 11, abs=1e-8)
+    assert t["fit", "model", "AFIT"] == pytest.approx(1 - (least / 11) * (300 * 9) / (300 * 9 - 21), abs=1e-8)
+    rng = np.random.default_rng(1)
+    assert all(loss(w + 0.02 * rng.standard_normal(w.shape) * (w != 0)) > least - 1e-9 for _ in range(50))
+    s = z @ w
+    implied = np.eye(9)
+    c = np.corrcoef(s.T)  # all paths between three components: the implied correlations are those seen
+    load = z.T @ s / len(z)
+    own = [next(j for j in range(3) if i in MEDIATED.block(names[j])) for i in range(9)]
+    for i in range(9):
+        for k in range(9):
+            if i != k:
+                implied[i, k] = load[i, own[i]] * load[k, own[k]] * c[own[i], own[k]]
+    r = np.corrcoef(z.T)
+    assert t["fit", "model", "GFI"] == pytest.approx(1 - ((r - implied) ** 2).sum() / (r**2).sum(), abs=1e-6)
+    assert t["fit", "model", "SRMR"] == pytest.approx(math.sqrt(((r - implied)[np.tril_indices(9, -1)] ** 2).mean()), abs=1e-6)
