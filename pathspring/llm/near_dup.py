@@ -3,9 +3,10 @@
 1. Each text becomes its set of shingle fingerprints. Texts with equal sets (by a
    BLAKE2b digest over 128 bits for each shingle) are one class; the smallest doc_id
    stands for it.
-2. ``BANDS * ROWS`` minima make the band keys; ``BITS`` low bits of all minima are
-   packed as the signature. At similarity 0.85 a pair shares no band with
-   probability (1 - 0.85**6)**28 < 2e-6.
+2. Bands of ``ROWS`` minima make the band keys, as many as the threshold asks for
+   (``bands``: 28 at 0.85, 44 at 0.8), so that a pair at the threshold shares no band
+   with probability ``MISSED`` at most. ``BITS`` low bits of ``SIGNED`` minima are
+   packed as the signature.
 3. Classes that meet in a band are tied to the smallest of that band bucket; the
    components of these ties are candidate clusters. No bucket is ever enumerated.
 4. A unit of work is ``BLOCK`` or two times ``BLOCK`` classes of a cluster. It
@@ -22,7 +23,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,9 @@ from pathspring.llm._store import arrow, discard, written
 from pathspring.llm._words import SPACED_LOWER, U64, Words, grams, mix, sequences, slices
 
 SHINGLE = 5
-BANDS, ROWS = 28, 6
+ROWS = 6
+SIGNED = 168
+MISSED = 2e-6
 BITS = 4
 BLOCK = 256
 STARS = 3
@@ -44,7 +49,18 @@ TOGETHER = 1 << 20
 SLACK = 0.18
 """Distance under the threshold at which an estimate is still confirmed: over five standard errors of 168 minima."""
 
-_MULTIPLIERS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) + U64(0xABCDEF)) | U64(1)).astype(np.uint32) | np.uint32(1)
+
+def bands(threshold: float) -> int:
+    """The fewest bands with which a pair at the threshold shares none with probability ``MISSED`` at most, and those that the signature needs at least."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and not above 1")
+    least = SIGNED // ROWS
+    return least if threshold == 1 else max(least, math.ceil(math.log(MISSED) / math.log1p(-(threshold**ROWS))))
+
+
+@functools.cache
+def _multipliers(count: int) -> np.ndarray:
+    return (mix(np.arange(1, count + 1, dtype=U64) + U64(0xABCDEF)) | U64(1)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[tuple[np.ndarray, bytes]]:
@@ -78,30 +94,31 @@ def exact_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def minima(values: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of multiplied 32-bit fingerprints."""
-    low = (values >> U64(32)).astype(np.uint32)
-    least = np.full(len(_MULTIPLIERS), 0xFFFFFFFF, dtype=np.uint32)
+def minima(values: np.ndarray, count: int = SIGNED) -> np.ndarray:
+    """count minima of multiplied 32-bit fingerprints."""
+    low, by = (values >> U64(32)).astype(np.uint32), _multipliers(count)
+    least = np.full(count, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(low), 2048):
-        x = low[None, at : at + 2048] * _MULTIPLIERS[:, None]
+        x = low[None, at : at + 2048] * by[:, None]
         x ^= x >> np.uint32(15)
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
 
 def _band_keys(least: np.ndarray) -> np.ndarray:
-    key = np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15)
+    each = least.reshape(-1, ROWS)
+    key = np.arange(len(each), dtype=U64) * U64(0x9E3779B97F4A7C15)
     for j in range(ROWS):
-        key = mix(key + least.reshape(BANDS, ROWS)[:, j].astype(U64))
+        key = mix(key + each[:, j].astype(U64))
     return key
 
 
 def _signature(least: np.ndarray) -> bytes:
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint8)
+    low = (least[:SIGNED] & np.uint32((1 << BITS) - 1)).astype(np.uint8)
     return (low[0::2] | (low[1::2] << BITS)).tobytes() if BITS == 4 else low.tobytes()
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, count: int):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -110,7 +127,7 @@ def _fingerprints(shingle: int):
                 for (values, digest), text in zip(shingle_sets(part.column("text"), shingle), part.column("text")):
                     rows["n"].append(len(values))
                     h1, h2 = np.frombuffer(digest, dtype=np.int64).tolist()
-                    least = minima(values)
+                    least = minima(values, count * ROWS)
                     rows["h1"].append(h1)
                     rows["h2"].append(h2)
                     rows["bands"].append(_band_keys(least).view(np.int64) if len(values) else None)
@@ -332,14 +349,15 @@ def link_documents(docs: DataFrame, numerator: int = 80, denominator: int = 100,
     columns are ignored; an empty table gives no rows.
     """
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    prints = written(t.transform(arrow(_fingerprints(shingle), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
+    count = bands(numerator / denominator)
+    prints = written(t.transform(arrow(_fingerprints(shingle, count), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary, packed binary")), "fingerprints")
     full = prints.filter("n > 0 and doc_id is not null")
     classes = written(full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sig", "copies"), "classes")
     documents = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
 
     keys = classes.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("weight")).filter("v < most").select("key", "v", "weight")
-    ties = joined(keys, written(least, "shared-keys"), ["key"], "weight", BANDS * documents["classes"]).filter("node <> v").select(F.col("node").alias("u"), "v")
+    ties = joined(keys, written(least, "shared-keys"), ["key"], "weight", count * documents["classes"]).filter("node <> v").select(F.col("node").alias("u"), "v")
     clusters = written(components(ties).select("node", F.col("component").alias("cluster")), "clusters")
 
     counts = written(clusters.groupBy("cluster").agg(F.count("*").alias("k")), "cluster-sizes")

@@ -122,6 +122,29 @@ def test_components_with_hot_nodes(spark, monkeypatch, few):
     assert got == {n: c for n, c in up.items() if n != 7 or c != 7 or any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_bands_follow_the_threshold():
+    missed = lambda t, n: (1 - t**near_dup.ROWS) ** n
+    assert near_dup.bands(0.85) == 28 and near_dup.bands(0.8) == 44 and near_dup.bands(1.0) == 28
+    for t in (0.6, 0.7, 0.8, 0.85):
+        assert missed(t, near_dup.bands(t)) <= near_dup.MISSED < missed(t, near_dup.bands(t) - 1)
+    for t in (0.0, 1.2):
+        with pytest.raises(ValueError):
+            near_dup.bands(t)
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """300 pairs of texts whose sets of shingles share 80 to 81 in 100; 0.8 is the stage's threshold."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        other = words[:93] + [f"v{rng.randrange(10**6)}" for _ in range(11)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert 100 * 89 >= 80 * (200 - 89)
+    got = near_dup.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(600)}
+
+
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     rng = random.Random(5)
