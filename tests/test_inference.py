@@ -4,6 +4,7 @@ import csv
 import hashlib
 import io
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -323,6 +324,19 @@ def test_score_statistic_from_differences(rows):
     assert len(seen) == 15 and seen[frozenset(("x1", "y2"))] == pytest.approx(f.n * ((f.s - f.sigma)[0, 4] / (d[0] * d[4])) ** 2)
 
 
+def test_fit_of_a_matrix_of_millions_of_cases(rows):
+    _, pdf = rows
+    m = of_rows(pdf, TWO.indicators)
+    began = time.process_time()
+    f = sem.estimate(TWO, tables.matrix_moments(m.names, m.cov(), 9_000_000))
+    stats = {s: v for s, v, _ in sem.fit_statistics(f)}
+    assert time.process_time() - began < 20  # the interval alone took minutes
+    assert stats["chi2"] > 10_000 and stats["rmsea_low"] < stats["rmsea"] < stats["rmsea_high"]
+    for side, p in (("rmsea_low", 0.95), ("rmsea_high", 0.05)):
+        nc = stats[side] ** 2 * stats["df"] * (9_000_000 - 1)
+        assert dist.ncx2_cdf(stats["chi2"], stats["df"], nc) == pytest.approx(p, abs=1e-6)
+
+
 def test_groups_with_equal_loadings(rows):
     _, pdf = rows
     whole = of_rows(pdf, TWO.indicators)
