@@ -18,11 +18,12 @@ from pathspring.llm._words import SLICE, U64, slices, text_bytes
 CHUNK = 4 << 20
 
 
-def chunked(text_col: str, ids: str | None = None, limit: int = CHUNK, level: int = 1):
-    """For mapInArrow: chunk (a random number), packed (the rows) and, if asked for, ids (that column's values)."""
+def chunked(text_col: str, ids: str | None = None, limit: int = CHUNK, level: int = 1, far: bool = False):
+    """For mapInArrow: chunk (a random number), packed (the rows) and, if asked for, ids (that column's values). Far: repeats are looked for in the whole chunk."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=level)
+        whole = {"compression_params": zstandard.ZstdCompressionParameters.from_level(level, enable_ldm=True, window_log=24)}
+        pack = zstandard.ZstdCompressor(**(whole if far else {"level": level}))
 
         def out(held):
             sink = pa.BufferOutputStream()
@@ -72,6 +73,21 @@ def unpack_keys(data, n: int) -> np.ndarray:
     return np.cumsum(from_planes(data, U64, n), dtype=U64)
 
 
+def pack_some(values: np.ndarray) -> bytes:
+    """Floats of which many are NaN: how many, which of them are numbers, and those."""
+    known = ~np.isnan(values)
+    return np.array([len(values)], "<u4").tobytes() + np.packbits(known).tobytes() + planes(values[known])
+
+
+def unpack_some(data, kind, at: int = 0) -> tuple[np.ndarray, int]:
+    """The floats that pack_some packed at that place, and where they end."""
+    n = int(np.frombuffer(data, "<u4", 1, at)[0])
+    known = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at + 4), count=n).astype(bool)
+    values, at = np.full(n, np.nan, dtype=kind), at + 4 + (n + 7) // 8
+    values[known] = from_planes(data, kind, int(known.sum()), at)
+    return values, at + int(known.sum()) * values.itemsize
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each key; it grows with the key."""
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
@@ -81,3 +97,11 @@ def in_order(batches, columns):
     """Rows of all batches, as tuples."""
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def bits(batches):
+    """For mapInArrow: chunk and target, a bit for each of a chunk's rows up to the last one that is in places."""
+    for name, places in in_order(batches, ("chunk", "places")):
+        marks = np.zeros(max(places) + 1, dtype=np.uint8)
+        marks[places] = 1
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([name], pa.int64()), "target": [np.packbits(marks).tobytes()]})

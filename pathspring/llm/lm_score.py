@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathspring.llm._chunks import bucket_of, chunked, from_planes, in_order, pack_keys, planes, rows_of, unpack_keys
+from pathspring.llm._chunks import bits, bucket_of, chunked, from_planes, in_order, pack_keys, planes, rows_of, unpack_keys
 from pathspring.llm._store import arrow, shuffle_partitions, written
 from pathspring.llm._words import SPACED_LOWER, U64, Words, mix
 
@@ -66,8 +66,8 @@ class _Chunk:
     def sums(self, target: bytes | None):
         """Counts of the keys in this chunk, each in all rows and in those with a bit in target: of words, of contexts, and of bigrams."""
         chosen = np.zeros(len(self.counts), dtype=bool)
-        bits = np.unpackbits(np.frombuffer(target or b"", np.uint8))[: len(chosen)]
-        chosen[: len(bits)] = bits
+        marks = np.unpackbits(np.frombuffer(target or b"", np.uint8))[: len(chosen)]
+        chosen[: len(marks)] = marks
         flags = np.repeat(chosen, self.counts)
         count = lambda at, n: [np.bincount(x, minlength=n).astype(np.uint32) for x in (at, at[flags])]
         return [*count(self.word, len(self.words)), *count(self.before, len(self.words))], count(self.pair, len(self.pairs))
@@ -76,10 +76,10 @@ class _Chunk:
 def _send(buckets: int):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for name, packed, bits in in_order(batches, ("chunk", "packed", "target")):
+        for name, packed, target in in_order(batches, ("chunk", "packed", "target")):
             chunk = _Chunk(packed)
             tables = []
-            for keys, sums in zip((chunk.words, chunk.pairs), chunk.sums(bits)):
+            for keys, sums in zip((chunk.words, chunk.pairs), chunk.sums(target)):
                 ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                 tables.append((keys, sums, ends))
             rows: dict[str, list] = {"bucket": [], "chunk": [], "words": [], "pairs": []}
@@ -95,13 +95,6 @@ def _send(buckets: int):
     return run
 
 
-def _bits(batches):
-    for name, places in in_order(batches, ("chunk", "places")):
-        bits = np.zeros(max(places) + 1, dtype=np.uint8)
-        bits[places] = 1
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([name], pa.int64()), "target": [np.packbits(bits).tobytes()]})
-
-
 def _added(blobs: list[bytes], width: int):
     """The sums of width counts for the keys of all blobs: (distinct keys' sums, each blob's places in them)."""
     keys, counts = [], []
@@ -183,7 +176,7 @@ def score(docs: DataFrame, labels: DataFrame, smoothing: float = SMOOTHING) -> D
     partitions = shuffle_partitions(docs.sparkSession)
     buckets = max(partitions, chunks.count() // BUCKET_CHUNKS)
     chosen = chunks.select("chunk", F.posexplode("ids").alias("place", "doc_id")).join(target_ids(labels), "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("places"))
-    chosen = chosen.transform(arrow(_bits, "chunk long, target binary"))
+    chosen = chosen.transform(arrow(bits, "chunk long, target binary"))
     both = chunks.select("chunk", "packed").join(F.broadcast(chosen), "chunk", "left")  # a bit for each document: 2 MB for 15 million
     sent = both.transform(arrow(_send(buckets), "bucket long, chunk long, words binary, pairs binary"))
     sent = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")

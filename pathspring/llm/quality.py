@@ -1,39 +1,42 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
 The model is an interpolated modified Kneser-Ney n-gram model of order ``ORDER`` over
-characters (Unicode code points, whatever the script). It is fitted on a bounded
-sample of trusted (labelled, good, not toxic) documents, from an aggregate of n-gram
-counts: full counts in the highest order, numbers of different characters before an
-n-gram in the lower ones, three discounts by order, and the uniform distribution over
-all code points below.
+characters (Unicode code points, whatever the script). It is fitted on the trusted
+(labelled, good, not toxic) documents, from an aggregate of n-gram counts: full counts
+in the highest order, numbers of different characters before an n-gram in the lower
+ones, three discounts by order, and the uniform distribution over all code points below.
+
+All trusted documents count and all set thresholds, but none is scored by a model that
+it trained: a hash deals the ids, and so all documents, into two halves, and each
+half is scored by the model of the other half's trusted documents.
 
 Scoring joins counts by shards: a chunk of documents sends the fingerprints of its
-distinct n-grams to buckets of keys, where they meet the model's rows of that bucket,
-and gets their probabilities and back-off weights back. No task holds the model, and
-a key travels once for each chunk that has it.
+distinct n-grams to buckets of keys, where they meet the models' rows of that bucket,
+and gets their probabilities and back-off weights back. No task holds a model, and
+a key travels once for each chunk and half that has it.
 
 A document is rejected where its perplexity is above its language's quantile of the
-trusted documents that did not train the model, in its class of length (texts of
+trusted documents, in its class of length (texts of
 2**k to 2**(k + 1) characters: the fewer characters, the more perplexities vary).
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathspring.llm._chunks import bucket_of, chunked, in_order, pack_keys, rows_of, unpack_keys
+from pathspring.llm._chunks import bits, bucket_of, chunked, in_order, pack_keys, pack_some, rows_of, unpack_keys, unpack_some
 from pathspring.llm._store import arrow, discard, shuffle_partitions, written
 from pathspring.llm._words import U64, mix, slices
 
 ORDER = 4
-TRUSTED_ROWS = 5_000
-"""Labelled rows that train the model at most; all others, a sixth at least, set the thresholds."""
 QUANTILE = 0.995
 BINS = 1024
 """Bins of a nat of perplexity in which quantiles are looked for."""
@@ -46,6 +49,10 @@ CHUNK = 16 << 20
 START = "\uffff"
 """Stands before a text's first characters; no character."""
 CODE_POINTS = 0x110000
+COUNTED = 2 << 20
+"""Characters whose n-grams are told apart at once when the models are counted."""
+KEY, HALF = "key_", "half_"
+"""Columns of chunks' rows: the doc_id, and the number of the model that scores the row."""
 
 # Characters and n-grams
 
@@ -85,9 +92,9 @@ def distinct_grams(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
     return points[ends[first][:, None] + np.arange(1 - ORDER, 1)], at
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """A fingerprint of each row of code points."""
-    total = np.full(len(grams), grams.shape[1], dtype=U64)
+def keys_of(grams: np.ndarray, model: int | np.ndarray = 0) -> np.ndarray:
+    """A fingerprint of each row of code points, for a model of that number."""
+    total = np.full(len(grams), grams.shape[1], dtype=U64) + U64(2 * ORDER) * np.asarray(model).astype(U64)
     for j in range(grams.shape[1]):
         total = mix(total * U64(0xD6E8FEB86659FD93) + grams[:, j].astype(U64) + U64(1))
     return total
@@ -98,7 +105,7 @@ def _strings(grams: np.ndarray) -> list[str]:
     return [text[i : i + grams.shape[1]] for i in range(0, len(text), grams.shape[1])]
 
 
-# The model
+# The models
 
 
 def good(labels: DataFrame) -> DataFrame:
@@ -107,25 +114,54 @@ def good(labels: DataFrame) -> DataFrame:
     return t.filter("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
 
 
-def trusted(labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id of the good documents that train the model: at most rows by the order of a hash, and none of a sixth that is always held out."""
+def trusted(labels: DataFrame, rows: int | None = None) -> DataFrame:
+    """doc_id of the good documents that train models: all; or, if rows are given, at most so many by the order of a hash, and none of a sixth that is always held out."""
+    if rows is None:
+        return good(labels)
     t = good(labels).filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6)) != 0)
     return t.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """gram, c: how often each n-gram of the highest order ends in the texts (column text)."""
+def half(ids: Column) -> Column:
+    """0 or 1, by a hash of the id."""
+    return F.pmod(F.xxhash64(ids, F.lit(2)), F.lit(2)).cast("int")
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                points, n = code_points(part.column("text"))
-                if not n.sum():
-                    continue
-                grams, at = distinct_grams(points, _ends(n))
-                yield pa.RecordBatch.from_pydict({"gram": _strings(grams), "c": pa.array(np.bincount(at, minlength=len(grams)), pa.int64())})
 
-    return texts.select("text").transform(arrow(run, "gram string, c long")).groupBy("gram").agg(F.sum("c").alias("c"))
+def counts(chunks: DataFrame, text_col: str, models: int) -> DataFrame:
+    """model, gram, c: how often each n-gram of the highest order ends in the texts that train a model.
+
+    chunks: packed, and target, a bit for each row that trains (null: all do). Of two
+    models a row trains the one that does not score it.
+    """
+
+    def grams(model: int, texts: list[pa.Array]):
+        points, n = code_points(pa.concat_arrays(texts))
+        if n.sum():
+            grams, at = distinct_grams(points, _ends(n))
+            yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(len(grams), model, dtype=np.int32)), "gram": _strings(grams), "c": pa.array(np.bincount(at, minlength=len(grams)), pa.int64())})
+
+    def run(batches):
+        for packed, target in in_order(batches, ("packed", "target")):
+            held: dict[int, list] = {m: [] for m in range(models)}
+            at, size = 0, [0] * models
+            chosen = None if target is None else np.unpackbits(np.frombuffer(target, np.uint8)).astype(bool)
+            for rows in rows_of(packed):
+                texts, model = rows.column(text_col), models - 1 - rows.column(HALF)[0].as_py()
+                if chosen is not None:
+                    own = np.zeros(len(texts), dtype=bool)
+                    own[: len(chosen[at : at + len(texts)])] = chosen[at : at + len(texts)]
+                    at += len(texts)
+                    texts = texts.filter(pa.array(own))
+                held[model].append(texts)
+                size[model] += pc.sum(pc.utf8_length(texts)).as_py() or 0
+                if size[model] >= COUNTED:
+                    yield from grams(model, held[model])
+                    held[model], size[model] = [], 0
+            for model, texts in held.items():
+                if texts:
+                    yield from grams(model, texts)
+
+    return chunks.select("packed", "target").transform(arrow(run, "model int, gram string, c long")).groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(n: dict[int, int]) -> list[float]:
@@ -134,72 +170,55 @@ def _discounts(n: dict[int, int]) -> list[float]:
     return [min(i, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * i for i in (1, 2, 3)]
 
 
-def _smoothed(grams: np.ndarray, c: np.ndarray):
-    """(keys, p, gamma) of all orders from the highest order's n-grams and counts, and gamma of the empty context."""
-    orders = [(grams, c.astype(np.int64), None)]
-    for _ in range(ORDER - 1):
-        above, _, _ = orders[-1]
-        _, first, at, n = np.unique(keys_of(above[:, 1:]), return_index=True, return_inverse=True, return_counts=True)
-        orders[-1] = (*orders[-1][:2], at)  # where each n-gram without its first character is
-        orders.append((above[first][:, 1:], n, None))
-    lower, tables = np.array([1.0 / CODE_POINTS]), {}
-    for k, (m, n, suffix) in enumerate(reversed(orders), 1):
-        d = np.array(_discounts({i: int((n == i).sum()) for i in (1, 2, 3, 4)}))
-        taken = d[np.minimum(n, 3) - 1]
-        contexts, at = np.unique(keys_of(m[:, :-1]), return_inverse=True)
-        total = np.bincount(at, n)
-        gamma = np.bincount(at, taken) / total
-        lower = (n - taken) / total[at] + gamma[at] * lower[suffix if k > 1 else np.zeros(len(m), dtype=np.int64)]
-        tables.setdefault(k - 1, {})["gamma"] = contexts, gamma
-        tables.setdefault(k, {})["p"] = keys_of(m), lower
-    out = []
-    for k in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([x for x, _ in tables[k].values()]))
-        values = {"p": np.full(len(keys), np.nan), "gamma": np.full(len(keys), np.nan)}
-        for name, (own, x) in tables[k].items():
-            values[name][np.searchsorted(keys, own)] = x
-        out.append((keys, values["p"], values["gamma"]))
-    return [np.concatenate(x) for x in zip(*out)], float(tables[0]["gamma"][1][0])
-
-
-def kneser_ney(highest: DataFrame) -> tuple[DataFrame, float]:
-    """(key, p, gamma), and the probability of a character that the texts do not have.
-
-    p is a seen n-gram's interpolated probability (NaN where it is a context only), of
-    all orders; gamma what an n-gram gives, as a context, to the order below (NaN where
+def kneser_ney(highest: DataFrame, models: int) -> tuple[DataFrame, list[float]]:
+    """(model, gram, p, gamma), and by model the probability of a character that its texts do not have.
+
+    p is a seen n-gram's interpolated probability (null where it is a context only), of
+    all orders; gamma what an n-gram gives, as a context, to the order below (null where
     it is none). An unseen n-gram has gamma (1 for an unseen context) times the
-    probability of the n-gram without its first character. The sample is bounded, so
-    one task smooths its counts; its keys and counts are 24 bytes each.
+    probability of the n-gram without its first character. Each order is joined with
+    the sums of its contexts and with the order below; no task holds an order.
     """
-
-    def run(batches):
-        held = [(batch.column("gram").to_pylist(), batch.column("c").to_numpy()) for batch in batches]
-        if sum(len(g) for g, _ in held):
-            text = "".join(x for g, _ in held for x in g)
-            grams = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, ORDER)
-            (keys, p, gamma), empty = _smoothed(grams, np.concatenate([c for _, c in held]))
-            for at in range(0, len(keys), 100_000):
-                span = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[span].view(np.int64)), "p": pa.array(p[span]), "gamma": pa.array(gamma[span]), "empty": pa.array(np.full(len(p[span]), empty))})
-
-    model = written(highest.repartition(1).transform(arrow(run, "key long, p double, gamma double, empty double")), "model")
-    first = model.select("empty").first()
-    return model.drop("empty"), (first["empty"] if first else 1.0) / CODE_POINTS
+    tables = {ORDER: highest.select("model", "gram", F.col("c").alias("n"))}
+    for k in range(ORDER - 1, 0, -1):
+        tables[k] = written(tables[k + 1].groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}")
+    few = functools.reduce(DataFrame.unionByName, [t.select("model", F.lit(k).alias("k"), "n") for k, t in tables.items()])
+    few = few.groupBy("model", "k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
+    discounts = {(r["model"], r["k"]): _discounts({i: r[f"n{i}"] for i in (1, 2, 3, 4)}) for r in few}
+
+    below, rows = None, []
+    for k, t in sorted(tables.items()):
+        d = F.lit(0.0)
+        for model, order in discounts:
+            for i, x in enumerate(discounts[model, order], 1):
+                d = F.when((F.col("model") == model) & (F.least("n", F.lit(3)) == i), F.lit(x)).otherwise(d) if order == k else d
+        t = t.select("*", d.alias("taken"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        t = t.join(t.groupBy("model", "context").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("gamma")), ["model", "context"])
+        t = t.withColumn("lower", F.lit(1 / CODE_POINTS)) if below is None else t.join(below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["model", "suffix"])
+        p = (F.col("n") - F.col("taken")) / F.col("total") + F.col("gamma") * F.col("lower")
+        below = written(t.select("model", "gram", "context", p.alias("p"), "gamma"), f"order-{k}")
+        rows.append(below.select("model", "gram", "p", F.lit(None).cast("double").alias("gamma")))
+        if k == 1:
+            empty = {r["model"]: r["gamma"] for r in below.groupBy("model").agg(F.first("gamma").alias("gamma")).collect()}
+        else:
+            rows.append(below.select("model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "gamma"))
+    both = functools.reduce(DataFrame.unionByName, rows).groupBy("model", "gram").agg(F.max("p").alias("p"), F.max("gamma").alias("gamma"))
+    return both, [empty.get(m, 1.0) / CODE_POINTS for m in range(models)]
 
 
 # Scores
 
 
 class _Part:
-    """A slice of a chunk's rows with its distinct n-grams of the highest order, and the keys of all orders that it looks up."""
+    """A slice of a chunk's rows, all of one half, with its distinct n-grams of the highest order, and the keys of all orders that it looks up."""
 
     def __init__(self, rows: pa.RecordBatch, text_col: str):
-        self.rows = rows
+        self.rows, self.model = rows, rows.column(HALF)[0].as_py()
         points, self.counts = code_points(rows.column(text_col))
         grams, self.at = distinct_grams(points, _ends(self.counts)) if self.counts.sum() else (np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64))
         # by k: the last k characters, and the k characters before the last one
-        self.last = {k: keys_of(grams[:, ORDER - k :]) for k in range(1, ORDER + 1)}
-        self.before = {k: keys_of(grams[:, ORDER - 1 - k : ORDER - 1]) for k in range(1, ORDER)}
+        self.last = {k: keys_of(grams[:, ORDER - k :], self.model) for k in range(1, ORDER + 1)}
+        self.before = {k: keys_of(grams[:, ORDER - 1 - k : ORDER - 1], self.model) for k in range(1, ORDER)}
 
     def keys(self) -> np.ndarray:
         return np.unique(np.concatenate([*self.last.values(), *self.before.values()]))
@@ -224,13 +243,18 @@ def _send(buckets: int, text_col: str):
 
 
 def _model_rows(buckets: int):
-    """The model's rows, packed by bucket and batch: keys in rising order with p and gamma (NaN for none)."""
+    """The models' rows, packed by bucket and batch: keys in rising order with p and gamma (NaN for none)."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keys = batch.column("key").to_numpy().view(U64)
-            p, gamma = (batch.column(c).to_numpy().astype(np.float32) for c in ("p", "gamma"))
+            model, length = batch.column("model").to_numpy(), pc.utf8_length(batch.column("gram")).to_numpy()
+            keys = np.zeros(len(model), dtype=U64)
+            for k in range(1, ORDER + 1):
+                own = length == k
+                text = "".join(batch.column("gram").filter(pa.array(own)).to_pylist())
+                keys[own] = keys_of(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(-1, k), model[own])
+            p, gamma = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in ("p", "gamma"))
             order = np.argsort(keys)
             keys, p, gamma = keys[order], p[order], gamma[order]
             ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
@@ -242,7 +266,7 @@ def _model_rows(buckets: int):
 
 
 def _look_up(batches):
-    """For each chunk's keys of a bucket p and gamma, after the model's rows of the bucket (chunk -1) were read."""
+    """For each chunk's keys of a bucket p and gamma, after the models' rows of the bucket (chunk -1) were read."""
     pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     bucket, parts, table = None, [], None
     for b, chunk, blob in in_order(batches, ("bucket", "chunk", "blob")):
@@ -262,21 +286,26 @@ def _look_up(batches):
         at = np.searchsorted(table[0], keys).clip(max=max(0, len(table[0]) - 1))
         seen = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), dtype=bool)
         out = [np.where(seen, x[at] if len(x) else np.nan, np.nan).astype(np.float32) for x in table[1:]]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "bucket": pa.array([b], pa.int64()), "blob": [pack.compress(b"".join(x.tobytes() for x in out))]})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "bucket": pa.array([b], pa.int64()), "blob": [pack.compress(b"".join(map(pack_some, out)))]})
 
 
-def _perplexities(unseen: float, text_col: str):
+def _perplexities(unseen: list[float], text_col: str):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for _, group in itertools.groupby(in_order(batches, ("chunk", "blob", "packed")), key=lambda r: r[0]):
             packed = next(group)[2]
             keys = _keys(packed, text_col)
-            answers = [np.frombuffer(unpack.decompress(r[1]), dtype=np.float32).reshape(2, -1) for r in group]
-            p, gamma = np.concatenate(answers, axis=1).astype(np.float64) if answers else np.zeros((2, 0))
+            parts: tuple[list, list] = [], []
+            for data in (unpack.decompress(r[1]) for r in group):
+                at = 0
+                for part in parts:
+                    values, at = unpack_some(data, np.float32, at)
+                    part.append(values)
+            p, gamma = (np.concatenate([np.zeros(0), *x]) for x in parts)
             gamma = np.where(np.isnan(gamma), 1.0, gamma)
             for rows in rows_of(packed):
                 part = _Part(rows, text_col)
-                value = np.full(len(part.last[1]), unseen)
+                value = np.full(len(part.last[1]), unseen[part.model])
                 for k in range(1, ORDER + 1):
                     own = p[np.searchsorted(keys, part.last[k])]
                     value = np.where(np.isnan(own), value * (gamma[np.searchsorted(keys, part.before[k - 1])] if k > 1 else 1.0), own)
@@ -290,16 +319,32 @@ def _perplexities(unseen: float, text_col: str):
 
 
 def _scored(rows: DataFrame, text_col: str, fit: DataFrame) -> DataFrame:
-    """The rows with chars and perplexity, under the model of the texts of fit. Column names of rows must not clash with these."""
-    return _scores(_chunks(rows, text_col), rows, text_col, fit)
+    """The rows with chars and perplexity, under the model of the texts (column text) of fit. Column names of rows must not clash with these."""
+    one = {KEY: F.lit(None).cast("long"), HALF: F.lit(0)}
+    train = _chunks(fit.select("text").withColumns(one), "text").withColumn("target", F.lit(None).cast("binary"))
+    rows = rows.withColumns(one)
+    return _scores(_chunks(rows, text_col), rows, text_col, counts(train, "text", 1), 1).drop(KEY, HALF)
 
 
 def _chunks(rows: DataFrame, text_col: str) -> DataFrame:
-    return written(rows.transform(arrow(chunked(text_col, limit=CHUNK, level=6), "chunk long, packed binary")), "chunks")
+    """Chunks of rows with KEY and HALF; each of a chunk's slices has rows of one half."""
+    pack = chunked(text_col, KEY, limit=CHUNK, level=9, far=True)
+
+    def run(batches):
+        yield from pack(own for batch in batches for h in (0, 1) if (own := batch.filter(pc.equal(batch.column(HALF), h))).num_rows)
 
+    return written(rows.transform(arrow(run, "chunk long, packed binary, ids array<long>")), "chunks")
 
-def _scores(chunks: DataFrame, rows: DataFrame, text_col: str, fit: DataFrame) -> DataFrame:
-    model, unseen = kneser_ney(written(counts(fit), "counts"))
+
+def _training(chunks: DataFrame, fit: DataFrame) -> DataFrame:
+    """The chunks that have documents of fit (doc_id), with a bit for each of these. A bit for each document is broadcast."""
+    places = chunks.select("chunk", F.posexplode("ids").alias("place", "doc_id")).join(fit, "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("places"))
+    return chunks.select("chunk", "packed").join(F.broadcast(places.transform(arrow(bits, "chunk long, target binary"))), "chunk")
+
+
+def _scores(chunks: DataFrame, rows: DataFrame, text_col: str, highest: DataFrame, models: int) -> DataFrame:
+    chunks = chunks.select("chunk", "packed")
+    model, unseen = kneser_ney(written(highest, "counts"), models)
     partitions = shuffle_partitions(rows.sparkSession)
     blobs = "bucket long, chunk long, blob binary"
     asked = chunks.transform(arrow(_send(partitions, text_col), blobs)).unionByName(model.transform(arrow(_model_rows(partitions), blobs)))
@@ -364,26 +409,31 @@ def _judged(scored: DataFrame, lang: str, levels: DataFrame, overall: float | No
     return t.withColumn("accepted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
-def judge(rows: DataFrame, labels: DataFrame, id_col: str, lang_col: str, text_col: str, held_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, keep_text: bool = False) -> DataFrame:
-    """The rows with chars, perplexity, threshold and accepted; the text only if it is to be kept."""
+def judge(rows: DataFrame, labels: DataFrame, id_col: str, lang_col: str, text_col: str, held_rows: int | None = None, quantile: float = QUANTILE, keep_text: bool = False) -> DataFrame:
+    """The rows with chars, perplexity, threshold and accepted; the text only if it is to be kept.
+
+    Two models, of all trusted documents, score each other's halves. If held_rows are
+    given, one model of so many documents at most scores all rows, and the other good
+    documents set the thresholds.
+    """
     fit = written(trusted(labels, held_rows), "trusted")
-    ids = F.col(id_col).cast("long")
-    texts = rows.select(ids.alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(fit), "doc_id")
+    held, models = (fit, 2) if held_rows is None else (good(labels).join(fit, "doc_id", "left_anti"), 1)
+    rows = rows.withColumn(KEY, F.col(id_col).cast("long"))
+    rows = rows.withColumn(HALF, half(F.col(KEY)) if models == 2 else F.lit(0))
     chunks = _chunks(rows, text_col)
-    scored = _scores(chunks, rows, text_col, texts)
+    scored = _scores(chunks, rows, text_col, counts(_training(chunks, fit), text_col, models), models)
     scored = written(scored if keep_text else scored.drop(text_col), "scored")
     discard(chunks)
-    held = good(labels).join(F.broadcast(fit), "doc_id", "left_anti")
-    held = scored.filter("perplexity is not null").select(ids.alias("doc_id"), F.col(lang_col).alias("lang"), "chars", "perplexity").join(held, "doc_id")
-    return _judged(scored, lang_col, *thresholds(written(held.drop("doc_id"), "held-out"), quantile))
+    held = scored.filter("perplexity is not null").select(F.col(KEY).alias("doc_id"), F.col(lang_col).alias("lang"), "chars", "perplexity").join(held, "doc_id")
+    return _judged(scored.drop(KEY, HALF), lang_col, *thresholds(written(held.drop("doc_id"), "held-out"), quantile))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, rows: int | None = None, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, accepted for each row of documents.
 
     Whole texts are scored. Null and empty texts have null perplexity and are
-    accepted, as all is where no trusted text is held out (threshold null). A null or
-    rare language takes the threshold of all. Rows that repeat a doc_id are judged
+    accepted, as all is without trusted texts (threshold null). With rows, one model
+    of so many trusted documents at most scores all. A null or rare language takes the threshold of all. Rows that repeat a doc_id are judged
     each; null ids and languages stay; other columns are ignored; an empty table gives
     no rows.
     """
@@ -391,7 +441,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, quant
     return judge(t, labels, "doc_id", "lang", "text", rows, quantile).select("doc_id", "lang", F.col("chars").alias("n_chars"), "perplexity", "threshold", "accepted")
 
 
-def keep_accepted(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, quantile: float = QUANTILE) -> DataFrame:
+def keep_accepted(docs: DataFrame, labels: DataFrame, rows: int | None = None, quantile: float = QUANTILE) -> DataFrame:
     """The rows of docs, all columns, without the rejected documents. Rows travel with their columns; nothing is joined by doc_id."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     t = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn(names["lang"], F.col(names["lang"]).cast("string"))

@@ -605,6 +605,26 @@ def test_quality_thresholds_are_quantiles_of_all_held_out_labels(spark):
     assert used == {"class", "lang", "all"}
 
 
+def test_quality_counts_and_judges_by_all_good_labels(spark):
+    """Every good document trains the model of the other half and sets thresholds, against brute force."""
+    import numpy as np
+
+    assert quality.trusted(spark.range(20_050).selectExpr("id as doc_id", "1L as quality", "0L as toxic")).count() == 20_050
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(("sun", "moon", "tide", "wave", f"w{i}")) for _ in range(rng.randrange(1, 30)))) for i in range(400)] + [(400, "qqq zzz"), (401, None), (None, "sun moon"), (7, "sun again")]
+    t = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    labels = spark.range(330).selectExpr("id as doc_id", "1L as quality", "if(id >= 300, 1L, 0L) as toxic")
+    halves = {r["doc_id"]: r["h"] for r in t.select("doc_id", quality.half(F.col("doc_id")).alias("h")).collect()}
+    assert {*halves.values()} == {0, 1}
+    good = {*range(300)}
+    models = [brute.KneserNey([x for d, x in docs if d in good and halves[d] != h]) for h in (0, 1)]
+    want = sorted((d if d is not None else -1, len(x or ""), models[halves[d]].perplexity(x) if x else 0) for d, x in docs)
+    level = np.quantile([p for d, _, p in want if d in good], quality.QUANTILE)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_chars"], r["perplexity"] or 0, r["threshold"]) for r in quality.classify(t.repartition(3), labels).collect())
+    assert [r[:2] for r in got] == [w[:2] for w in want]
+    assert [r[2] for r in got] == pytest.approx([w[2] for w in want], rel=1e-5) and [r[3] for r in got] == pytest.approx([level] * len(got), rel=1e-5)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "", "en"), (None, "text", "xx"), (3, "a " * 200_000, "xx"), (3, "a " * 200_000, "xx")], "doc_id long, text string, lang string").withColumns({"perplexity": F.lit("x"), "chars": F.lit(1)})
     labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
